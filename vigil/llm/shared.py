@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,12 +71,10 @@ def publish(files: fs.FileSystem, temporary: str, final: str) -> None:
 
 def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about ``most_bytes`` together, at least one row each."""
-    sizes = [len(x) if x is not None else 0 for x in batch.column(column).to_pylist()] if batch.num_rows else []
-    start, total = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and total + n > most_bytes:
-            yield batch.slice(start, i - start)
-            start, total = i, 0
-        total += n
-    if batch.num_rows > start:
-        yield batch.slice(start)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop

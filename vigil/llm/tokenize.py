@@ -19,10 +19,8 @@ import numpy as np
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNKS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
-#: A worker forgets its pieces beyond this many.
-MOST_PIECES = 1_000_000
-#: Longer pieces are encoded but not kept.
-LONG_PIECE = 64
+#: A worker forgets its pieces beyond this many pieces or characters.
+MOST_PIECES, MOST_CHARACTERS = 1_000_000, 16_000_000
 
 
 def cuts_before_white_space(spec: dict) -> bool:
@@ -48,6 +46,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.codes: dict[str, int] = {}
+        self.characters = 0
         self.starts = np.zeros(1, np.int64)  # of each piece's ids; one more for the end
         self.ids = np.zeros(0, np.uint32)
 
@@ -57,6 +56,7 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         found = self._encode(pieces)
         n = len(self.codes)
+        self.characters += sum(map(len, pieces))
         self.codes.update(zip(pieces, range(n, n + len(pieces)), strict=True))
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
@@ -69,7 +69,7 @@ class Encoder:
             found = self._encode(texts)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum())), sizes
-        if len(self.codes) > MOST_PIECES:
+        if len(self.codes) > MOST_PIECES or self.characters > MOST_CHARACTERS:
             self._forget()
         pieces: list[str] = []
         counts = np.empty(len(texts), np.int64)
@@ -85,15 +85,8 @@ class Encoder:
         total = int(ends[-1]) if len(ends) else 0
         ids = self.ids[np.repeat(self.starts[codes] - (ends - lengths), lengths) + np.arange(total)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        if any(len(x) > LONG_PIECE for x in new):
-            self._drop_long()
         return ids, np.diff(bounds)
 
-    def _drop_long(self) -> None:
-        """Forget long pieces, which hardly come again, once they hold much memory."""
-        if len(self.ids) > 16 * MOST_PIECES or sum(len(x) for x in self.codes) > 64 * MOST_PIECES:
-            self._forget()
-
 
 _ENCODERS: dict[str, Encoder] = {}
 
