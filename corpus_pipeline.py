@@ -1,7 +1,59 @@
-"""A corpus pipeline over documents: stages that each write what they keep."""
-STAGES = []
+"""A corpus pipeline over documents: each stage works on what the one before it kept.
+
+Rejected by the quality classifier or the quality rules, a document goes; repeated line runs go from texts, and
+documents left without words; of near-duplicates one stays; what is left is packed into sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigil.llm import fingerprints, line_runs, packing, quality_classifier, quality_rules
+from vigil.llm.queries import END_ID, SEQUENCE, tokenizer
+from vigil.llm.shared import Workspace
+
+#: Near-duplicates: words in a shingle, and bits in which linked fingerprints differ at most.
+WIDTH, RADIUS = 5, 8
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier accepts."""
+    return quality_classifier.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep."""
+    return quality_rules.accept(docs, Workspace(spark))
+
+
+def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without later copies of repeated line runs; those left without words go."""
+    found = line_runs.remove_repeated_runs(docs, Workspace(spark))
+    found = found.where((F.col("n_deleted") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.col("n_deleted") == 0, F.col("n_chars")).otherwise(F.length("text")))
+    return found.select(*docs.columns)
+
+
+def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    return fingerprints.one_of_each(docs, WIDTH, RADIUS, Workspace(spark))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
+    return packing.pack(docs, tokenizer(), END_ID, SEQUENCE, Workspace(spark))
+
+
+STAGES = [("quality_classifier", classify), ("quality_rules", apply_rules), ("line_dedup", dedupe_lines), ("simhash", dedupe_documents), ("packing", pack)]
+#: SQL can express none of the learned stages; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each one's result written and read again as the next one's documents."""
+    work, docs = Workspace(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = work.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected
 from .shared import Workspace, text_slices
@@ -27,7 +28,7 @@ SEED = 42
 #: Fingerprints in the sample that plans the partitions.
 PLAN_SAMPLE = 4000
 #: Buckets with more fingerprints than this are compared block by block, in tasks of this many a side.
-BUCKET = 1000
+BUCKET = 200
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -54,16 +55,17 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """Each document's fingerprint as a signed long; a text without words (or null) has fingerprint zero."""
+def fingerprints(docs: DataFrame, width: int, name: str) -> DataFrame:
+    """``docs`` with each text's fingerprint as a signed long; a text without words (or null) has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in text_slices(batch, "text"):
                 found = np.array([majority(shingle_hashes(x or b"", width)) for x in rows.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "fp": found.view(np.int64)})
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(found.view(np.int64))], [*kept, name])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    kept = [c for c in docs.columns if c != name]
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.LongType())]))
 
 
 def plan(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int], int]]:
@@ -198,6 +200,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def components(fps: DataFrame, radius: int, work: Workspace) -> DataFrame:
+    """(fp, component) of each distinct ``fp``; a component is named by the least ``least`` of its fingerprints."""
+    edges = work.table(links(fps.select("fp"), radius, work).distinct(), "links")
+    roots = connected(edges, work)
+    named = work.table(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    least = work.table(named.groupBy("root").agg(F.min("least").alias("component")), "least")
+    return work.table(named.join(least, "root").select("fp", "component"), "components")
+
+
 def near_duplicates(docs: DataFrame, width: int, radius: int, work: Workspace) -> DataFrame:
     """Per document: its fingerprint and its component, named by the smallest doc_id that links reach.
 
@@ -205,11 +216,20 @@ def near_duplicates(docs: DataFrame, width: int, radius: int, work: Workspace) -
     a component only if no other id does. Repeated rows each get their row. An empty table gives no rows;
     extra columns are ignored.
     """
-    of_doc = work.table(fingerprints(docs, width), "fingerprints")
+    of_doc = work.table(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, "fp").drop("text"), "fingerprints")
     fps = work.table(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    edges = work.table(links(fps, radius, work).distinct(), "links")
-    roots = connected(edges, work)
-    named = work.table(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
-    least = work.table(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
-    components = work.table(named.join(least, "root").select("fp", "component_id"), "components")
-    return of_doc.join(components, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    found = components(fps, radius, work)
+    return of_doc.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int, radius: int, work: Workspace) -> DataFrame:
+    """One row of ``docs`` of each component, that of the smallest doc_id (null last), with its columns.
+
+    Of rows that share that id, the one that comes first in the written table stays.
+    """
+    rows = fingerprints(docs, width, "_fp").withColumn("_row", F.monotonically_increasing_id())
+    rows = work.table(rows, "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    fps = work.table(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("least")), "distinct")
+    first = work.table(components(fps, radius, work).select(F.col("component._row").alias("_row")).distinct(), "first")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import Workspace, text_slices
 
@@ -50,12 +51,13 @@ def repeated_window_words(codes: np.ndarray, owner: np.ndarray, width: int) -> n
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """The documents' ids and the counts that the rules go by; a null text has no words and no lines."""
+    """All columns but ``measured_text`` and the counts that the rules go by; a null text has no words and no lines."""
+    kept = [c for c in docs.columns if c != "measured_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in text_slices(batch, "text"):
-                raw = [x or b"" for x in rows.column("text").cast(pa.binary()).to_pylist()]
+            for rows in text_slices(batch, "measured_text"):
+                raw = [x or b"" for x in rows.column("measured_text").cast(pa.binary()).to_pylist()]
                 words = [x.split() for x in raw]
                 counts = np.fromiter(map(len, words), np.int64, len(words))
                 owner = np.repeat(np.arange(len(words)), counts)
@@ -68,20 +70,20 @@ def measure(docs: DataFrame) -> DataFrame:
                 pair, of_doc = pd.factorize(owner * (len(names) + 1) + codes)
                 most = np.zeros(len(words), np.int64)
                 np.maximum.at(most, of_doc // (len(names) + 1), np.bincount(pair, minlength=len(of_doc)))
-                columns = {"doc_id": rows.column("doc_id"), "n_words": counts, "n_same_next": per_doc(same), "most_common_word": most, "n_repeat_words": per_doc(repeated_window_words(codes, owner, WINDOW))}
+                columns = {c: rows.column(c) for c in kept} | {"n_words": counts, "n_same_next": per_doc(same), "most_common_word": most, "n_repeat_words": per_doc(repeated_window_words(codes, owner, WINDOW))}
                 lines = [[s for s in x.split(b"\n") if s.strip()] for x in raw]
                 n_lines = np.fromiter(map(len, lines), np.int64, len(lines))
                 columns |= {"n_lines": n_lines, "n_dup_lines": n_lines - np.fromiter((len(set(x)) for x in lines), np.int64, len(lines)), "n_ended_lines": np.array([sum(s.rstrip()[-1:] in b".!?:;\"')" for s in x) for x in lines], np.int64)}
-                text = [x or "" for x in rows.column("text").to_pylist()]
+                text = [x or "" for x in rows.column("measured_text").to_pylist()]
                 columns["word_chars"] = np.array([len(t) - sum(map(t.count, " \t\n\r\x0b\x0c")) for t in text], np.int64)
                 columns["n_symbols"] = np.array([sum(map(x.count, b"#*$%&|<>")) for x in raw], np.int64)
                 columns["n_marks"] = np.array([sum(map(x.count, b"!?,.;:")) for x in raw], np.int64)
                 shape = [np.bincount(CLASS[np.frombuffer(x, np.uint8)], minlength=4) for x in raw]
                 columns["n_upper"] = np.array([s[1] for s in shape], np.int64)
                 columns["n_letters"] = np.array([s[1] + s[2] + s[3] for s in shape], np.int64)
-                yield pa.RecordBatch.from_pydict({k: columns[k] for k in ["doc_id", *(x.split()[0] for x in FEATURES.split(", "))]})
+                yield pa.RecordBatch.from_pydict({k: columns[k] for k in [*kept, *(x.split()[0] for x in FEATURES.split(", "))]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {FEATURES}")
+    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), *T._parse_datatype_string(FEATURES)]))
 
 
 #: Of each byte: 1 an upper-case letter, 2 a lower-case one, 3 the lead byte of a character beyond ASCII, 0 else.
@@ -143,28 +145,35 @@ def posterior(votes: np.ndarray, prior: float, table: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
 
-def judge(docs: DataFrame, work: Workspace, least: float = LEAST) -> DataFrame:
-    """Per document: the counts, the base rule, the posterior and whether it is kept.
-
-    Null and empty texts have no words and fail the base rule. Null or repeated ids are judged like any
-    others. An empty table gives no rows; extra columns are ignored.
-    """
+def _judged(docs: DataFrame, work: Workspace, least: float) -> DataFrame:
+    """The columns of ``docs`` but its text, the counts, and the verdict."""
     spark = docs.sparkSession
     code = sum((F.pmod(vote() + 3, F.lit(3)) * 3**i for i, vote in enumerate(RULES.values())), F.lit(0)).cast("int")
     measured = work.table(measure(docs).withColumn("pattern", code), "measured")
     rows = measured.groupBy("pattern").count().collect()  # at most 3 ** len(RULES)
     patterns = np.array([r["pattern"] for r in rows], np.int64)
-    votes = np.stack([(patterns // 3**i % 3 + 1) % 3 - 1 for i in range(len(RULES))], 1) if len(rows) else np.zeros((0, len(RULES)), np.int64)
-    if len(rows):
-        prior, table = fit(votes, np.array([r["count"] for r in rows], float))
-        good = posterior(votes, prior, table)
-    else:
-        good = np.zeros(0)
+    votes = np.stack([(patterns // 3**i % 3 + 1) % 3 - 1 for i in range(len(RULES))], 1)
+    good = posterior(votes, *fit(votes, np.array([r["count"] for r in rows], float))) if rows else np.zeros(0)
     scores = spark.createDataFrame([(int(p), float(g)) for p, g in zip(patterns, good, strict=True)], "pattern int, quality double")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return (
         measured.join(F.broadcast(scores), "pattern")  # one row a pattern, so its size is bounded
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
     )
+
+
+def judge(docs: DataFrame, work: Workspace, least: float = LEAST) -> DataFrame:
+    """Per document: the counts, the base rule, the posterior and whether it is kept.
+
+    Null and empty texts have no words and fail the base rule. Null or repeated ids are judged like any
+    others. An empty table gives no rows; extra columns are ignored.
+    """
+    found = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("measured_text")), work, least)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def accept(docs: DataFrame, work: Workspace, least: float = LEAST) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns."""
+    carried = docs.select(*(F.col(c).alias(f"carried_{i}") for i, c in enumerate(docs.columns)), F.col("text").alias("measured_text"))
+    return _judged(carried, work, least).where("kept").select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, packing, quality_rules, token_files
+from . import bpe, fingerprints, licences, line_runs, packing, quality_classifier, quality_rules, token_files, vantage, warc
 from .shared import Workspace
 
 #: The end id and the sequence length of the token outputs.
@@ -27,6 +28,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), Workspace(spark))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), Workspace(spark))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(_table(spark, sf_dir, "documents"), tokenizer(), END_ID, Workspace(spark)))
 
@@ -39,12 +44,29 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op6_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(_table(spark, sf_dir, "embeddings"), Workspace(spark))
+
+
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_runs.remove_repeated_runs(_table(spark, sf_dir, "documents"), Workspace(spark))
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "n_lines", "n_deleted", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.near_duplicates(_table(spark, sf_dir, "documents"), 3, 3, Workspace(spark)).drop("fp")
+    return fingerprints.near_duplicates(_table(spark, sf_dir, "documents"), 3, 3, Workspace(spark))
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_token_files, op4_packing, op5_bpe, op8_simhash)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_warc, op3_token_files, op4_packing, op5_bpe, op6_vantage_trees, op7_line_runs, op8_simhash, op9_licences, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

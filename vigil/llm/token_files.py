@@ -37,7 +37,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, work: Worksp
         temporary = f"{final}.{context.taskAttemptId()}"
         writer = None
         encode = encoder(tokenizer).encode
-        with files.open_output_stream(temporary) as file:
+        with files.open_output_stream(temporary, compression=None) as file:
             for batch in batches:
                 for rows in text_slices(batch, "text"):
                     writer = writer or simple8b.Writer(file)
@@ -79,7 +79,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 store, path = open_fs(row["path"])
                 start = row["before"]
-                with store.open_input_stream(path) as file:
+                with store.open_input_stream(path, compression=None) as file:
                     for keys, nulls, sizes, ids in simple8b.read(file):
                         raw = memoryview(ids.astype("<u4").tobytes())
                         stops = np.cumsum(sizes)
