@@ -25,6 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
+    from . import queries_semantic  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
