@@ -115,9 +115,13 @@ TEXT_PATTERNS = {
 }
 
 
+def _found(column: str, kind: str, pattern: str) -> Column:
+    return F.transform(F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("observable_type"), v.alias("value")))
+
+
 def scan_text_observables(df: DataFrame, key: str, column: str) -> DataFrame:
     """Indicators anywhere in a text: a row for each distinct (key, type, value)."""
-    found = F.concat(*(F.transform(F.regexp_extract_all(column, F.lit(p), F.lit(0)), lambda v, kind=kind: F.struct(F.lit(kind).alias("observable_type"), v.alias("value"))) for kind, p in TEXT_PATTERNS.items()))
+    found = F.concat(*(_found(column, kind, pattern) for kind, pattern in TEXT_PATTERNS.items()))
     return df.select(key, F.explode(F.array_distinct(found)).alias("o")).select(key, "o.observable_type", "o.value")
 
 
@@ -173,7 +177,7 @@ def observable_coverage(observed: DataFrame, covers: DataFrame) -> DataFrame:
 
 def coverage_percent(coverage: DataFrame) -> DataFrame:
     """One row: covered and uncovered types and (full + half of partial) / all in percent."""
-    return coverage.agg(F.count_if("covered > 0").alias("n_covered"), F.count_if("covered = 0").alias("n_gaps"), F.round(100 * F.avg("covered"), 2).alias("percent"))
+    return coverage.agg(F.count_if(F.col("covered") > 0).alias("n_covered"), F.count_if(F.col("covered") == 0).alias("n_gaps"), F.round(100 * F.avg("covered"), 2).alias("percent"))
 
 
 def observable_gaps(coverage: DataFrame) -> DataFrame:
