@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from . import queries_semantic, queries_sources, queries_tables, queries_threat, queries_vectors  # noqa: F401
+    from . import queries_semantic, queries_sources, queries_streams, queries_tables, queries_threat, queries_vectors  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
