@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .shared import Workspace
 
 #: Vectors in a shard, on average; queries that one task answers; vectors in a leaf.
-SHARD, QUERY_BLOCK, LEAF = 16_384, 2_048, 48
+SHARD, QUERY_BLOCK, LEAF = 16_384, 2_048, 128
 SHARDS = "dim int, shard int, ids array<long>, point array<int>, points binary, nodes binary, order array<int>"
 FOUND = "query_id long, vec_id long, score double"
 NODE = np.dtype([("at", "<i4"), ("middle", "<f8"), ("inner", "<i4"), ("outer", "<i4"), ("start", "<i4"), ("stop", "<i4")])
@@ -62,6 +62,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, point: np.ndarray, points: np.ndarray, nodes: np.ndarray, order: np.ndarray):
         self.points, self.nodes, self.order = points, nodes, order
+        self.sizes = (points**2).sum(1)
         by = np.argsort(point, kind="stable")
         self.ids, self.first = ids[by], np.searchsorted(point[by], np.arange(len(points) + 1))
 
@@ -71,11 +72,26 @@ class Shard:
         self.best = np.full((len(queries), k), np.inf)
         self.found = np.full((len(queries), k), none)
         self.queries, self.own, self.factor = queries, own, factor
+        self.home = np.full(len(queries), -1)
         if len(self.nodes) and len(queries):
+            self._descend(0, np.arange(len(queries)))
             self._visit(0, np.arange(len(queries)))
         return self.best, self.found
 
+    def _near(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distances of those pairs that a product of matrices, with a margin for its rounding, can't rule out; else infinity."""
+        asked, points = self.queries[q], self.points[at]
+        sizes = (asked**2).sum(1)[:, None] + self.sizes[at]
+        row, column = np.nonzero(sizes - 2 * (asked @ points.T) <= self.best[q, -1][:, None] ** 2 + 1e-11 * sizes)
+        out = np.full((len(q), len(at)), np.inf)
+        for i in range(0, len(row), 1 << 15):
+            r, c = row[i : i + (1 << 15)], column[i : i + (1 << 15)]
+            out[r, c] = np.sqrt(((asked[r] - points[c]) ** 2).sum(-1))
+        return out
+
     def _offer(self, q: np.ndarray, at: np.ndarray, away: np.ndarray) -> None:
+        finite = np.flatnonzero(np.isfinite(away).any(0))
+        at, away = at[finite], away[:, finite]
         counts = self.first[at + 1] - self.first[at]
         column = np.repeat(np.arange(len(at)), counts)
         ids = self.ids[np.repeat(self.first[at] - (np.cumsum(counts) - counts), counts) + np.arange(len(column))]
@@ -84,32 +100,49 @@ class Shard:
         if not len(some):
             return
         q, away = q[some], away[some]
+        useful = np.flatnonzero((away <= self.best[q, -1][:, None]).any(0))
+        away, ids = away[:, useful], ids[useful]
         k = self.best.shape[1]
         d = np.concatenate([self.best[q], away], 1)
         i = np.concatenate([self.found[q], np.broadcast_to(ids, away.shape)], 1)
         first = np.lexsort((i, d), axis=1)[:, :k]
         self.best[q], self.found[q] = np.take_along_axis(d, first, 1), np.take_along_axis(i, first, 1)
 
+    def _gap(self, node: np.void, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        away = distances(self.queries[q], self.points[[node["at"]]])
+        return away, away[:, 0] - node["middle"]
+
+    def _leaf(self, node: np.void, q: np.ndarray) -> None:
+        at = self.order[node["start"] : node["stop"]]
+        if len(at) and len(q):
+            self._offer(q, at, self._near(q, at))
+
+    def _descend(self, n: int, q: np.ndarray) -> None:
+        """Each query to the one leaf on its side of all nodes, for a first bound; queries go together."""
+        node = self.nodes[n]
+        if not len(q):
+            return
+        if node["at"] < 0:
+            self.home[q] = n
+            self._leaf(node, q)
+            return
+        inside = self._gap(node, q)[1] <= 0
+        self._descend(node["inner"], q[inside])
+        self._descend(node["outer"], q[~inside])
+
     def _visit(self, n: int, q: np.ndarray) -> None:
+        """All other leaves that a query's bound doesn't rule out; every node is entered once, by all its queries."""
         node = self.nodes[n]
         if not len(q):
             return
         if node["at"] < 0:
-            at = self.order[node["start"] : node["stop"]]
-            if len(at):
-                self._offer(q, at, distances(self.queries[q], self.points[at]))
+            self._leaf(node, q[self.home[q] != n])
             return
-        at = np.array([node["at"]])
-        away = distances(self.queries[q], self.points[at])
-        self._offer(q, at, away)
-        gap = away[:, 0] - node["middle"]
-        inside = gap <= 0
-        self._visit(node["inner"], q[inside])
-        self._visit(node["outer"], q[~inside])
-        # the other side, for those that it may still serve; the margin covers rounding
-        near = np.abs(gap) * self.factor <= self.best[q, -1] * (1 + 1e-12) + 1e-12
-        self._visit(node["outer"], q[inside & near])
-        self._visit(node["inner"], q[~inside & near])
+        away, gap = self._gap(node, q)
+        self._offer(q, np.array([node["at"]]), away)
+        for child, bound in (("inner", gap), ("outer", -gap)):
+            # the margin covers rounding
+            self._visit(node[child], q[bound * self.factor <= self.best[q, -1] * (1 + 1e-12) + 1e-12])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
