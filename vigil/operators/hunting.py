@@ -63,11 +63,16 @@ def seconds_between(start: Column | str, stop: Column | str) -> Column:
     return F.unix_timestamp(F.date_trunc("second", stop)) - F.unix_timestamp(F.date_trunc("second", start))
 
 
-def c2_beaconing(events: DataFrame, as_of: datetime, hours: int = 24, min_beacons: int = 10, jitter_threshold: float = 0.2) -> DataFrame:
-    before = F.lag("time").over(Window.partitionBy("source_ip", "query_hostname").orderBy("time"))
-    gaps = recent(events, as_of, hours).select("source_ip", "query_hostname", "time", seconds_between(before, F.col("time")).alias("gap")).where(F.col("gap").isNotNull())
-    found = gaps.groupBy("source_ip", "query_hostname").agg(F.count("*").alias("beacon_count"), F.avg("gap").alias("avg_interval"), F.stddev_samp("gap").alias("interval_stddev"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
-    return found.where((F.col("beacon_count") > min_beacons) & (F.col("interval_stddev") < F.col("avg_interval") * jitter_threshold)).orderBy(F.desc("beacon_count"), "source_ip", "query_hostname")
+def c2_beaconing(events: DataFrame, as_of: datetime, hours: int = 24, min_beacons: int = 10, jitter_threshold: float = 0.2, chunk: str = "hour") -> DataFrame:
+    """Gaps are taken within chunks of time, then between the chunks of a pair, so that no task orders all of a hot pair's events."""
+    pair = ["source_ip", "query_hostname"]
+    rows = recent(events, as_of, hours).select(*pair, "time", F.date_trunc(chunk, "time").alias("chunk"))
+    inner = rows.withColumn("before", F.lag("time").over(Window.partitionBy(*pair, "chunk").orderBy("time")))
+    ends = inner.groupBy(*pair, "chunk").agg(F.min("time").alias("time"), F.max("time").alias("last"))
+    between = ends.withColumn("before", F.lag("last").over(Window.partitionBy(*pair).orderBy("chunk")))
+    gaps = inner.select(*pair, "time", "before").unionByName(between.select(*pair, "time", "before")).where(F.col("before").isNotNull()).withColumn("gap", seconds_between("before", "time"))
+    found = gaps.groupBy(*pair).agg(F.count("*").alias("beacon_count"), F.avg("gap").alias("avg_interval"), F.stddev_samp("gap").alias("interval_stddev"), F.min("time").alias("first_seen"), F.max("time").alias("last_seen"))
+    return found.where((F.col("beacon_count") > min_beacons) & (F.col("interval_stddev") < F.col("avg_interval") * jitter_threshold)).orderBy(F.desc("beacon_count"), *pair)
 
 
 def ioc_domain_match(events: DataFrame, feed: DataFrame, as_of: datetime, hours: int = 24, limit: int = 1000) -> DataFrame:

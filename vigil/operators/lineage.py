@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.plans.semantic import timestamp
@@ -28,11 +28,11 @@ def capture_lineage(df: DataFrame, path: str, source_system: str, source_table:
 
 
 def _page(df: DataFrame, order: list[str], offset: int, limit: int | None) -> DataFrame:
-    """A page with the total and whether more follow; rows are numbered in the order given."""
-    total = F.count("*").over(Window.partitionBy())
-    counted = df.withColumn("total_count", total).orderBy(*order)
-    counted = counted.offset(offset) if offset else counted
-    counted = counted.limit(limit) if limit is not None else counted
+    """A page in the order given, with the total and whether more follow; the total is one row, counted apart."""
+    page = df.orderBy(*order)
+    page = page.offset(offset) if offset else page
+    page = page.limit(limit) if limit is not None else page
+    counted = page.join(F.broadcast(df.agg(F.count("*").alias("total_count"))))
     return counted.withColumn("has_more", F.col("total_count") > offset + (limit if limit is not None else 1 << 60))
 
 

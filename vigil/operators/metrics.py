@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,9 +45,10 @@ def top_values(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def value_ratio(df: DataFrame, column: str) -> DataFrame:
-    """Each value's share of all rows; only the counts by value meet in one place."""
+    """Each value's share of all rows; the total is one row."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("ratio", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    total = counts.agg(F.sum("n").alias("total"))
+    return counts.join(F.broadcast(total)).select(column, "n", (F.col("n") / F.col("total")).alias("ratio"))
 
 
 def unique_per_bucket(df: DataFrame, column: str, granularity: str, time: str = "time") -> DataFrame:
