@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import kept_in_worker, small_batches, text_batches
 from .tokenize import CHUNKS, cuts_before_white_space
 
 #: Fixed value: the pattern of byte-level BPE's pre-tokeniser.
@@ -185,14 +185,9 @@ class PairIndexBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_CODERS: dict[str, PairIndexBPE] = {}
-
-
 def coder(path: str) -> PairIndexBPE:
-    """The worker's coder of a file; workers are reused between tasks."""
-    if path not in _CODERS:
-        _CODERS[path] = PairIndexBPE(path)
-    return _CODERS[path]
+    """The worker's coder of a file."""
+    return kept_in_worker(("bpe", path), lambda: PairIndexBPE(path))
 
 
 def encode_and_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -204,11 +199,11 @@ def encode_and_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer)
-        for batch in batches:
-            for rows in text_slices(batch, "text", 4 << 20):
-                found = bpe.encode(rows.column("text").to_pylist())
-                digests = [hashlib.sha256(b"".join(map(bpe.decimals.__getitem__, ids))[:-1]).hexdigest() for ids in found]
-                decoded = [hashlib.sha256(bpe.decode(ids).encode()).hexdigest() for ids in found]
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_tokens": pa.array([len(x) for x in found], pa.int64()), "ids_sha256": digests, "decoded_sha256": decoded})
+        for rows in text_batches(batches, "text", 6 << 20):
+            found = bpe.encode(rows.column("text").to_pylist())
+            digests = [hashlib.sha256(b"".join(map(bpe.decimals.__getitem__, ids))[:-1]).hexdigest() for ids in found]
+            decoded = [hashlib.sha256(bpe.decode(ids).encode()).hexdigest() for ids in found]
+            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_tokens": pa.array([len(x) for x in found], pa.int64()), "ids_sha256": digests, "decoded_sha256": decoded})
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, RESULT)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected
-from .shared import Workspace, text_slices
+from .shared import Workspace, nothing_kept, text_batches
 
 SEED = 42
 #: Fingerprints in the sample that plans the partitions.
@@ -59,10 +59,10 @@ def fingerprints(docs: DataFrame, width: int, name: str) -> DataFrame:
     """``docs`` with each text's fingerprint as a signed long; a text without words (or null) has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in text_slices(batch, "text"):
-                found = np.array([majority(shingle_hashes(x or b"", width)) for x in rows.column("text").cast(pa.binary()).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(found.view(np.int64))], [*kept, name])
+        nothing_kept()
+        for rows in text_batches(batches, "text"):
+            found = np.array([majority(shingle_hashes(x or b"", width)) for x in rows.column("text").cast(pa.binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(found.view(np.int64))], [*kept, name])
 
     kept = [c for c in docs.columns if c != name]
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.LongType())]))

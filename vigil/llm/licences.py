@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_slices
+from .shared import small_batches, nothing_kept, text_batches
 
 #: Notices by which works state their licence.
 TEMPLATES: dict[str, list[str]] = {
@@ -199,32 +199,33 @@ def scan(docs: DataFrame) -> DataFrame:
     empty table gives no rows; extra columns are ignored.
     """
 
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         judge = shared.value
         seen: dict[str, tuple[str, bool]] = {}
-        for batch in batches:
-            for rows in text_slices(batch, "text"):
-                out = []
-                for text in rows.column("text").to_pylist():
-                    paragraphs = [p for p in (text or "").split("\n") if p.strip()]
-                    families, named, unknown = set(), 0, 0
-                    for p in paragraphs:
-                        if len(judge.single.intersection(words := words_of(p))) < 2:
-                            continue
-                        if p not in seen:
-                            if len(seen) > 50_000:
-                                seen.clear()
-                            seen[p] = judge.judge(words)
-                        family, confirmed = seen[p]
-                        if confirmed:
-                            families.add(family)
-                            named += 1
-                        elif family == "unknown":
-                            unknown += 1
-                    out.append((len(paragraphs), named, unknown, ",".join(sorted(families))))
-                count, named, unknown, families = zip(*out, strict=True)
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_paragraphs": pa.array(count, pa.int64()), "n_licences": pa.array(named, pa.int64()), "n_unknown": pa.array(unknown, pa.int64()), "families": list(families)})
+        for rows in text_batches(batches, "text"):
+            out = []
+            for text in rows.column("text").to_pylist():
+                paragraphs = [p for p in (text or "").split("\n") if p.strip()]
+                families, named, unknown = set(), 0, 0
+                for p in paragraphs:
+                    if len(judge.single.intersection(words := words_of(p))) < 2:
+                        continue
+                    if p not in seen:
+                        if len(seen) > 50_000:
+                            seen.clear()
+                        seen[p] = judge.judge(words)
+                    family, confirmed = seen[p]
+                    if confirmed:
+                        families.add(family)
+                        named += 1
+                    elif family == "unknown":
+                        unknown += 1
+                out.append((len(paragraphs), named, unknown, ",".join(sorted(families))))
+            count, named, unknown, families = zip(*out, strict=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_paragraphs": pa.array(count, pa.int64()), "n_licences": pa.array(named, pa.int64()), "n_unknown": pa.array(unknown, pa.int64()), "families": list(families)})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RESULT)

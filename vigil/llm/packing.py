@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, text_slices
+from .shared import Workspace, text_batches
 from .tokenize import encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,19 +34,18 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in batches:
-            for rows in text_slices(batch, "text"):
-                ids, sizes = with_end(*encode(rows.column("text").to_pylist()), end_id)
-                raw = memoryview(ids.astype("<u4").tobytes())
-                pieces = -(-sizes // capacity)
-                owner = np.repeat(np.arange(len(sizes)), pieces)
-                number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                first = sizes - (pieces - 1) * capacity
-                length = np.where(number == 0, first[owner], capacity)
-                start = np.where(number == 0, 0, first[owner] + (number - 1) * capacity)
-                at = (np.cumsum(sizes) - sizes)[owner] + start
-                crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id").take(pa.array(owner)), "piece": pa.array(number, pa.int32()), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64())})
+        for rows in text_batches(batches, "text", 2 << 20):
+            ids, sizes = with_end(*encode(rows.column("text").to_pylist()), end_id)
+            raw = memoryview(ids.astype("<u4").tobytes())
+            pieces = -(-sizes // capacity)
+            owner = np.repeat(np.arange(len(sizes)), pieces)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = sizes - (pieces - 1) * capacity
+            length = np.where(number == 0, first[owner], capacity)
+            start = np.where(number == 0, 0, first[owner] + (number - 1) * capacity)
+            at = (np.cumsum(sizes) - sizes)[owner] + start
+            crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id").take(pa.array(owner)), "piece": pa.array(number, pa.int32()), "start": start, "length": length, "ids_crc32": pa.array(crc, pa.int64())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, PIECES)
 

@@ -9,6 +9,7 @@ As the layer is linear, a trained word has one number, what its features add to
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_slices
+from .shared import Workspace, kept_in_worker, nothing_kept, text_batches
 
 #: Labelled documents that the model is fitted on, at most; features kept of each, at most.
 TRAIN_DOCS = 4000
@@ -28,7 +29,8 @@ EPOCHS, BATCH, RATE = 12, 32, 0.35
 REPEAT, REPEAT_WEIGHT = BUCKETS, 8
 #: A document is predicted good from this score on.
 LEAST = 0.3
-MOST_WORDS = 1_000_000
+#: A worker forgets its words beyond this many; it takes so many new ones at a time.
+MOST_WORDS, WORDS_AT_ONCE = 200_000, 10_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,20 +69,20 @@ def count_features(docs: DataFrame) -> DataFrame:
     """(quality, buckets, counts) of labelled documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in text_slices(batch, "text", 4 << 20):
-                buckets, counts = [], []
-                for text in rows.column("text").cast(pa.binary()).to_pylist():
-                    codes, words = pd.factorize(np.array((text or b"").split() + [None], object)[:-1])
-                    found, sizes = word_features(list(words))
-                    summed = np.bincount(found, np.repeat(np.bincount(codes), sizes), BUCKETS + 1) if len(found) else np.zeros(BUCKETS + 1)
-                    summed[REPEAT] = REPEAT_WEIGHT * (codes[1:] == codes[:-1]).sum()
-                    some = np.flatnonzero(summed)
-                    buckets.append(some.astype(np.int32))
-                    counts.append(summed[some].astype(np.float32))
-                yield pa.RecordBatch.from_pydict({"quality": rows.column("quality"), "buckets": pa.array(buckets, pa.list_(pa.int32())), "counts": pa.array(counts, pa.list_(pa.float32()))})
-
-    return docs.select("text", "quality").mapInArrow(run, "quality int, buckets array<int>, counts array<float>")
+        nothing_kept()
+        for rows in text_batches(batches, "text"):
+            buckets, counts = [], []
+            for text in rows.column("text").cast(pa.binary()).to_pylist():
+                codes, words = pd.factorize(np.array((text or b"").split() + [None], object)[:-1])
+                found, sizes = word_features(list(words))
+                summed = np.bincount(found, np.repeat(np.bincount(codes), sizes), BUCKETS + 1) if len(found) else np.zeros(BUCKETS + 1)
+                summed[REPEAT] = REPEAT_WEIGHT * (codes[1:] == codes[:-1]).sum()
+                some = np.flatnonzero(summed)
+                buckets.append(some.astype(np.int32).tobytes())
+                counts.append(summed[some].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_pydict({"quality": rows.column("quality"), "buckets": pa.array(buckets, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    return docs.select("text", "quality").mapInArrow(run, "quality int, buckets binary, counts binary")
 
 
 def train(docs: list[tuple[int, np.ndarray, np.ndarray]], seed: int = 7) -> tuple[np.ndarray, float]:
@@ -137,15 +139,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = count_features(texts.join(F.broadcast(chosen), "doc_id")).limit(2 * TRAIN_DOCS)  # at most TRAIN_DOCS ids
-    found = [(r.quality, np.array(r.buckets, np.int32), np.array(r.counts, np.float32)) for r in rows.toLocalIterator()]
+    work = Workspace(docs.sparkSession)
+    rows = work.table(count_features(texts.join(F.broadcast(chosen), "doc_id")), "features")  # at most TRAIN_DOCS ids
+    found = [(r.quality, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.float32)) for r in itertools.islice(rows.toLocalIterator(), 2 * TRAIN_DOCS)]
     found.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
     return train(found)
 
 
-_KNOWN: dict[int, dict[bytes, tuple[float, int]]] = {}
-
-
 def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text; a text without words scores as the model's offset."""
     part, offset = model
@@ -153,30 +153,28 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score")
     shared = docs.sparkSession.sparkContext.broadcast(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tag not in _KNOWN:
-            _KNOWN.clear()
-        known = _KNOWN.setdefault(tag, {})
+        known: dict[bytes, tuple[float, int]] = kept_in_worker(("quality", tag), dict)
         values = shared.value.astype(np.float64)
-        for batch in batches:
-            for rows in text_slices(batch, "text"):
-                words = [(x or b"").split() for x in rows.column("text").cast(pa.binary()).to_pylist()]
-                counts = np.fromiter(map(len, words), np.int64, len(words))
-                codes, names = pd.factorize(np.array([w for x in words for w in x] + [None], object)[:-1])
-                if len(known) > MOST_WORDS:
-                    known.clear()
-                new = [w for w in names if w not in known]
-                if new:
-                    buckets, sizes = word_features(new)
-                    sums = np.add.reduceat(values[buckets], np.cumsum(sizes) - sizes)
-                    known.update(zip(new, zip(sums.tolist(), sizes.tolist(), strict=True), strict=True))
-                of_word = np.array([known[w] for w in names], np.float64).reshape(-1, 2)
-                owner = np.repeat(np.arange(len(words)), counts)
-                same = np.append(False, (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1]))[: len(codes)]
-                repeats = REPEAT_WEIGHT * np.bincount(owner, same, len(words))
-                sums = np.bincount(owner, of_word[codes, 0], len(words)) + repeats * values[REPEAT]
-                odds = sums / np.maximum(1, np.bincount(owner, of_word[codes, 1], len(words)) + repeats)
-                chance = pa.array(1 / (1 + np.exp(-np.clip(odds + offset, -500, 500))))
-                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), chance], [*kept, name])
+        for rows in text_batches(batches, "text"):
+            words = [(x or b"").split() for x in rows.column("text").cast(pa.binary()).to_pylist()]
+            counts = np.fromiter(map(len, words), np.int64, len(words))
+            codes, names = pd.factorize(np.array([w for x in words for w in x] + [None], object)[:-1])
+            if len(known) > MOST_WORDS:
+                known.clear()
+            new = [w for w in names if w not in known]
+            for k in range(0, len(new), WORDS_AT_ONCE):
+                some = new[k : k + WORDS_AT_ONCE]
+                buckets, sizes = word_features(some)
+                sums = np.add.reduceat(values[buckets], np.cumsum(sizes) - sizes)
+                known.update(zip(some, zip(sums.tolist(), sizes.tolist(), strict=True), strict=True))
+            of_word = np.array([known[w] for w in names], np.float64).reshape(-1, 2)
+            owner = np.repeat(np.arange(len(words)), counts)
+            same = np.append(False, (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1]))[: len(codes)]
+            repeats = REPEAT_WEIGHT * np.bincount(owner, same, len(words))
+            sums = np.bincount(owner, of_word[codes, 0], len(words)) + repeats * values[REPEAT]
+            odds = sums / np.maximum(1, np.bincount(owner, of_word[codes, 1], len(words)) + repeats)
+            chance = pa.array(1 / (1 + np.exp(-np.clip(odds + offset, -500, 500))))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), chance], [*kept, name])
 
     kept = [c for c in docs.columns if c != name]
     return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(name, T.DoubleType())]))

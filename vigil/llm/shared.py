@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +15,8 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir``.
@@ -32,6 +37,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self._n = spark, shared_dir(spark), 0
+        small_batches(spark)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -69,12 +75,56 @@ def publish(files: fs.FileSystem, temporary: str, final: str) -> None:
     files.move(temporary, final)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows whose texts hold about ``most_bytes`` together, at least one row each."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
+_KEPT: dict[object, object] = {}
+_C = ctypes.CDLL(None)
+
+
+def kept_in_worker(key: object, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between tasks: one thing at a time, so that operators don't add up."""
+    if key not in _KEPT:
+        nothing_kept()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def nothing_kept() -> None:
+    """Give back the memory of what earlier tasks of this worker kept."""
+    _KEPT.clear()
+    gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """Hand freed memory back to the system, so that a worker's peaks don't stay with it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Have Spark hand Python workers batches of at most so many rows, so that batches of long texts stay small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def text_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Regroup batches so that the texts of each hold about ``most_bytes`` together, at least one row each."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = 0
+        for i, n in enumerate(sizes.tolist()):
+            if total and total + n > most_bytes:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                yield pa.concat_batches(held)
+                trim()
+                held, total, start = [], 0, i
+            total += n
+        if batch.num_rows > start:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.concat_batches(held)
+        trim()

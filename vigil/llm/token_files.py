@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .shared import Workspace, open_fs, publish, text_slices
+from .shared import Workspace, open_fs, publish, text_batches
 from .tokenize import encoder, with_end
 
 MANIFEST = "part int, path string, documents long, ids long"
@@ -38,12 +38,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, work: Worksp
         writer = None
         encode = encoder(tokenizer).encode
         with files.open_output_stream(temporary, compression=None) as file:
-            for batch in batches:
-                for rows in text_slices(batch, "text"):
-                    writer = writer or simple8b.Writer(file)
-                    ids, sizes = with_end(*encode(rows.column("text").to_pylist()), end_id)
-                    keys = rows.column("doc_id")
-                    writer.add(keys.fill_null(0).to_numpy(), np.asarray(keys.is_null()), sizes, ids)
+            for rows in text_batches(batches, "text", 2 << 20):
+                writer = writer or simple8b.Writer(file)
+                ids, sizes = with_end(*encode(rows.column("text").to_pylist()), end_id)
+                keys = rows.column("doc_id")
+                writer.add(keys.fill_null(0).to_numpy(), np.asarray(keys.is_null()), sizes, ids)
             if writer:
                 writer.close()
         if not writer:

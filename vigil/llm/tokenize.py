@@ -15,12 +15,17 @@ from collections.abc import Sequence
 
 import numpy as np
 
+from .shared import kept_in_worker
+
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNKS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
+LED = re.compile(f"[{WHITE_SPACE}]+[^{WHITE_SPACE}]")
 
 #: A worker forgets its pieces beyond this many pieces or characters.
-MOST_PIECES, MOST_CHARACTERS = 1_000_000, 16_000_000
+MOST_PIECES, MOST_CHARACTERS = 400_000, 8_000_000
+#: New pieces that are encoded as one text.
+TOGETHER = 64
 
 
 def cuts_before_white_space(spec: dict) -> bool:
@@ -38,10 +43,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
-            self.cached = cuts_before_white_space(json.load(file))
+            spec = json.load(file)
+        self.cached = cuts_before_white_space(spec)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        if self.cached:  # a byte-level token has a character for each byte
+            names = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+            special = {t["id"] for t in spec["added_tokens"]}
+            self.width = np.zeros(max(names.values()) + 1, np.int64)
+            for name, i in names.items():
+                self.width[i] = len(name.encode()) if i in special else len(name)
         self._forget()
 
     def _forget(self) -> None:
@@ -54,13 +66,21 @@ class Encoder:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
-        found = self._encode(pieces)
+        """Encode new pieces. Those that start with white space are joined to longer texts, as each is a cut of
+        its own there too; the tokens' bytes tell where one ends."""
+        joined = [x for x in pieces if LED.match(x)]
+        single = [x for x in pieces if not LED.match(x)]
+        pieces = joined + single
+        texts = ["".join(joined[k : k + TOGETHER]) for k in range(0, len(joined), TOGETHER)] + single
+        found = [np.array(x, np.uint32) for x in self._encode(texts)]
+        ids = np.concatenate(found)
+        ends = np.cumsum(self.width[ids])
+        stops = np.searchsorted(ends, np.cumsum(np.fromiter((len(x.encode()) for x in pieces), np.int64, len(pieces)))) + 1
         n = len(self.codes)
         self.characters += sum(map(len, pieces))
         self.codes.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + stops])
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and the number of ids of each text. None counts as empty."""
@@ -78,7 +98,7 @@ class Encoder:
             counts[i] = len(cut)
             pieces += cut
         if new := set(pieces).difference(self.codes):
-            self._learn(list(new))
+            self._learn(sorted(new))
         codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
         lengths = self.starts[codes + 1] - self.starts[codes]
         ends = np.cumsum(lengths)
@@ -88,14 +108,9 @@ class Encoder:
         return ids, np.diff(bounds)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder of a file; workers are reused between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder of a file."""
+    return kept_in_worker(("encoder", path), lambda: Encoder(path))
 
 
 def with_end(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
