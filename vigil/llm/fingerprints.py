@@ -155,7 +155,7 @@ def links(fps: DataFrame, radius: int, work: Workspace) -> DataFrame:
     if n_hot:
         a = index.join(hot, ["part", "key"], "left_anti").alias("a")
     near = (_popcount(F.col("a.fp"), F.col("b.fp")) <= radius) & (F.col("a.fp") != F.col("b.fp"))
-    cold = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
+    cold = a.hint("merge").join(b, (F.col("a.part") == F.col("b.part")) & (F.col("a.key") == F.col("b.key")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     if n_hot:
         return cold.unionByName(_hot_links(index, probes, hot, radius))
     return cold
@@ -232,4 +232,4 @@ def one_of_each(docs: DataFrame, width: int, radius: int, work: Workspace) -> Da
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
     fps = work.table(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("least")), "distinct")
     first = work.table(components(fps, radius, work).select(F.col("component._row").alias("_row")).distinct(), "first")
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    return rows.join(first.hint("merge"), "_row", "left_semi").select(*docs.columns)

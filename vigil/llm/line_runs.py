@@ -134,7 +134,7 @@ def remove_repeated_runs(docs: DataFrame, work: Workspace, least_words: int = LE
         return pd.DataFrame(out, columns=["text", "n_lines", "n_deleted"])
 
     rewritten = F.pandas_udf(rewrite, "text string, n_lines long, n_deleted long")
-    joined = keyed.join(marks, ["_doc", "_tie"], "left").withColumn("_new", rewritten("text", "_runs"))
+    joined = keyed.join(marks.hint("merge"), ["_doc", "_tie"], "left").withColumn("_new", rewritten("text", "_runs"))
     columns = [F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_deleted")]
     return joined.select(*columns, F.col("_new.n_lines").alias("n_lines"), F.col("_new.n_deleted").alias("n_deleted"))
 
