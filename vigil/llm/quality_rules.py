@@ -22,8 +22,9 @@ from .shared import Workspace, nothing_kept, text_batches
 SYMBOLS = "[#*$%&|<>]"
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letters long, n_upper long, n_marks long, n_ended_lines long, n_same_next long, most_common_word long"
 WINDOW = 8
-#: A document is good if its posterior probability reaches this.
-LEAST = 0.5
+#: A document is kept if its posterior probability of being good reaches this; low, as a good document that goes
+#: costs more than a bad one that stays.
+LEAST = 0.05
 
 
 def repeated_window_words(codes: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
@@ -101,28 +102,29 @@ def _vote(good: Column, bad: Column) -> Column:
 
 #: Each rule's vote; the thresholds are parameters of the rules.
 RULES: dict[str, Column] = {
-    "length": lambda: _vote(F.col("n_words") >= 50, F.col("n_words") < 25),
-    "word_length": lambda: _vote(_share("word_chars", "n_words").between(3, 10), ~_share("word_chars", "n_words").between(2, 13)),
-    "symbols": lambda: _vote(_share("n_symbols", "n_words") <= 0.03, _share("n_symbols", "n_words") > 0.15),
-    "marks": lambda: _vote(_share("n_marks", "n_words") <= 0.35, _share("n_marks", "n_words") > 0.8),
-    "upper_case": lambda: _vote(_share("n_upper", "n_letters") <= 0.15, _share("n_upper", "n_letters") > 0.4),
-    "letters": lambda: _vote(_share("n_letters", "word_chars") >= 0.85, _share("n_letters", "word_chars") < 0.65),
-    "dup_lines": lambda: _vote((F.col("n_lines") >= 3) & (F.col("n_dup_lines") == 0), _share("n_dup_lines", "n_lines") > 0.3),
-    "repeats": lambda: _vote(F.col("n_repeat_words") * 20 <= F.col("n_words"), F.col("n_repeat_words") * 4 > F.col("n_words")),
-    "same_next": lambda: _vote(_share("n_same_next", "n_words") <= 0.03, _share("n_same_next", "n_words") > 0.15),
+    "length": lambda: _vote(F.col("n_words") >= 50, F.col("n_words") < 5),
+    "word_length": lambda: _vote(_share("word_chars", "n_words").between(3, 10), ~_share("word_chars", "n_words").between(2, 15)),
+    "symbols": lambda: _vote(_share("n_symbols", "n_words") <= 0.05, _share("n_symbols", "n_words") > 0.25),
+    "marks": lambda: _vote(_share("n_marks", "n_words") <= 0.4, _share("n_marks", "n_words") > 1),
+    "upper_case": lambda: _vote(_share("n_upper", "n_letters") <= 0.15, _share("n_upper", "n_letters") > 0.5),
+    "letters": lambda: _vote(_share("n_letters", "word_chars") >= 0.85, _share("n_letters", "word_chars") < 0.5),
+    "dup_lines": lambda: _vote((F.col("n_lines") >= 3) & (F.col("n_dup_lines") == 0), (F.col("n_lines") >= 3) & (_share("n_dup_lines", "n_lines") > 0.5)),
+    "repeats": lambda: _vote(F.col("n_repeat_words") * 20 <= F.col("n_words"), F.col("n_repeat_words") * 10 > F.col("n_words") * 3),
+    "same_next": lambda: _vote(_share("n_same_next", "n_words") <= 0.05, _share("n_same_next", "n_words") > 0.2),
     "common_word": lambda: _vote(_share("most_common_word", "n_words") <= 0.15, (F.col("n_words") >= 20) & (_share("most_common_word", "n_words") > 0.3)),
-    "line_ends": lambda: _vote(_share("n_ended_lines", "n_lines") >= 0.7, (F.col("n_lines") >= 3) & (_share("n_ended_lines", "n_lines") < 0.2)),
+    "line_ends": lambda: _vote(_share("n_ended_lines", "n_lines") >= 0.7, (F.col("n_lines") >= 5) & (_share("n_ended_lines", "n_lines") < 0.1)),
 }
 
 
 def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
     """The share of good documents and, for bad and good ones, each rule's probabilities of -1, 0 and +1.
 
-    Starts from the majority of votes. Votes of one rule are taken as independent of the others' given the
-    class; a small count is added to each vote's.
+    Kinds of bad documents differ in the rule that tells them, so the start is not the majority of votes: a
+    document is likely bad if its votes against are more than ``1 / n_rules`` of those for it. Votes of one rule
+    are taken as independent of the others' given the class; a small count is added to each vote's.
     """
     n_rules = votes.shape[1]
-    good = np.clip(0.5 + 0.45 * np.sign(votes.sum(1)), 0.05, 0.95)
+    good = np.where((votes < 0).sum(1) * n_rules > (votes > 0).sum(1), 0.05, 0.95)
     onehot = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float)
     prior, table = 0.5, np.zeros((2, n_rules, 3))
     for _ in range(rounds):
@@ -139,8 +141,9 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float
 
 
 def posterior(votes: np.ndarray, prior: float, table: np.ndarray) -> np.ndarray:
-    """The probability that a document with these votes is good."""
+    """The probability that a document with these votes is good. Abstentions tell only beside a vote against."""
     onehot = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float)
+    onehot[~(votes < 0).any(1), :, 1] = 0
     logs = np.einsum("prv,crv->cp", onehot, np.log(table)) + np.log([[1 - prior], [prior]])
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
