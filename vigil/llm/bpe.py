@@ -7,9 +7,11 @@ all its positions at once, and the lists of the pairs that it breaks and makes a
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -23,8 +25,10 @@ from .tokenize import CHUNKS, cuts_before_white_space
 
 #: Fixed value: the pattern of byte-level BPE's pre-tokeniser.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: A chunk of letters that the pattern takes as one word, and marks after it that it takes as another.
+LETTERS = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 #: A worker forgets its words or chunks beyond this many.
-MOST_CACHED, MOST_CHARACTERS = 1_000_000, 16_000_000
+MOST_CACHED, MOST_CHARACTERS = 400_000, 12_000_000
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -68,8 +72,9 @@ class PairIndexBPE:
         keys = np.array(sorted(self.rank), np.int64)
         self.keys, self.ranks = keys, np.array([self.rank[k] for k in keys.tolist()], np.int64)
         self.decimals = [b"%d," % i for i in range(size)]
-        self.words: dict[str, list[int]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        # of a word or chunk: the number of its ids, the ids in decimals with a comma behind each, and their bytes
+        self.words: dict[str, tuple[int, bytes, bytes]] = {}
+        self.chunks: dict[str, tuple[int, bytes, bytes]] = {}
         self.characters = 0
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -137,38 +142,45 @@ class PairIndexBPE:
         flat, stops = symbol[alive].tolist(), np.cumsum(counts).tolist()
         return [flat[b - c : b] for b, c in zip(stops, counts.tolist(), strict=True)]
 
+    def _parts(self, chunk: str) -> list[str | int]:
+        """The words of a chunk, and the ids of its special tokens."""
+        if plain := LETTERS.fullmatch(chunk):  # the commonest case: letters, then marks
+            return [x for x in plain.groups() if x]
+        if not any(x in chunk for x in self.special):
+            return WORDS.findall(chunk)
+        out: list[str | int] = []
+        for piece in self.split_special.split(chunk):
+            if piece in self.special:
+                out.append(self.special[piece])
+            else:
+                out += WORDS.findall(piece)
+        return out
+
+    def _entry(self, ids: Sequence[int]) -> tuple[int, bytes, bytes]:
+        return len(ids), b"".join([self.decimals[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
+
     def learn(self, chunks: Sequence[str]) -> None:
         """Enter chunks that weren't met before."""
-        if len(self.chunks) > MOST_CACHED or len(self.words) > MOST_CACHED or self.characters > MOST_CHARACTERS:
+        if len(self.chunks) > MOST_CACHED or self.characters > MOST_CHARACTERS:
             self.chunks.clear()
-            self.words.clear()
             self.characters = 0
-        cut: list[list[str | int]] = []
-        new: dict[str, None] = {}
-        for chunk in chunks:
-            parts: list[str | int] = []
-            for piece in self.split_special.split(chunk) if self.split_special else [chunk]:
-                if piece in self.special:
-                    parts.append(self.special[piece])
-                elif piece:
-                    found = WORDS.findall(piece)
-                    parts += found
-                    new |= dict.fromkeys(x for x in found if x not in self.words)
-            cut.append(parts)
+        if len(self.words) > MOST_CACHED:
+            self.words.clear()
+        cut = [self._parts(chunk) for chunk in chunks]
+        new = list({x for parts in cut for x in parts if isinstance(x, str)}.difference(self.words))
         if new:
-            self.words.update(zip(new, self.encode_words(list(new)), strict=True))
+            self.words.update(zip(new, map(self._entry, self.encode_words(new)), strict=True))
         for chunk, parts in zip(chunks, cut, strict=True):
-            ids: list[int] = []
-            for x in parts:
-                if isinstance(x, int):
-                    ids.append(x)
-                else:
-                    ids += self.words[x]
-            self.chunks[chunk] = tuple(ids)
-        self.characters += 2 * sum(map(len, chunks))
+            if len(parts) == 1 and isinstance(parts[0], str):
+                self.chunks[chunk] = self.words[parts[0]]
+                continue
+            found = [self._entry([x]) if isinstance(x, int) else self.words[x] for x in parts]
+            counts, decimals, raw = zip(*found, strict=True)
+            self.chunks[chunk] = (sum(counts), b"".join(decimals), b"".join(raw))
+        self.characters += sum(map(len, chunks))
 
-    def encode(self, texts: Sequence[str | None]) -> list[list[int]]:
-        """Ids of whole texts; None counts as empty."""
+    def coded(self, texts: Sequence[str | None]) -> list[list[tuple[int, bytes, bytes]]]:
+        """The chunks of whole texts, coded; None counts as empty."""
         cut = [CHUNKS.findall(x or "") for x in texts]
         need = set().union(*cut)
         new = need.difference(self.chunks)
@@ -177,8 +189,11 @@ class PairIndexBPE:
             self.learn(list(new))
             if len(self.chunks) < before:  # all were forgotten
                 self.learn(list(need.difference(self.chunks)))
-        chunks = self.chunks
-        return [[i for c in x for i in chunks[c]] for x in cut]
+        return [[self.chunks[c] for c in x] for x in cut]
+
+    def encode(self, texts: Sequence[str | None]) -> list[list[int]]:
+        """Ids of whole texts; None counts as empty."""
+        return [[int(i) for x in chunks for i in x[1].split(b",")[:-1]] for chunks in self.coded(texts)]
 
     def decode(self, ids: Sequence[int]) -> str:
         """Text of ids; bytes that aren't UTF-8 become the replacement character."""
@@ -200,10 +215,18 @@ def encode_and_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(tokenizer)
         for rows in text_batches(batches, "text", 6 << 20):
-            found = bpe.encode(rows.column("text").to_pylist())
-            digests = [hashlib.sha256(b"".join(map(bpe.decimals.__getitem__, ids))[:-1]).hexdigest() for ids in found]
-            decoded = [hashlib.sha256(bpe.decode(ids).encode()).hexdigest() for ids in found]
-            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_tokens": pa.array([len(x) for x in found], pa.int64()), "ids_sha256": digests, "decoded_sha256": decoded})
+            sizes, digests, decoded = [], [], []
+            gc.disable()  # what is kept holds no cycles, and the collector would walk it again and again
+            try:
+                for chunks in bpe.coded(rows.column("text").to_pylist()):
+                    counts, decimals, raw = zip(*chunks, strict=True) if chunks else ((), (), ())
+                    sizes.append(sum(counts))
+                    digests.append(hashlib.sha256(b"".join(decimals)[:-1]).hexdigest())
+                    # chunks end between characters, so the bytes may be decoded together
+                    decoded.append(hashlib.sha256(b"".join(raw).decode("utf-8", "replace").encode()).hexdigest())
+            finally:
+                gc.enable()
+            yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64()), "ids_sha256": digests, "decoded_sha256": decoded})
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, RESULT)
