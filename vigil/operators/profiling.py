@@ -96,15 +96,15 @@ def mapping_verification(mappings: DataFrame, paths: DataFrame) -> DataFrame:
 
 def type_mismatch(fields: DataFrame, dictionary: DataFrame, class_uid: int) -> DataFrame:
     """Observed types (path, type) that disagree with the class's dictionary; arrays agree with all, nulls and objects say nothing."""
-    known = dictionary.where(F.col("class_uid") == class_uid).select("path", "ocsf_type")
+    known = dictionary.where(F.col("class_uid") == class_uid).select("path", "attr_type")
     pairs = [f"{a}:{b}" for a, all_b in COMPATIBLE.items() for b in all_b]
     observed = fields.select("path", "type").distinct().where(~F.col("type").isin("null", "object", "array"))
-    return observed.join(known, "path").where(~F.concat_ws(":", "type", "ocsf_type").isin(pairs)).select("path", F.col("type").alias("observed_type"), F.col("ocsf_type").alias("schema_type"))
+    return observed.join(known, "path").where(~F.concat_ws(":", "type", "attr_type").isin(pairs)).select("path", F.col("type").alias("observed_type"), F.col("attr_type").alias("schema_type"))
 
 
 def infer_dimensions(profile: DataFrame) -> DataFrame:
-    """Class, priority and use as a dimension of each attribute of (name, ocsf_type, requirement, group, has_enum, observable_type_id)."""
-    name, kind = F.col("name"), F.col("ocsf_type")
+    """Class, priority and use as a dimension of each attribute of (name, attr_type, requirement, group, has_enum, observable_type_id)."""
+    name, kind = F.col("name"), F.col("attr_type")
     identifier = name.rlike("(_uid|_id|_name)$") | name.isin("uid", "id", "name")
     stamp, observable, enum = kind.isin("timestamp_t", "datetime_t"), F.col("observable_type_id").isNotNull(), F.col("has_enum")
     required, recommended = F.col("requirement") == "required", F.col("requirement") == "recommended"

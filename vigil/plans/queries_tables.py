@@ -89,14 +89,14 @@ def mapping_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCHEMA = [("user", "string_t", 1, "required"), ("type", "string_t", 1, "optional"), ("n.k", "integer_t", 1, "optional"), ("tags", "long_t", 1, "recommended"), ("other.path", "string_t", 1, "required")]
-SCHEMA_SQL = "sch AS (SELECT * FROM (VALUES ('user', 'string_t', 1, 'required'), ('type', 'string_t', 1, 'optional'), ('n.k', 'integer_t', 1, 'optional'), ('tags', 'long_t', 1, 'recommended'), ('other.path', 'string_t', 1, 'required')) s(path, ocsf_type, class_uid, requirement))"
+SCHEMA_SQL = "sch AS (SELECT * FROM (VALUES ('user', 'string_t', 1, 'required'), ('type', 'string_t', 1, 'optional'), ('n.k', 'integer_t', 1, 'optional'), ('tags', 'long_t', 1, 'recommended'), ('other.path', 'string_t', 1, 'required')) s(path, attr_type, class_uid, requirement))"
 
 
 def _schema(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SCHEMA, "path string, ocsf_type string, class_uid int, requirement string")
+    return spark.createDataFrame(SCHEMA, "path string, attr_type string, class_uid int, requirement string")
 
 
-@query("type_mismatch", f"WITH {MAPPINGS_SQL}, {SCHEMA_SQL} SELECT path, 'number' AS observed_type, ocsf_type AS schema_type FROM sch WHERE path IN (SELECT path FROM seen) AND path IN ('user', 'n.k')")
+@query("type_mismatch", f"WITH {MAPPINGS_SQL}, {SCHEMA_SQL} SELECT path, 'number' AS observed_type, attr_type AS schema_type FROM sch WHERE path IN (SELECT path FROM seen) AND path IN ('user', 'n.k')")
 def type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.type_mismatch(_json_fields(spark, sf_dir)[0], _schema(spark), 1)
 
@@ -113,7 +113,7 @@ ATTRIBUTES = {"doc_id": ("long_t", "required", None, False, None), "lang": ("str
 @query("infer_dimensions", "SELECT DISTINCT * FROM (SELECT unnest([{'name': 'doc_id', 'dimension_type': 'identifier', 'priority': 'high', 'is_dimension': true, 'reason': 'required'}, {'name': 'lang', 'dimension_type': 'text', 'priority': 'medium', 'is_dimension': true, 'reason': 'classification group'}, {'name': 'source', 'dimension_type': 'categorical', 'priority': 'low', 'is_dimension': true, 'reason': 'enum'}, {'name': 'n_chars', 'dimension_type': 'numeric', 'priority': 'low', 'is_dimension': false, 'reason': 'no criterion met'}, {'name': 'text', 'dimension_type': 'searchable', 'priority': 'high', 'is_dimension': true, 'reason': 'primary group'}], recursive := true) FROM documents)")
 def infer_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = profiling.column_statistics(binding.table(spark, sf_dir, "documents"), "documents", list(ATTRIBUTES), approx=True)
-    known = spark.createDataFrame([(n, *a) for n, a in ATTRIBUTES.items()], "name string, ocsf_type string, requirement string, `group` string, has_enum boolean, observable_type_id int")
+    known = spark.createDataFrame([(n, *a) for n, a in ATTRIBUTES.items()], "name string, attr_type string, requirement string, `group` string, has_enum boolean, observable_type_id int")
     return profiling.infer_dimensions(found.select(F.col("column_name").alias("name")).join(known, "name"))
 
 
