@@ -75,6 +75,8 @@ def publish(files: fs.FileSystem, temporary: str, final: str) -> None:
     files.move(temporary, final)
 
 
+#: Text batches after which freed memory is handed back.
+TRIM_EVERY = 8
 _KEPT: dict[object, object] = {}
 _C = ctypes.CDLL(None)
 
@@ -111,7 +113,7 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
 def text_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Regroup batches so that the texts of each hold about ``most_bytes`` together, at least one row each."""
     held: list[pa.RecordBatch] = []
-    total = 0
+    total = given = 0
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         start = 0
@@ -120,8 +122,9 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int
                 if i > start:
                     held.append(batch.slice(start, i - start))
                 yield pa.concat_batches(held)
-                trim()
-                held, total, start = [], 0, i
+                held, total, start, given = [], 0, i, given + 1
+                if given % TRIM_EVERY == 0:  # memory that is taken anew each time costs time
+                    trim()
             total += n
         if batch.num_rows > start:
             held.append(batch.slice(start))

@@ -28,8 +28,14 @@ BLOCK = 1024
 GROUP = struct.Struct("<qqqq")  # documents, ids, blocks, words
 
 
+#: Bits of each number of up to sixteen bits.
+SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id, 0 for 0."""
+    if len(ids) and ids.max() < len(SHORT):
+        return SHORT[ids.astype(np.uint16)]
     bits = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
     if len(ids) and ids.max() >= 1 << 53:  # beyond what a double holds exactly
         high = np.frexp((ids >> np.uint64(32)).astype(np.float64))[1].astype(np.uint8)
@@ -66,14 +72,17 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts = np.arange(blocks, dtype=np.int64) * row
     ends = starts + BLOCK
     ends[-1] = starts[-1] + n - (blocks - 1) * BLOCK
-    found = []
-    here, until = starts, ends
+    steps = []
+    here, until, live = starts, ends, np.arange(blocks)
     while len(here):
-        found.append(here)
+        placed = np.full(blocks, -1, np.int64)
+        placed[live] = here
+        steps.append(placed)
         here = here + step[choice[here]]
         keep = here < until
-        here, until = here[keep], until[keep]
-    positions = np.sort(np.concatenate(found))
+        here, until, live = here[keep], until[keep], live[keep]
+    by_block = np.stack(steps, 1)  # a block's words are in order, and so are the blocks
+    positions = by_block[by_block >= 0]
     chosen = choice[positions]
     size = 1 + (chosen == ESCAPE).astype(np.int64)
     to = np.cumsum(size) - size
