@@ -23,7 +23,7 @@ CHUNKS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 LED = re.compile(f"[{WHITE_SPACE}]+[^{WHITE_SPACE}]")
 
 #: A worker forgets its pieces beyond this many pieces or characters.
-MOST_PIECES, MOST_CHARACTERS = 400_000, 8_000_000
+MOST_PIECES, MOST_CHARACTERS = 800_000, 16_000_000
 #: New pieces that are encoded as one text.
 TOGETHER = 64
 
