@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import fingerprints, line_runs, packing, quality_classifier, quality_rules
+from vigil.llm import line_runs, packing, quality_classifier, quality_rules, similar
 from vigil.llm.queries import END_ID, SEQUENCE, tokenizer
 from vigil.llm.shared import Workspace
 
-#: Near-duplicates: words in a shingle, and bits in which linked fingerprints differ at most.
-WIDTH, RADIUS = 5, 8
+#: Near-duplicates: words in a shingle, bits in which linked fingerprints differ at most, and the least share of common
+#: shingles of two texts.
+WIDTH, RADIUS, SIMILAR = 5, 8, 0.8
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
-    return fingerprints.one_of_each(docs, WIDTH, RADIUS, Workspace(spark))
+    return similar.one_of_each(docs, WIDTH, RADIUS, SIMILAR, Workspace(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
