@@ -1,6 +1,6 @@
 """Licence scans: a trained paragraph classifier, calibrated for the unknown, confirmed by templates.
 
-A paragraph is a line with words. Its features are word n-grams of up to three words that occur in the licence
+A paragraph is a line with words, or neighbouring lines over which a notice is wrapped. Its features are word n-grams of up to three words that occur in the licence
 templates. Logistic regression over the families and a class for no licence is trained on the templates, on
 variants of them with words left out, changed or added, and on paragraphs of plain text. A second share of variants calibrates
 the probabilities: their temperature, and the least probability at which a family is named rather than unknown.
@@ -99,6 +99,8 @@ WORD = re.compile(r"[a-z0-9]+(?:[-.][a-z0-9]+)*")
 VARIANTS, EPOCHS, RATE, DECAY = 60, 400, 2.0, 1e-4
 #: Share of a template's trigrams that confirms a family.
 CONFIRM = 0.75
+#: Words beside a wrapped notice in its first and last lines.
+SLACK = 40
 #: Share of calibration variants that must stay above the least probability.
 KEEP = 0.98
 RESULT = "doc_id long, n_paragraphs long, n_licences long, n_unknown long, families string"
@@ -144,6 +146,7 @@ class Model:
         strange = _softmax((self._matrix([words_of(t) for t in OTHERS]) @ self.weights + self.bias) / self.temperature)[:, :none].max()
         self.least = float(min(np.quantile(chance[right, y[right]], 1 - KEEP), max(0.5, strange)))
         self.trigrams = [[grams(words_of(t)) - grams(words_of(t), 2) or grams(words_of(t)) for t in TEMPLATES[f]] for f in self.families]
+        self.longest = max(len(words_of(t)) for f in self.families for t in TEMPLATES[f])
         self.cues = {w for w in self.single if any(k in w for k in ("licen", "copyright", "spdx", "redistribut", "warrant", "permission"))}
 
     def _matrix(self, texts: list[list[str]]) -> np.ndarray:
@@ -180,6 +183,54 @@ class Model:
         return ("unknown" if cue else ""), False
 
 
+    def scored(self, words: list[str]) -> bool:
+        """Whether there are features that tell a licence: two words of the templates or a cue."""
+        return len(self.single.intersection(words)) >= 2 or not self.cues.isdisjoint(words)
+
+    def covered(self, words: list[str]) -> bool:
+        """Whether any template would confirm a family."""
+        mine = grams(words)
+        return any(len(t & mine) >= CONFIRM * len(t) for f in self.trigrams for t in f)
+
+    def reach(self, words: list[str], lines: list[list[str]], family: str) -> int:
+        """How many of the lines that follow a notice belong to it: they complete one of the family's templates."""
+        templates = self.trigrams[self.families.index(family)]
+        words, reached = list(words), 0
+        before = [len(t & grams(words)) / len(t) for t in templates]
+        for k, x in enumerate(lines, 1):
+            if len(words) > self.longest + SLACK:
+                break
+            words += x
+            mine = grams(words)
+            share = [len(t & mine) / len(t) for t in templates]
+            if any(b > a and b >= CONFIRM for a, b in zip(before, share, strict=True)):
+                reached, before = k, share
+        return reached
+
+    def wrapped(self, lines: list[list[str]]) -> list[tuple[int, int, str]]:
+        """(first line, line after the last, family) of notices that run over several of neighbouring lines."""
+        out: list[tuple[int, int, str]] = []
+        if len(lines) < 2 or not self.covered([w for x in lines for w in x]):
+            return out
+        i = 0
+        while i < len(lines) - 1:
+            j, words, found = i + 1, list(lines[i]), ""
+            while j < len(lines) and len(words) <= self.longest + SLACK and not found:
+                words += lines[j]
+                j += 1
+                family, confirmed = self.judge(words)
+                found = family if confirmed else ""
+            if not found:
+                i += 1
+                continue
+            while i + 2 < j and self.judge([w for x in lines[i + 1 : j] for w in x]) == (found, True):
+                i += 1
+            j += self.reach([w for x in lines[i:j] for w in x], lines[j:], found)
+            out.append((i, j, found))
+            i = j
+        return out
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -192,10 +243,11 @@ def model() -> Model:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per document: paragraphs, those with a confirmed family, those with another licence, and the families' names.
+    """Per document: lines with words, notices of a confirmed family, other licences, and the families' names.
 
-    Only paragraphs with at least two words of the templates are scored; the others have no features that tell
-    a licence. Null and empty texts have no paragraphs. Null or repeated ids are scanned like any others. An
+    Only lines with at least two words of the templates or a cue are scored; the others have no features that tell
+    a licence. Neighbouring lines without a family of their own are scored together too; a notice found so counts
+    once, and its lines no more. Null and empty texts have no paragraphs. Null or repeated ids are scanned like any others. An
     empty table gives no rows; extra columns are ignored.
     """
 
@@ -209,22 +261,36 @@ def scan(docs: DataFrame) -> DataFrame:
         for rows in text_batches(batches, "text"):
             out = []
             for text in rows.column("text").to_pylist():
-                paragraphs = [p for p in (text or "").split("\n") if p.strip()]
-                families, named, unknown = set(), 0, 0
-                for p in paragraphs:
-                    if len(judge.single.intersection(words := words_of(p))) < 2:
+                families, named, unknown, n_lines = set(), 0, 0, 0
+                block: list[tuple[list[str], bool]] = []
+                head: tuple[list[str], str] | None = None
+                for p in [*(text or "").split("\n"), ""]:
+                    words, family, confirmed = words_of(p), "", False
+                    n_lines += bool(p.strip())
+                    if judge.scored(words):
+                        if p not in seen:
+                            if len(seen) > 50_000:
+                                seen.clear()
+                            seen[p] = judge.judge(words)
+                        family, confirmed = seen[p]
+                    if p.strip() and not confirmed:
+                        block.append((words, family == "unknown"))
                         continue
-                    if p not in seen:
-                        if len(seen) > 50_000:
-                            seen.clear()
-                        seen[p] = judge.judge(words)
-                    family, confirmed = seen[p]
+                    # a blank line or a notice of its own ends a block
+                    if head:
+                        block = block[judge.reach(head[0], [w for w, _ in block], head[1]) :]
+                    left = [u for _, u in block]
+                    for start, end, found in judge.wrapped([w for w, _ in block]):
+                        families.add(found)
+                        named += 1
+                        left[start:end] = [False] * (end - start)
+                    unknown += sum(left)
+                    block, head = [], None
                     if confirmed:
                         families.add(family)
                         named += 1
-                    elif family == "unknown":
-                        unknown += 1
-                out.append((len(paragraphs), named, unknown, ",".join(sorted(families))))
+                        head = (words, family)
+                out.append((n_lines, named, unknown, ",".join(sorted(families))))
             count, named, unknown, families = zip(*out, strict=True)
             yield pa.RecordBatch.from_pydict({"doc_id": rows.column("doc_id"), "n_paragraphs": pa.array(count, pa.int64()), "n_licences": pa.array(named, pa.int64()), "n_unknown": pa.array(unknown, pa.int64()), "families": list(families)})
 
