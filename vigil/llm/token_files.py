@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .shared import Workspace, open_fs, publish, text_batches
+from .shared import Workspace, open_fs, text_batches
 from .tokenize import encoder, with_end
 
 MANIFEST = "part int, path string, documents long, ids long"
@@ -23,7 +23,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, work: Worksp
     """Encode whole texts (null: empty), append ``end_id`` to each, and write one file for each range of doc_id.
 
     Returns the manifest, one row a file, in the order of ``part``. Null ids come first; rows that share an id
-    are ordered by their texts' hash. An empty table gives no files. Extra columns are ignored.
+    are ordered by their texts' hash, and equal rows by their place in the input, so that they too are split over
+    files. A very long text is encoded whole, in a batch of its own. An empty table gives no files. Extra columns
+    are ignored.
     """
     folder = work.path("ids")
     base, path = open_fs(folder)
@@ -33,12 +35,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, work: Worksp
         context = TaskContext.get()
         files, top = open_fs(folder)
         files.create_dir(top, recursive=True)
-        final = f"{top}/part-{context.partitionId():06d}.s8b"
-        temporary = f"{final}.{context.taskAttemptId()}"
+        # each attempt writes a file of its own; the manifest names that of the one that counts
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.s8b"
         writer = None
         encode = encoder(tokenizer).encode
-        with files.open_output_stream(temporary, compression=None) as file:
-            for rows in text_batches(batches, "text", 2 << 20):
+        with files.open_output_stream(f"{top}/{name}", compression=None) as file:
+            for rows in text_batches(batches, "text", 4 << 20):
                 writer = writer or simple8b.Writer(file)
                 ids, sizes = with_end(*encode(rows.column("text").to_pylist()), end_id)
                 keys = rows.column("doc_id")
@@ -46,17 +48,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, work: Worksp
             if writer:
                 writer.close()
         if not writer:
-            files.delete_file(temporary)
+            files.delete_file(f"{top}/{name}")
             return
-        publish(files, temporary, final)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([context.partitionId()], pa.int32()), "path": [f"{folder}/{final.rpartition('/')[2]}"], "documents": [writer.documents], "ids": [writer.ids]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([context.partitionId()], pa.int32()), "path": [f"{folder}/{name}"], "documents": [writer.documents], "ids": [writer.ids]})
 
     sorted_docs = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange("doc_id", "tie")
-        .sortWithinPartitions("doc_id", "tie")
-        .drop("tie")
+        .withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+        .repartitionByRange("doc_id", "tie", "row")
+        .sortWithinPartitions("doc_id", "tie", "row")
+        .drop("tie", "row")
     )
     return work.table(sorted_docs.mapInArrow(write, MANIFEST), "manifest")
 

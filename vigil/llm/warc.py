@@ -1,7 +1,7 @@
 """WARC archives from pages and back, by way of a table of payload chunks.
 
-A payload travels as rows (record, chunk number, bytes), each with the digest of all bytes so far, so no step
-after the source holds a whole payload. The last chunk's digest is the payload's. Records with equal payloads
+A payload travels as rows (record, chunk number, bytes, each chunk compressed by itself), each with the digest of all
+bytes so far, so no step after the source holds a whole payload. The last chunk's digest is the payload's. Records with equal payloads
 are stored once: the one with the largest page_id as a response, the others as revisits of it.
 """
 
@@ -15,11 +15,12 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace, open_fs, publish
+from .shared import Workspace, open_fs
 
 #: Bytes in a chunk.
 CHUNK = 1 << 18
@@ -47,13 +48,13 @@ def chunk_table(pages: DataFrame, work: Workspace, size: int = CHUNK) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in CHUNKS.split(", ")]
-        rows, held = [], 0
+        rows, held, pack = [], 0, zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i in range(batch.num_rows):
                 record, page, url = (batch.column(c)[i].as_py() for c in ("record", "page_id", "url"))
                 payload = batch.column("html")[i].as_buffer()
                 for number, data, so_far, digest, last in chunk_rows(memoryview(payload) if payload else b"", size):
-                    rows.append((record, page, url, number, bytes(data), so_far, digest, last))
+                    rows.append((record, page, url, number, pack.compress(data), so_far, digest, last))
                     held += len(data)
                     if held > 16 * CHUNK:
                         yield _batch(rows, names)
@@ -97,6 +98,12 @@ def _head(row: dict, http: bytes, date: str) -> bytes:
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + http
 
 
+def _rows(batches: Iterator[pa.RecordBatch], together: int = 16) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, together):
+            yield from batch.slice(k, together).to_pylist()
+
+
 def write_archives(chunks: DataFrame, plan: DataFrame, work: Workspace, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """One archive for each partition, records in order, each its own gzip member; returns the archives' paths."""
     folder = work.path("warc")
@@ -107,24 +114,23 @@ def write_archives(chunks: DataFrame, plan: DataFrame, work: Workspace, date: st
         context = TaskContext.get()
         files, top = open_fs(folder)
         files.create_dir(top, recursive=True)
-        final = f"{top}/part-{context.partitionId():06d}.warc.gz"
-        temporary, records, member = f"{final}.{context.taskAttemptId()}", 0, None
-        with files.open_output_stream(temporary, compression=None) as out:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    if row["chunk"] == 0:
-                        member, records = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=4, mtime=0), records + 1
-                        member.write(_head(row, _http(row["payload_bytes"]), date))
-                    if row["data"]:
-                        member.write(row["data"])
-                    if row["last"]:
-                        member.write(b"\r\n\r\n")
-                        member.close()
+        # each attempt writes a file of its own; the table of archives names that of the one that counts
+        name = f"part-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
+        records, member, unpack = 0, None, zstandard.ZstdDecompressor()
+        with files.open_output_stream(f"{top}/{name}", compression=None) as out:
+            for row in _rows(batches):
+                if row["chunk"] == 0:
+                    member, records = gzip.GzipFile(fileobj=out, mode="wb", compresslevel=4, mtime=0), records + 1
+                    member.write(_head(row, _http(row["payload_bytes"]), date))
+                if row["data"]:
+                    member.write(unpack.decompress(row["data"]))
+                if row["last"]:
+                    member.write(b"\r\n\r\n")
+                    member.close()
         if not records:
-            files.delete_file(temporary)
+            files.delete_file(f"{top}/{name}")
             return
-        publish(files, temporary, final)
-        yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{final.rpartition('/')[2]}"], "records": pa.array([records], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": pa.array([records], pa.int64())})
 
     revisit = F.col("holder") != F.col("record")
     stored = (
@@ -206,10 +212,11 @@ def _records(file: io.BufferedReader, size: int) -> Iterator[tuple]:
 def round_trip(pages: DataFrame, work: Workspace) -> DataFrame:
     """Write all pages and read them back: one row a page.
 
-    A null html is an empty payload. A null page_id is written as such and counts as the smallest. Of repeated
-    rows one is the response. An empty table gives no rows; extra columns are ignored.
+    A null html is an empty payload. A very long one is cut into chunks that are written and read one by one. A null
+    page_id is written as such and counts as the smallest. Of repeated rows, and of equal payloads of one page_id, one
+    is the response. An empty table gives no rows; extra columns are ignored.
     """
     chunks = chunk_table(pages, work)
     archives = write_archives(chunks, record_plan(chunks, work), work)
-    work.drop(chunks)
+    work.drop("chunks", "holders")
     return read_archives(archives).where("last").select("page_id", F.col("so_far").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
