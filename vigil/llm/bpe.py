@@ -21,7 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import kept_in_worker, small_batches, text_batches
-from .tokenize import CHUNKS, cuts_before_white_space
+from .tokenize import cuts_before_white_space
+
+#: The code points of Unicode's White_Space property. Chunks begin with white space or at the text's start.
+WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+CHUNKS = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
 #: Fixed value: the pattern of byte-level BPE's pre-tokeniser.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")

@@ -42,7 +42,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, work: Worksp
         with files.open_output_stream(f"{top}/{name}", compression=None) as file:
             for rows in text_batches(batches, "text", 4 << 20):
                 writer = writer or simple8b.Writer(file)
-                ids, sizes = with_end(*encode(rows.column("text").to_pylist()), end_id)
+                ids, sizes = with_end(*encode(rows.column("text")), end_id)
                 keys = rows.column("doc_id")
                 writer.add(keys.fill_null(0).to_numpy(), np.asarray(keys.is_null()), sizes, ids)
             if writer:
