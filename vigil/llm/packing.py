@@ -2,9 +2,10 @@
 
 Documents longer than a sequence are cut; whole pieces fill a sequence alone. The rest go to partitions of
 bounded size. Each partition packs by best-fit decreasing and gets a lower bound from dual-feasible
-functions. Where the bound is met, the partition is certified and keeps its bins but the emptiest. The others
-hand the pieces of all their unfilled bins to a common pool, which is dealt anew and packed again, until it
-fits one partition or the rounds are over.
+functions. Where the bound is met, the partition is certified and keeps its bins but the emptiest and those
+of the smallest pieces, as room of several partitions may add up to a bin. The others hand back the pieces of all their unfilled bins. What comes
+back is dealt anew and packed again, until it fits one partition or rounds hardly save a sequence any more. Each
+piece tells the bins, the bound and the certificate of the partition that placed it.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from .shared import Workspace, text_batches
 from .tokenize import encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = f"{PIECES}, sequence_id long, offset long, open boolean"
+PLACED = f"{PIECES}, sequence_id long, offset long, partition_bins long, partition_bound long, certified boolean, open boolean"
 #: Pieces that one task packs at once.
 PARTITION_PIECES = 100_000
-#: Times that the pool is dealt anew.
-ROUNDS = 4
+#: The exchange ends after so many rounds in a row that save less than this share of the sequences they repack.
+PATIENCE, GAIN = 2, 0.001
+#: A certified partition hands back one in so many of its bins for their room, and as many for their small pieces.
+BACK = 4
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
@@ -34,8 +37,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> D
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for rows in text_batches(batches, "text", 2 << 20):
-            ids, sizes = with_end(*encode(rows.column("text").to_pylist()), end_id)
+        for rows in text_batches(batches, "text", 4 << 20):
+            ids, sizes = with_end(*encode(rows.column("text")), end_id)
             raw = memoryview(ids.astype("<u4").tobytes())
             pieces = -(-sizes // capacity)
             owner = np.repeat(np.arange(len(sizes)), pieces)
@@ -103,42 +106,54 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, work: Workspace) -> DataFrame:
     """Pack whole texts (null: empty) into sequences; one row a piece with its sequence and offset there.
 
-    A document without words is one piece that holds only the end id. Null or repeated ids are packed like
-    any others. An empty table gives no rows; extra columns are ignored.
+    A document without words is one piece that holds only the end id. A very long text is encoded whole, in a batch
+    of its own, and cut into pieces. Null or repeated ids and repeated rows are packed like any others; pieces of
+    equal length are placed in the order in which they reach their partition. An empty table gives no rows; extra
+    columns are ignored.
+
+    ``partition_bins`` and ``partition_bound`` are the number of sequences of the partition that placed the piece
+    and the least number that its pieces need; ``certified`` says that they are equal. Where it is false, a gap is
+    left that the exchange did not close. A piece that fills a sequence alone is its own certificate.
     """
     pieces = work.table(cut_pieces(docs, tokenizer, end_id, capacity), "pieces")
-    whole = pieces.where(F.col("length") == capacity).select("*", (F.shiftleft(F.lit(1).cast("long"), 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(False).alias("open"))
+    one, long = F.lit(1).cast("long"), F.lit(0).cast("long")
+    whole = pieces.where(F.col("length") == capacity).select("*", (F.shiftleft(one, 62) + F.monotonically_increasing_id()).alias("sequence_id"), long.alias("offset"), one.alias("partition_bins"), one.alias("partition_bound"), F.lit(True).alias("certified"))
     placed = [whole]
     pool = pieces.where(F.col("length") < capacity)
-    n = pool.count()
-    for turn in range(ROUNDS):
-        if not n:
-            break
+    n, turn, idle, before = pool.count(), 0, 0, None
+    while n:
         partitions = max(1, -(-n // PARTITION_PIECES))
         table = work.table(_dealt(pool, partitions, turn, capacity), f"placed-{turn}")
-        last = turn == ROUNDS - 1 or partitions == 1
-        reopened = table.where(F.col("open") if not last else F.lit(False))
-        placed.append(table.where(~F.col("open")) if not last else table)
-        pool = reopened.select(*pieces.columns)
-        n = pool.count()
+        # a sequence has one piece at its start
+        sums = table.agg(F.count_if(F.col("offset") == 0).alias("bins"), F.count_if((F.col("offset") == 0) & F.col("open")).alias("open_bins"), F.count_if("open").alias("left")).first()
+        idle = idle + 1 if before is not None and sums.bins > (1 - GAIN) * before else 0
+        left = sums.left if partitions > 1 and idle < PATIENCE else 0
+        placed.append(table.where(~F.col("open")).drop("open") if left else table.drop("open"))
+        pool, n, turn, before = table.where("open").select(*pieces.columns), left, turn + 1, sums.open_bins
     result = placed[0]
     for part in placed[1:]:
         result = result.unionByName(part)
-    return result.drop("open")
+    return result
 
 
 def _dealt(pool: DataFrame, partitions: int, turn: int, capacity: int) -> DataFrame:
-    """One round: deal pieces evenly, pack each partition, mark the bins that it hands back."""
+    """One round: deal pieces evenly by their row in the written table, pack each partition, mark the bins that it
+    hands back."""
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         lengths = group["length"].to_numpy(np.int64)
         bins, offsets, fills = best_fit_decreasing(lengths, capacity)
-        certified = len(fills) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        certified = len(fills) == bound
         base = (turn << 56) | (int(group["part"].iloc[0]) << 32)
         out = group.drop(columns="part")
-        # a certified partition keeps all but its emptiest bin, which others' pieces may still fill
-        back = np.full(len(fills), not certified) | (np.arange(len(fills)) == fills.argmin())
-        return out.assign(sequence_id=base + bins, offset=offsets, open=back[bins] & (fills[bins] < capacity))
-
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)), F.lit(partitions)).cast("int")
+        # of a certified partition the emptiest bins and those of the smallest pieces, at least one; all of another's
+        back, some = np.full(len(fills), not certified), -(-len(fills) // BACK)
+        smallest = np.full(len(fills), capacity)
+        np.minimum.at(smallest, bins, lengths)
+        back[np.argsort(fills, kind="stable")[:some]] = True
+        back[np.argsort(smallest, kind="stable")[:some]] = True
+        return out.assign(sequence_id=base + bins, offset=offsets, partition_bins=len(fills), partition_bound=bound, certified=certified, open=back[bins] & (fills[bins] < capacity))
+
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(turn)), F.lit(partitions)).cast("int")
     return pool.withColumn("part", part).groupBy("part").applyInPandas(one, PLACED)
