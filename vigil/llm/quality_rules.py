@@ -17,14 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace, nothing_kept, text_batches
+from .shared import Workspace, carried, nothing_kept, restored, text_batches
 
 SYMBOLS = "[#*$%&|<>]"
 FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_letters long, n_upper long, n_marks long, n_ended_lines long, n_same_next long, most_common_word long"
 WINDOW = 8
-#: A document is kept if its posterior probability of being good reaches this; low, as a good document that goes
-#: costs more than a bad one that stays.
-LEAST = 0.05
+#: A document is kept if it is at least as likely good as bad.
+LEAST = 0.5
 
 
 def repeated_window_words(codes: np.ndarray, owner: np.ndarray, width: int) -> np.ndarray:
@@ -102,48 +101,52 @@ def _vote(good: Column, bad: Column) -> Column:
 
 #: Each rule's vote; the thresholds are parameters of the rules.
 RULES: dict[str, Column] = {
-    "length": lambda: _vote(F.col("n_words") >= 50, F.col("n_words") < 5),
+    "length": lambda: _vote(F.col("n_words") >= 20, F.col("n_words") < 5),
     "word_length": lambda: _vote(_share("word_chars", "n_words").between(3, 10), ~_share("word_chars", "n_words").between(2, 15)),
     "symbols": lambda: _vote(_share("n_symbols", "n_words") <= 0.05, _share("n_symbols", "n_words") > 0.25),
     "marks": lambda: _vote(_share("n_marks", "n_words") <= 0.4, _share("n_marks", "n_words") > 1),
     "upper_case": lambda: _vote(_share("n_upper", "n_letters") <= 0.15, _share("n_upper", "n_letters") > 0.5),
-    "letters": lambda: _vote(_share("n_letters", "word_chars") >= 0.85, _share("n_letters", "word_chars") < 0.5),
-    "dup_lines": lambda: _vote((F.col("n_lines") >= 3) & (F.col("n_dup_lines") == 0), (F.col("n_lines") >= 3) & (_share("n_dup_lines", "n_lines") > 0.5)),
+    "letters": lambda: _vote(_share("n_letters", "word_chars") >= 0.9, _share("n_letters", "word_chars") < 0.8),
+    "dup_lines": lambda: _vote(F.col("n_dup_lines") == 0, (F.col("n_lines") >= 3) & (_share("n_dup_lines", "n_lines") > 0.3)),
     "repeats": lambda: _vote(F.col("n_repeat_words") * 20 <= F.col("n_words"), F.col("n_repeat_words") * 10 > F.col("n_words") * 3),
     "same_next": lambda: _vote(_share("n_same_next", "n_words") <= 0.05, _share("n_same_next", "n_words") > 0.2),
     "common_word": lambda: _vote(_share("most_common_word", "n_words") <= 0.15, (F.col("n_words") >= 20) & (_share("most_common_word", "n_words") > 0.3)),
     "line_ends": lambda: _vote(_share("n_ended_lines", "n_lines") >= 0.7, (F.col("n_lines") >= 5) & (_share("n_ended_lines", "n_lines") < 0.1)),
 }
+#: What is held of any rule and of the share of good documents before documents are seen: probabilities of -1, 0 and +1
+#: on bad and on good documents. A rule errs seldom on good documents, and most rules find nothing wrong with a bad one.
+BAD, GOOD, SHARE = (0.2, 0.2, 0.6), (0.02, 0.1, 0.88), 0.85
+#: What that counts for on bad and on good documents, as a share of all documents, so that it is alike at every size.
+#: It ties the classes to votes for and against, also where there are hardly any bad documents.
+WEIGHTS = (0.01, 0.1)
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[float, np.ndarray]:
+def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray]:
     """The share of good documents and, for bad and good ones, each rule's probabilities of -1, 0 and +1.
 
-    Kinds of bad documents differ in the rule that tells them, so the start is not the majority of votes: a
-    document is likely bad if its votes against are more than ``1 / n_rules`` of those for it. Votes of one rule
-    are taken as independent of the others' given the class; a small count is added to each vote's.
+    Expectation-maximisation from the tables above; votes of one rule are taken as independent of the others'
+    given the class.
     """
-    n_rules = votes.shape[1]
-    good = np.where((votes < 0).sum(1) * n_rules > (votes > 0).sum(1), 0.05, 0.95)
     onehot = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float)
-    prior, table = 0.5, np.zeros((2, n_rules, 3))
+    total, weights = counts.sum(), np.array(WEIGHTS) * counts.sum()
+    held = np.broadcast_to(np.array([BAD, GOOD])[:, None, :], (2, votes.shape[1], 3))
+    prior, table = SHARE, held.copy()
     for _ in range(rounds):
-        weights = np.stack([(1 - good) * counts, good * counts])
-        prior = float((weights[1].sum() + 1) / (counts.sum() + 2))
-        table = np.einsum("cp,prv->crv", weights, onehot) + 0.5
-        table /= table.sum(2, keepdims=True)
-        logs = np.einsum("prv,crv->cp", onehot, np.log(table)) + np.log([[1 - prior], [prior]])
-        new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
-        if np.abs(new - good).max() < 1e-9:
+        good = posterior(votes, prior, table)
+        mass = np.stack([(1 - good) * counts, good * counts])
+        new_prior = float((mass[1].sum() + SHARE * weights.sum()) / (total + weights.sum()))
+        new = np.einsum("cp,prv->crv", mass, onehot) + weights[:, None, None] * held
+        new /= new.sum(2, keepdims=True)
+        moved = max(abs(new_prior - prior), float(np.abs(new - table).max()))
+        prior, table = new_prior, new
+        if moved < 1e-12:
             break
-        good = new
     return prior, table
 
 
 def posterior(votes: np.ndarray, prior: float, table: np.ndarray) -> np.ndarray:
-    """The probability that a document with these votes is good. Abstentions tell only beside a vote against."""
+    """The probability that a document with these votes and abstentions is good."""
     onehot = (votes[:, :, None] == np.array([-1, 0, 1])).astype(float)
-    onehot[~(votes < 0).any(1), :, 1] = 0
     logs = np.einsum("prv,crv->cp", onehot, np.log(table)) + np.log([[1 - prior], [prior]])
     return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
 
@@ -153,7 +156,7 @@ def _judged(docs: DataFrame, work: Workspace, least: float) -> DataFrame:
     spark = docs.sparkSession
     code = sum((F.pmod(vote() + 3, F.lit(3)) * 3**i for i, vote in enumerate(RULES.values())), F.lit(0)).cast("int")
     measured = work.table(measure(docs).withColumn("pattern", code), "measured")
-    rows = measured.groupBy("pattern").count().collect()  # at most 3 ** len(RULES)
+    rows = sorted(measured.groupBy("pattern").count().collect())  # at most 3 ** len(RULES)
     patterns = np.array([r["pattern"] for r in rows], np.int64)
     votes = np.stack([(patterns // 3**i % 3 + 1) % 3 - 1 for i in range(len(RULES))], 1)
     good = posterior(votes, *fit(votes, np.array([r["count"] for r in rows], float))) if rows else np.zeros(0)
@@ -162,21 +165,28 @@ def _judged(docs: DataFrame, work: Workspace, least: float) -> DataFrame:
     return (
         measured.join(F.broadcast(scores), "pattern")  # one row a pattern, so its size is bounded
         .withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+        .withColumn("accepted", F.col("quality") >= least)
     )
 
 
 def judge(docs: DataFrame, work: Workspace, least: float = LEAST) -> DataFrame:
     """Per document: the counts, the base rule, the posterior and whether it is kept.
 
-    Null and empty texts have no words and fail the base rule. Null or repeated ids are judged like any
-    others. An empty table gives no rows; extra columns are ignored.
+    A document is kept if it passes the base rule and its posterior reaches ``least``. Null and empty texts have no
+    words and fail the base rule. Very long texts are counted whole, in batches of their own. Null or repeated ids
+    are judged like any others; documents with equal votes get equal posteriors. An empty table gives no rows; extra
+    columns are ignored.
     """
     found = _judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("measured_text")), work, least)
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+    kept = ~F.col("base_failed") & F.col("accepted")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "quality")
 
 
 def accept(docs: DataFrame, work: Workspace, least: float = LEAST) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    carried = docs.select(*(F.col(c).alias(f"carried_{i}") for i, c in enumerate(docs.columns)), F.col("text").alias("measured_text"))
-    return _judged(carried, work, least).where("kept").select(*(F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns)))
+    """The rows of ``docs`` whose posterior reaches ``least``, with their columns; the base rule isn't asked.
+
+    A null or empty text has the votes of a text without words. Very long texts are counted whole. Repeated rows
+    and null ids are judged like any others. An empty table gives no rows. Columns are carried under numbers, so
+    their names can't clash.
+    """
+    return restored(_judged(carried(docs, measured_text=F.col("text")), work, least).where("accepted"), docs)
