@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected
-from .shared import Workspace, nothing_kept, text_batches
+from .shared import Workspace, carried, nothing_kept, restored, text_batches
 
 SEED = 42
 #: Fingerprints in the sample that plans the partitions.
@@ -212,24 +212,27 @@ def components(fps: DataFrame, radius: int, work: Workspace) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int, radius: int, work: Workspace) -> DataFrame:
     """Per document: its fingerprint and its component, named by the smallest doc_id that links reach.
 
-    Equal texts, and texts without words or null, share a fingerprint and so a component. A null doc_id names
-    a component only if no other id does. Repeated rows each get their row. An empty table gives no rows;
-    extra columns are ignored.
+    Equal texts, and texts without words or null, share a fingerprint and so a component. A very long text is hashed
+    whole, in a batch of its own. A null doc_id names a component only if no other id does. Repeated rows each get
+    their row. An empty table gives no rows; extra columns are ignored.
     """
     of_doc = work.table(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width, "fp").drop("text"), "fingerprints")
     fps = work.table(of_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     found = components(fps, radius, work)
+    work.keep_only("fingerprints", "components")
     return of_doc.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int, radius: int, work: Workspace) -> DataFrame:
     """One row of ``docs`` of each component, that of the smallest doc_id (null last), with its columns.
 
-    Of rows that share that id, the one that comes first in the written table stays.
+    Of rows that share that id, the one that comes first in the written table stays. Null, empty and very long texts
+    are fingerprinted as in ``near_duplicates``. An empty table gives no rows. Columns are carried under numbers, so
+    their names can't clash.
     """
-    rows = fingerprints(docs, width, "_fp").withColumn("_row", F.monotonically_increasing_id())
-    rows = work.table(rows, "rows")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
-    fps = work.table(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min(order).alias("least")), "distinct")
-    first = work.table(components(fps, radius, work).select(F.col("component._row").alias("_row")).distinct(), "first")
-    return rows.join(first.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    rows = work.table(fingerprints(carried(docs, doc_id=F.col("doc_id"), text=F.col("text")), width, "fp").drop("text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    fps = work.table(rows.groupBy("fp").agg(F.min(order).alias("least")), "distinct")
+    first = work.table(components(fps, radius, work).select(F.col("component.row").alias("row")).distinct(), "first")
+    work.keep_only("rows", "first")
+    return restored(rows.join(first.hint("merge"), "row", "left_semi"), docs)

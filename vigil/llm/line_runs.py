@@ -2,14 +2,16 @@
 
 Lines with words get 128-bit ids. Lines that occur once can't be part of a repeated run, so only suffixes that
 start with a repeated line are ranked. Round k ranks each suffix by its first 2**k lines: the pair of the ranks
-of its two halves, in sorted order. The suffixes of one rank are a longest-common-prefix interval of depth
-2**k or more, and those alone in their rank drop out. An interval of any depth L between two powers is read off
-with two ranks that overlap, as in a sparse table.
+of its two halves, in sorted order. Suffixes alone in their rank drop out, and doubling goes on until all have. The
+ranks of all rounds are the suffix order; the suffixes of one rank are a longest-common-prefix interval of depth
+2**k or more, and an interval of any depth in between is read off two ranks that overlap. The longest common prefix
+of two suffixes is found by going down the rounds and stepping on wherever their ranks agree.
 
 A run counts from ``least_words`` words on. Of each run that repeats, the copy that comes first, by doc_id and
 line, stays; the lines of later copies go. A line belongs to such a copy exactly if it lies in a shortest run of
-enough words, grown to the right from its first line or to the left from its last, that has an earlier copy; so
-only these runs are looked up, and doubling stops at the longest of them.
+enough words, grown to the right from its first line or to the left from its last, that has an earlier copy. The
+intervals of these depths give each such run's first copy; from there it is grown to its longest common prefix
+with it, and runs that lie on another that follows the same copy are left out. What stays are the maximal runs.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Workspace, nothing_kept, text_batches
+from .shared import Workspace, carried, nothing_kept, restored, text_batches
 
 #: Words from which a repeated run is removed.
 LEAST_WORDS = 8
@@ -32,9 +34,9 @@ LINES = "doc long, tie long, at int, hi long, lo long, right int, left int"
 LAST = (1 << 63) - 1
 
 
-def _key(docs: DataFrame) -> DataFrame:
-    """Rows with the key that names a document and orders copies; rows with equal id and text share a key."""
-    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tie": F.xxhash64(F.coalesce("text", F.lit("")))})
+def _key(docs: DataFrame) -> dict[str, Column]:
+    """The key that names a document and orders copies; rows with equal id and text share a key."""
+    return {"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "tie": F.xxhash64(F.coalesce("text", F.lit("")))}
 
 
 def lines_of(text: str) -> list[str]:
@@ -64,7 +66,8 @@ def explode_lines(docs: DataFrame, least_words: int) -> DataFrame:
             owner = pa.array(np.repeat(np.arange(len(found)), counts))
             yield pa.RecordBatch.from_pydict({"doc": rows.column("doc").take(owner), "tie": rows.column("tie").take(owner), "at": pa.array(here - first, pa.int32()), "hi": ids[:, 0], "lo": ids[:, 1], "right": pa.array(right, pa.int32()), "left": pa.array(left, pa.int32())})
 
-    return docs.select("doc", "tie", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, LINES)
+    # rows that repeat an id and a text have the same lines at the same places
+    return docs.select("doc", "tie", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, LINES).dropDuplicates(["doc", "tie", "at"])
 
 
 def _ranked(groups: DataFrame, keys: list[str], work: Workspace, name: str) -> DataFrame:
@@ -77,66 +80,119 @@ def _ahead(rank: str, steps: Column | int) -> Column:
     return F.max(rank).over(Window.partitionBy("doc", "tie").orderBy("at").rangeBetween(steps, steps))
 
 
-def repeated_windows(lines: DataFrame, work: Workspace) -> DataFrame:
-    """(doc, tie, start, length) of the shortest runs of enough words that have an earlier copy."""
-    place = F.struct("doc", "tie", "at")
+def ranks(lines: DataFrame, work: Workspace) -> list[DataFrame]:
+    """For k = 0, 1, ...: the suffixes whose first 2**k lines occur again, with their rank by these lines."""
     groups = lines.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    ranks = _ranked(groups, ["hi", "lo"], work, "ranks-0")
-    alive = work.table(lines.join(ranks, ["hi", "lo"]).drop("hi", "lo"), "suffixes-0")
-    repeated = alive
-    longest = max(x or 0 for x in alive.agg(F.max("right"), F.max("left")).first())
-    found, k = None, 0
-    while (1 << k) <= longest:
+    ranked = _ranked(groups, ["hi", "lo"], work, "ranks-0")
+    found = [work.table(lines.join(ranked, ["hi", "lo"]).drop("hi", "lo"), "suffixes-0")]
+    work.drop("lines", "ranks-0")
+    while True:
+        k = len(found)
+        pairs = work.table(found[-1].select("doc", "tie", "at", "rank").withColumn("next", _ahead("rank", 1 << (k - 1))).where(F.col("next").isNotNull()), f"pairs-{k}")
+        groups = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rank").alias("head"), F.col("next").alias("tail"))
+        ranked = _ranked(groups, ["head", "tail"], work, f"ranks-{k}")
+        if ranked.isEmpty():
+            return found
+        alive = pairs.withColumnsRenamed({"rank": "head", "next": "tail"}).join(ranked, ["head", "tail"]).drop("head", "tail")
+        found.append(work.table(alive, f"suffixes-{k}"))
+        work.drop(f"pairs-{k}", f"ranks-{k}")
+
+
+def repeated_windows(levels: list[DataFrame], work: Workspace) -> DataFrame:
+    """(doc, tie, start, length, first, copies) of the shortest runs of enough words that have an earlier copy:
+    the members of their interval but the first, with the first's place and the interval's size."""
+    found = None
+    for k, alive in enumerate(levels):
         span = 1 << k
-        # runs of span .. 2 * span - 1 lines, by the ranks of their first and last span lines
-        wanted = []
-        for side in ("right", "left"):
-            start = F.col("at") if side == "right" else F.col("at") - F.col("left") + 1
-            wanted.append(repeated.where(F.col(side).between(span, 2 * span - 1)).select("doc", "tie", start.alias("start"), F.col(side).alias("length")))
-        runs = wanted[0].unionByName(wanted[1]).distinct()
         if k:
+            # runs of span .. 2 * span - 1 lines, by the ranks of their first and last span lines
+            wanted = []
+            for side in ("right", "left"):
+                start = F.col("at") if side == "right" else F.col("at") - F.col("left") + 1
+                wanted.append(levels[0].where(F.col(side).between(span, 2 * span - 1)).select("doc", "tie", start.alias("start"), F.col(side).alias("length")))
+            runs = wanted[0].unionByName(wanted[1]).distinct()
             head = alive.select("doc", "tie", F.col("at").alias("start"), F.col("rank").alias("head"))
             tail = alive.select("doc", "tie", F.col("at").alias("tail_at"), F.col("rank").alias("tail"))
             runs = runs.join(head, ["doc", "tie", "start"]).withColumn("tail_at", F.col("start") + F.col("length") - span).join(tail, ["doc", "tie", "tail_at"]).drop("tail_at")
         else:
             runs = alive.where("right = 1").select("doc", "tie", F.col("at").alias("start"), F.col("right").alias("length"), F.col("rank").alias("head"), F.col("rank").alias("tail"))
         runs = work.table(runs, f"runs-{k}")
-        firsts = runs.groupBy("length", "head", "tail").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        firsts = runs.groupBy("length", "head", "tail").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
         firsts = work.table(firsts, f"firsts-{k}")
-        later = runs.join(firsts, ["length", "head", "tail"]).where(F.struct("doc", "tie", "start") != F.col("first")).select("doc", "tie", "start", "length")
+        later = runs.join(firsts, ["length", "head", "tail"]).where(F.struct("doc", "tie", "start") != F.col("first")).select("doc", "tie", "start", "length", "first", "copies")
         found = later if found is None else found.unionByName(later)
-        k += 1
-        if (1 << k) > longest:
-            break
-        pairs = work.table(alive.withColumn("next", _ahead("rank", span)).where(F.col("next").isNotNull()), f"pairs-{k}")
-        groups = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rank").alias("head"), F.col("next").alias("tail"))
-        ranks = _ranked(groups, ["head", "tail"], work, f"ranks-{k}")
-        alive = work.table(pairs.withColumnsRenamed({"rank": "head", "next": "tail"}).join(ranks, ["head", "tail"]).drop("head", "tail"), f"suffixes-{k}")
-    if found is None:
-        return lines.select("doc", "tie", F.col("at").alias("start"), F.col("right").alias("length")).limit(0)
-    return found
+    windows = work.table(found, "windows")
+    work.drop(*(f"{name}-{k}" for k in range(len(levels)) for name in ("runs", "firsts")))
+    return windows
+
+
+def maximal_runs(windows: DataFrame, levels: list[DataFrame], work: Workspace) -> DataFrame:
+    """(doc, tie, start, length, copy_doc, copy_tie, copy_start, copies): the windows grown to their longest common
+    prefix with their first copy, without those that lie on another that follows the same copy."""
+    copy = {f"copy_{c}": F.col(f"first.{c}") for c in ("doc", "tie", "start")}
+    pairs = windows.select("doc", "tie", "start", *(c.alias(n) for n, c in copy.items()), "copies").groupBy("doc", "tie", "start", *copy).agg(F.max("copies").alias("copies"))
+    along = Window.partitionBy("doc", "tie", "copy_doc", "copy_tie", F.col("start") - F.col("copy_start")).orderBy("start")
+    behind = F.lag("start").over(along)
+    # the prefix of a window that follows another on the same copy ends where the other's does
+    pairs = work.table(pairs.withColumn("behind", behind).where(F.col("behind").isNull() | (F.col("behind") < F.col("start") - 1)).drop("behind").withColumn("length", F.lit(0)), "pairs")
+    for k in range(len(levels) - 1, -1, -1):
+        mine = levels[k].select("doc", "tie", F.col("at").alias("here"), F.col("rank").alias("mine"))
+        others = levels[k].select(F.col("doc").alias("copy_doc"), F.col("tie").alias("copy_tie"), F.col("at").alias("there"), F.col("rank").alias("other"))
+        ahead = pairs.withColumns({"here": F.col("start") + F.col("length"), "there": F.col("copy_start") + F.col("length")})
+        both = ahead.join(mine, ["doc", "tie", "here"], "left").join(others, ["copy_doc", "copy_tie", "there"], "left")
+        agree = F.coalesce(F.col("mine") == F.col("other"), F.lit(False))
+        pairs = work.table(both.withColumn("length", F.col("length") + F.when(agree, 1 << k).otherwise(0)).select(*pairs.columns), f"grown-{k}")
+        work.drop("pairs", f"grown-{k + 1}", f"suffixes-{k}")
+    return pairs
+
+
+def repeated_runs(docs: DataFrame, work: Workspace, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The maximal runs of later copies in ``docs`` (doc, tie, text): see ``maximal_runs``."""
+    lines = work.table(explode_lines(docs, least_words), "lines")
+    levels = ranks(lines, work)
+    runs = maximal_runs(repeated_windows(levels, work), levels, work)
+    return work.table(runs, "maximal")
+
+
+def _rewritten_docs(docs: DataFrame, work: Workspace, least_words: int) -> DataFrame:
+    """The carried columns and ``new``: text, n_lines, n_deleted."""
+    runs = repeated_runs(docs.select(*(c.alias(n) for n, c in _key(docs).items()), "text"), work, least_words)
+    # a document has one such run at most for each line and copy that it follows
+    marks = work.table(runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "length")).alias("runs")), "marks")
+    work.keep_only("marks")
+
+    def rewrite(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_rewritten(t, r) for t, r in zip(text, runs, strict=True)], columns=["text", "n_lines", "n_deleted"])
+
+    rewritten = F.pandas_udf(rewrite, "text string, n_lines long, n_deleted long")
+    return carried(docs, text=F.col("text"), **_key(docs)).join(marks, ["doc", "tie"], "left").withColumn("new", rewritten("text", "runs"))
 
 
 def remove_repeated_runs(docs: DataFrame, work: Workspace, least_words: int = LEAST_WORDS) -> DataFrame:
-    """All columns of ``docs`` with the text less its later copies of repeated runs, and the lines before and removed.
+    """All columns of ``docs`` with the text less its later copies of repeated runs, and the lines before (``n_lines``)
+    and removed (``n_deleted``), which go before columns of these names.
 
     Lines are compared without white space at their ends; those without words stay, unless the line with words
-    before them goes. A null text has no lines and stays null. Documents with a null id come last; rows with
-    equal id and text count once and get the same result. An empty table gives no rows.
+    before them goes. A null text has no lines and stays null, an empty one stays empty; a very long one is cut into
+    lines in a batch of its own. Documents with a null id come last. Of equal runs at two places the one of the smaller
+    id, then of the smaller hash of its text, then the upper one stays; rows with equal id and text count once and get
+    the same result. An empty table gives no rows. Columns are carried under numbers, so their names can't clash.
     """
-    keyed = _key(docs)
-    lines = work.table(explode_lines(keyed.select(F.col("_doc").alias("doc"), F.col("_tie").alias("tie"), "text").distinct(), least_words), "lines")
-    windows = repeated_windows(lines, work)
-    marks = work.table(windows.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "length")).alias("_runs")).withColumnsRenamed({"doc": "_doc", "tie": "_tie"}), "marks")  # at most two for each line of the document
-
-    def rewrite(text: pd.Series, runs: pd.Series) -> pd.DataFrame:
-        out = [_rewritten(t, r) for t, r in zip(text, runs, strict=True)]
-        return pd.DataFrame(out, columns=["text", "n_lines", "n_deleted"])
-
-    rewritten = F.pandas_udf(rewrite, "text string, n_lines long, n_deleted long")
-    joined = keyed.join(marks.hint("merge"), ["_doc", "_tie"], "left").withColumn("_new", rewritten("text", "_runs"))
-    columns = [F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    return joined.select(*columns, F.col("_new.n_lines").alias("n_lines"), F.col("_new.n_deleted").alias("n_deleted"))
+    found = _rewritten_docs(docs, work, least_words)
+    own = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    return found.select(*(F.col("new.text").alias(c) if c == "text" else F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns) if c in own), F.col("new.n_lines").alias("n_lines"), F.col("new.n_deleted").alias("n_deleted"))
+
+
+def without_repeated_runs(docs: DataFrame, work: Workspace, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs`` with their columns, the text rewritten as by ``remove_repeated_runs``, ``n_chars`` (if there
+    is such a column) counted anew where lines went; rows that lost all their words are left out."""
+    found = _rewritten_docs(docs, work, least_words)
+    found = found.where((F.col("new.n_deleted") == 0) | F.col("new.text").rlike("[^\\x20\\x09-\\x0D]"))
+    new = {"text": F.col("new.text")}
+    if "n_chars" in docs.columns:
+        old = F.col(f"carried_{docs.columns.index('n_chars')}")
+        new["n_chars"] = F.when(F.col("new.n_deleted") == 0, old).otherwise(F.length("new.text").cast(docs.schema["n_chars"].dataType))
+    return restored(found, docs, **new)
 
 
 def _rewritten(text: str | None, runs: list | None) -> tuple[str | None, int, int]:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from .components import connected
 from .fingerprints import BUCKET, SEED, links, majority, shingle_hashes
-from .shared import Workspace, nothing_kept, text_batches
+from .shared import Workspace, carried, nothing_kept, restored, text_batches
 
 #: A band is shared with probability s^ROWS at similarity s, one of all with 1 - (1 - s^ROWS)^BANDS.
 BANDS, ROWS = 32, 6
@@ -51,7 +51,7 @@ def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``docs`` with ``_node`` (a hash of the shingle set), ``_fp`` (the SimHash fingerprint) and ``_bands``."""
+    """``docs`` with ``node`` (a hash of the shingle set), ``fp`` (the SimHash fingerprint) and ``bands``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nothing_kept()
@@ -64,11 +64,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 keys.append(bands(found))
             signed = lambda v: pa.array(np.array(v, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), signed(nodes), signed(fps), pa.array(keys, pa.list_(pa.int64()))], [*kept, *new])
+            yield pa.RecordBatch.from_arrays([*rows.columns, signed(nodes), signed(fps), pa.array(keys, pa.list_(pa.int64()))], names)
 
-    new = ["_node", "_fp", "_bands"]
-    kept = [c for c in docs.columns if c not in new]
-    return docs.mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField("_node", T.LongType()), T.StructField("_fp", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))]))
+    names = [*docs.columns, "node", "fp", "bands"]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]))
 
 
 def _sets(texts: DataFrame, width: int) -> DataFrame:
@@ -138,12 +137,14 @@ def one_of_each(docs: DataFrame, width: int, radius: int, least: float, work: Wo
     """One row of ``docs`` of each group that pairs of similarity ``least`` connect, that of the smallest doc_id
     (null last), with its columns.
 
-    Of rows that share that id, the one that comes first in the written table stays. Texts without words or
-    null are equal to each other.
+    Of rows that share that id, the one that comes first in the written table stays. Texts without words or null are
+    equal to each other. A very long text is hashed whole, in a batch of its own. An empty table gives no rows.
+    Columns are carried under numbers, so their names can't clash.
     """
-    rows = work.table(signatures(docs, width).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
-    nodes = work.table(rows.groupBy(F.col("_node").alias("node")).agg(F.min(order).alias("first"), F.min("_fp").alias("fp"), F.first("_bands").alias("bands")), "nodes")
+    own = carried(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+    rows = work.table(signatures(own, width).withColumn("row", F.monotonically_increasing_id()), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    nodes = work.table(rows.groupBy("node").agg(F.min(order).alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     plain = nodes.select("node", "first")
 
     places = nodes.select("node", F.explode("bands").alias("key"))
@@ -160,8 +161,8 @@ def one_of_each(docs: DataFrame, width: int, radius: int, least: float, work: Wo
     linked = work.table(linked.join(stars, ["a", "b"], "left_anti"), "linked")
 
     needed = members.select("node").unionByName(linked.select(F.col("a").alias("node"))).unionByName(linked.select(F.col("b").alias("node"))).distinct()
-    firsts = work.table(plain.join(needed, "node", "left_semi").select("node", F.col("first._row").alias("_row")), "needed")
-    sets = work.table(_sets(rows.select("_row", "text").join(firsts, "_row"), width), "sets")
+    firsts = work.table(plain.join(needed, "node", "left_semi").select("node", F.col("first.row").alias("row")), "needed")
+    sets = work.table(_sets(rows.select("row", "text").join(firsts, "row"), width), "sets")
 
     found = work.table(_confirmed(stars, sets, least), "confirmed")
     roots = _roots(plain.select("node"), found, work)
@@ -176,5 +177,6 @@ def one_of_each(docs: DataFrame, width: int, radius: int, least: float, work: Wo
     found = work.table(found.unionByName(across).unionByName(_confirmed(apart, sets, least)), "all")
 
     named = _roots(plain, found, work)
-    stay = work.table(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row")), "stay")
-    return rows.join(stay.hint("merge"), "_row", "left_semi").select(*docs.columns)
+    stay = work.table(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "stay")
+    work.keep_only("rows", "stay")
+    return restored(rows.join(stay.hint("merge"), "row", "left_semi"), docs)
