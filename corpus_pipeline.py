@@ -7,11 +7,10 @@ documents left without words; of near-duplicates one stays; what is left is pack
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vigil.llm import line_runs, packing, quality_classifier, quality_rules, similar
 from vigil.llm.queries import END_ID, SEQUENCE, tokenizer
-from vigil.llm.shared import Workspace
+from vigil.llm.shared import Workspace, workspaces
 
 #: Near-duplicates: words in a shingle, bits in which linked fingerprints differ at most, and the least share of common
 #: shingles of two texts.
@@ -19,31 +18,47 @@ WIDTH, RADIUS, SIMILAR = 5, 8, 0.8
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier accepts."""
+    """The documents that the quality classifier accepts.
+
+    Null and empty texts get the score of a text without features. Repeated rows score alike, whatever their ids; an
+    empty table stays empty. All stages but the last carry columns of any name.
+    """
     return quality_classifier.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
+    """The documents that the quality rules hold good, by the posterior of their votes.
+
+    The base rule of the query (20 words or more, few repeated windows) isn't applied: short clean documents stay.
+    Null and empty texts have the votes of a text without words; documents with equal votes fare alike; an empty table
+    stays empty.
+    """
     return quality_rules.accept(docs, Workspace(spark))
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without later copies of repeated line runs; those left without words go."""
-    found = line_runs.remove_repeated_runs(docs, Workspace(spark))
-    found = found.where((F.col("n_deleted") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_deleted") == 0, F.col("n_chars")).otherwise(F.length("text")))
-    return found.select(*docs.columns)
+    """The documents without later copies of repeated line runs; those left without words go.
+
+    Null and empty texts stay as they are. Rows that repeat an id and a text count once. An empty table stays empty.
+    """
+    return line_runs.without_repeated_runs(docs, Workspace(spark))
 
 
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id."""
+    """One document of each group of near-duplicates, the one with the smallest id (null last).
+
+    Null texts and texts without words are equal to each other; of rows that repeat an id the first one stays. An
+    empty table stays empty.
+    """
     return similar.one_of_each(docs, WIDTH, RADIUS, SIMILAR, Workspace(spark))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences."""
+    """The pieces of all documents and their places in sequences.
+
+    A null or empty text is one piece that holds the end id. Null ids and repeated rows are packed like any others; an
+    empty table gives no rows; extra columns are left out.
+    """
     return packing.pack(docs, tokenizer(), END_ID, SEQUENCE, Workspace(spark))
 
 
@@ -53,8 +68,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each one's result written and read again as the next one's documents."""
+    """All stages, each one's result written and read again as the next one's documents.
+
+    What a stage wrote on its way is deleted once its result is written, and each result once the next one is. What
+    the last stage's result reads stays.
+    """
     work, docs = Workspace(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = work.table(stage(spark, docs, sf_dir), name)
+        with workspaces():
+            docs = work.table(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
