@@ -17,6 +17,7 @@ with it, and runs that lie on another that follows the same copy are left out. W
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -101,29 +102,18 @@ def ranks(lines: DataFrame, work: Workspace) -> list[DataFrame]:
 def repeated_windows(levels: list[DataFrame], work: Workspace) -> DataFrame:
     """(doc, tie, start, length, first, copies) of the shortest runs of enough words that have an earlier copy:
     the members of their interval but the first, with the first's place and the interval's size."""
-    found = None
-    for k, alive in enumerate(levels):
-        span = 1 << k
-        if k:
-            # runs of span .. 2 * span - 1 lines, by the ranks of their first and last span lines
-            wanted = []
-            for side in ("right", "left"):
-                start = F.col("at") if side == "right" else F.col("at") - F.col("left") + 1
-                wanted.append(levels[0].where(F.col(side).between(span, 2 * span - 1)).select("doc", "tie", start.alias("start"), F.col(side).alias("length")))
-            runs = wanted[0].unionByName(wanted[1]).distinct()
-            head = alive.select("doc", "tie", F.col("at").alias("start"), F.col("rank").alias("head"))
-            tail = alive.select("doc", "tie", F.col("at").alias("tail_at"), F.col("rank").alias("tail"))
-            runs = runs.join(head, ["doc", "tie", "start"]).withColumn("tail_at", F.col("start") + F.col("length") - span).join(tail, ["doc", "tie", "tail_at"]).drop("tail_at")
-        else:
-            runs = alive.where("right = 1").select("doc", "tie", F.col("at").alias("start"), F.col("right").alias("length"), F.col("rank").alias("head"), F.col("rank").alias("tail"))
-        runs = work.table(runs, f"runs-{k}")
-        firsts = runs.groupBy("length", "head", "tail").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-        firsts = work.table(firsts, f"firsts-{k}")
-        later = runs.join(firsts, ["length", "head", "tail"]).where(F.struct("doc", "tie", "start") != F.col("first")).select("doc", "tie", "start", "length", "first", "copies")
-        found = later if found is None else found.unionByName(later)
-    windows = work.table(found, "windows")
-    work.drop(*(f"{name}-{k}" for k in range(len(levels)) for name in ("runs", "firsts")))
-    return windows
+    sides = [levels[0].where(f"{side} > 0").select("doc", "tie", start.alias("start"), F.col(side).alias("length")) for side, start in (("right", F.col("at")), ("left", F.col("at") - F.col("left") + 1))]
+    runs = sides[0].unionByName(sides[1]).distinct().withColumn("k", F.length(F.bin("length")) - 1)
+    # runs of 2**k .. 2**(k + 1) - 1 lines, by the ranks of their first and last 2**k lines
+    ladder = reduce(DataFrame.unionByName, [x.select(F.lit(k).alias("k"), "doc", "tie", "at", "rank") for k, x in enumerate(levels)])
+    head = ladder.withColumnsRenamed({"at": "start", "rank": "head"})
+    tail = ladder.withColumnsRenamed({"at": "tail_at", "rank": "tail"})
+    tail_at = F.col("start") + F.col("length") - F.expr("shiftleft(1, k)")
+    found = runs.join(head, ["k", "doc", "tie", "start"]).withColumn("tail_at", tail_at).join(tail, ["k", "doc", "tie", "tail_at"])
+    runs = work.table(found.select("doc", "tie", "start", "length", "head", "tail"), "runs")
+    firsts = runs.groupBy("length", "head", "tail").agg(F.min(F.struct("doc", "tie", "start")).alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    later = runs.join(firsts, ["length", "head", "tail"]).where(F.struct("doc", "tie", "start") != F.col("first"))
+    return work.table(later.select("doc", "tie", "start", "length", "first", "copies"), "windows")
 
 
 def maximal_runs(windows: DataFrame, levels: list[DataFrame], work: Workspace) -> DataFrame:
@@ -141,8 +131,10 @@ def maximal_runs(windows: DataFrame, levels: list[DataFrame], work: Workspace) -
         ahead = pairs.withColumns({"here": F.col("start") + F.col("length"), "there": F.col("copy_start") + F.col("length")})
         both = ahead.join(mine, ["doc", "tie", "here"], "left").join(others, ["copy_doc", "copy_tie", "there"], "left")
         agree = F.coalesce(F.col("mine") == F.col("other"), F.lit(False))
-        pairs = work.table(both.withColumn("length", F.col("length") + F.when(agree, 1 << k).otherwise(0)).select(*pairs.columns), f"grown-{k}")
-        work.drop("pairs", f"grown-{k + 1}", f"suffixes-{k}")
+        pairs = both.withColumn("length", F.col("length") + F.when(agree, 1 << k).otherwise(0)).select(*pairs.columns)
+        if k % 3 == 0:  # plans stay small
+            pairs = work.table(pairs, f"grown-{k}")
+            work.drop("pairs", f"grown-{k + 3}")
     return pairs
 
 
@@ -151,7 +143,7 @@ def repeated_runs(docs: DataFrame, work: Workspace, least_words: int = LEAST_WOR
     lines = work.table(explode_lines(docs, least_words), "lines")
     levels = ranks(lines, work)
     runs = maximal_runs(repeated_windows(levels, work), levels, work)
-    return work.table(runs, "maximal")
+    return runs
 
 
 def _rewritten_docs(docs: DataFrame, work: Workspace, least_words: int) -> DataFrame:
