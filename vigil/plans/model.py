@@ -27,7 +27,11 @@ class Attribute:
 
 @dataclass(frozen=True)
 class Metric:
-    """An aggregate of an entity, a formula over other metrics, or a count over the indicator table."""
+    """An aggregate of an entity, a formula over other metrics, or a count over the indicator table.
+
+    A sum that may not be taken over some attributes (``not_summed_over``, the first of them times) is the sum of each
+    series' last value; ``series`` names the attributes that tell series apart.
+    """
 
     name: str
     entity: str
@@ -38,6 +42,7 @@ class Metric:
     hot: bool = False
     type_id: int | None = None
     not_summed_over: tuple[str, ...] = ()
+    series: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -110,7 +115,7 @@ class Model:
             Entity(**{**e, "attributes": tuple(Attribute(**{**a, "synonyms": tuple(a.get("synonyms", ()))}) for a in e["attributes"]), "relationships": tuple(Relationship(**r) for r in e.get("relationships", ())), "class_uids": tuple(e.get("class_uids", ())), "covers_observables": tuple(e.get("covers_observables", ()))})
             for e in data["entities"]
         ]
-        metrics = [Metric(**{**m, "not_summed_over": tuple(m.get("not_summed_over", ()))}) for m in data.get("metrics", ())]
+        metrics = [Metric(**{**m, **{k: tuple(m.get(k, ())) for k in ("not_summed_over", "series")}}) for m in data.get("metrics", ())]
         return cls.of(entities, metrics)
 
     def entity(self, name: str) -> Entity:
@@ -153,8 +158,13 @@ def validate(query: SemanticQuery, model: Model) -> None:
             raise ValueError(f"no operator {f.operator!r}")
     for name in query.metrics:
         for base in model.base_metrics(name):
-            if model.metric(base).aggregation not in AGGREGATIONS:
-                raise ValueError(f"no aggregation {model.metric(base).aggregation!r}")
+            metric = model.metric(base)
+            if metric.aggregation not in AGGREGATIONS:
+                raise ValueError(f"no aggregation {metric.aggregation!r}")
+            if metric.not_summed_over and metric.aggregation != "sum":
+                raise ValueError(f"{base} is no sum, so it has nothing that it is not summed over")
+            for attribute in (*metric.not_summed_over, *metric.series):
+                entity.attribute(attribute)
     if query.time_granularity not in (None, *GRANULARITIES):
         raise ValueError(f"no granularity {query.time_granularity!r}")
     aliases: dict[str, list[str | None]] = {}

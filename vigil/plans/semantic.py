@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ast
+import operator
 import re
+import warnings
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, StringType
 
 from .model import Attribute, Entity, Filter, Metric, Model, Relationship, SemanticQuery, formula_names, validate
 
@@ -39,8 +43,12 @@ def attribute_column(a: Attribute) -> Column:
     return F.expr(a.expression) if a.expression else F.col(a.field or a.name)
 
 
-def predicate(column: Column, f: Filter) -> Column:
-    """One of the eleven predicates; list values are compared as texts."""
+def predicate(column: Column, f: Filter, kind: DataType | None = None) -> Column:
+    """One of the eleven predicates; list values are compared as texts.
+
+    If the column's type is given and is a text or whole number, the values are cast instead of the column, so that
+    the predicate reaches the scan.
+    """
     v = f.value
     match f.operator:
         case "=":
@@ -56,9 +64,9 @@ def predicate(column: Column, f: Filter) -> Column:
         case "<=":
             return column <= v
         case "in":
-            return column.cast("string").isin([str(x) for x in v])
+            return _among(column, v, kind)
         case "not in":
-            return ~column.cast("string").isin([str(x) for x in v])
+            return ~_among(column, v, kind)
         case "like":
             return column.like(v)
         case "is null":
@@ -68,6 +76,16 @@ def predicate(column: Column, f: Filter) -> Column:
     raise ValueError(f"no operator {f.operator!r}")
 
 
+def _among(column: Column, values: list, kind: DataType | None) -> Column:
+    texts = [str(x) for x in values]
+    if isinstance(kind, StringType):
+        return column.isin(texts)
+    # a whole number's text has no sign of plus and no zeros before it, and it fits the column
+    if isinstance(kind, IntegralType) and all(re.fullmatch("0|-?[1-9][0-9]{0,8}", x) for x in texts):
+        return column.isin([int(x) for x in texts])
+    return column.cast("string").isin(texts)
+
+
 def aggregate(m: Metric, approx: bool = False) -> Column:
     """The aggregate column of a metric that has no formula."""
     value = F.lit(1) if m.measure == "*" else F.expr(m.measure)
@@ -124,11 +142,14 @@ def run(query: SemanticQuery, model: Model, bind: Bind, observables: DataFrame |
     entity = model.entity(query.entity)
     df = bind(entity.name).alias(entity.name)
     time = F.col(f"{entity.name}.{entity.time_column}")
-    df = _in_range(df, time, query)
+    df = _in_range(df, time, query, entity.time_column == "time")
     for f in query.filters:
-        df = df.where(predicate(_qualified(entity, f.attribute), f))
+        column = _qualified(entity, f.attribute)
+        df = df.where(predicate(column, f, df.select(column.alias("c")).schema["c"].dataType))
     for r in entity.relationships:
         if query.relationships is None or r.name in query.relationships:
+            if r.many_to_many and query.metrics:
+                warnings.warn(f"{r.name} joins many to many: metrics count a row once for each match", stacklevel=2)
             df = join_relationship(df, r, bind, "left")
     bucket = [F.date_trunc(query.time_granularity, time).cast("timestamp_ntz").alias("time_bucket")] if query.time_granularity else []
     if not query.metrics:
@@ -136,9 +157,28 @@ def run(query: SemanticQuery, model: Model, bind: Bind, observables: DataFrame |
         df = df.select(*bucket, *(_qualified(entity, n).alias(n) for n in names))
         return _finish(df.distinct() if query.group_by else df, query)
     keys = list(dict.fromkeys((*query.group_by, *query.select)))
-    grouped = df.groupBy(*bucket, *(_qualified(entity, k).alias(k) for k in keys))
-    df = _with_formulas(grouped.agg(*(aggregate(model.metric(b), query.approx).alias(b) for b in dict.fromkeys(bases))), query, model)
-    return _finish(df.select(*(["time_bucket"] if bucket else []), *keys, *query.metrics), query)
+    groups = [*bucket, *(_qualified(entity, k).alias(k) for k in keys)]
+    names = [*(["time_bucket"] if bucket else []), *keys]
+    plain = [model.metric(b) for b in dict.fromkeys(bases) if not model.metric(b).not_summed_over]
+    parts = [df.groupBy(*groups).agg(*(aggregate(m, query.approx).alias(m.name) for m in plain))] if plain else []
+    parts += [_last_values(df, groups, names, entity, model.metric(b)) for b in dict.fromkeys(bases) if model.metric(b).not_summed_over]
+    found = parts[0]
+    for i, part in enumerate(parts[1:]):
+        other = part.withColumnsRenamed({n: f"{n}_{i}" for n in names})
+        same = [found[n].eqNullSafe(other[f"{n}_{i}"]) for n in names]
+        found = (found.join(other, same) if same else found.crossJoin(other)).drop(*(f"{n}_{i}" for n in names))
+    return _finish(_with_formulas(found, query, model).select(*names, *query.metrics), query)
+
+
+def _last_values(df: DataFrame, groups: list[Column], names: list[str], entity: Entity, m: Metric) -> DataFrame:
+    """The sum of each series' last value: what may not be summed over time is taken at its latest."""
+    value = F.expr(m.measure) if m.filter is None else F.when(F.expr(m.filter), F.expr(m.measure))
+    series = [_qualified(entity, s).alias(f"series_{i}") for i, s in enumerate(m.series)]
+    order = F.struct(*(_qualified(entity, a) for a in m.not_summed_over))
+    last = df.where(value.isNotNull()).groupBy(*groups, *series).agg(F.max_by(value, order).alias(m.name))
+    # a group without a value is there as with any other sum
+    every = df.groupBy(*groups).agg(F.lit(None).alias("none")).select(*names, F.lit(None).cast(last.schema[m.name].dataType).alias(m.name))
+    return last.select(*names, m.name).unionByName(every).groupBy(*names).agg(F.sum(m.name).alias(m.name))
 
 
 def _qualified(entity: Entity, name: str) -> Column:
@@ -146,20 +186,51 @@ def _qualified(entity: Entity, name: str) -> Column:
     return F.expr(a.expression) if a.expression else F.col(f"{entity.name}.{a.field or a.name}")
 
 
-def _in_range(df: DataFrame, time: Column, query: SemanticQuery) -> DataFrame:
+def _in_range(df: DataFrame, time: Column, query: SemanticQuery, by_day: bool) -> DataFrame:
+    """The rows of the query's time range. Tables that are written by day (``event_date``) are also cut by the day, so
+    that other days' folders aren't opened."""
     if query.time_range is None:
         return df
     as_of = query.as_of
     if as_of is None and any(t and (t == "now" or t.startswith("-")) for t in query.time_range):
         as_of = df.agg(F.max(time)).first()[0]
     start, stop = (resolve_time(t, as_of) for t in query.time_range)
+    by_day = by_day and "event_date" in df.columns
     if start is not None:
         df = df.where(time >= timestamp(start))
-    return df.where(time <= timestamp(stop)) if stop is not None else df
+        df = df.where(F.col("event_date") >= F.lit(start.date())) if by_day else df
+    if stop is not None:
+        df = df.where(time <= timestamp(stop))
+        df = df.where(F.col("event_date") <= F.lit(stop.date())) if by_day else df
+    return df
+
+
+ARITHMETIC = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: F.try_divide, ast.USub: operator.neg}
+
+
+def formula_column(formula: str) -> Column:
+    """The column of an arithmetic formula over metrics; a division by zero gives null, wherever it stands."""
+
+    def column(node: ast.expr) -> Column:
+        match node:
+            case ast.BinOp(left, op, right) if type(op) in ARITHMETIC:
+                return ARITHMETIC[type(op)](column(left), column(right))
+            case ast.UnaryOp(ast.USub(), operand):
+                return -column(operand)
+            case ast.Name(name):
+                return F.col(name)
+            case ast.Constant(int() | float() as value):
+                return F.lit(value)
+        raise ValueError(f"only + - * / and brackets make a formula, not {ast.unparse(node)!r}")
+
+    try:
+        return column(ast.parse(formula, mode="eval").body)
+    except SyntaxError:
+        raise ValueError(f"{formula!r} is no formula") from None
 
 
 def _with_formulas(df: DataFrame, query: SemanticQuery, model: Model) -> DataFrame:
-    """Add metrics with formulas, inner ones first; a division by zero gives null."""
+    """Add metrics with formulas, inner ones first."""
 
     def add(df: DataFrame, name: str) -> DataFrame:
         formula = model.metric(name).formula
@@ -167,9 +238,7 @@ def _with_formulas(df: DataFrame, query: SemanticQuery, model: Model) -> DataFra
             return df
         for inner in formula_names(formula):
             df = add(df, inner)
-        parts = formula.split("/")
-        text = parts[0] if len(parts) == 1 else f"try_divide({parts[0]}, {'/'.join(parts[1:])})" if len(parts) == 2 else formula
-        return df.withColumn(name, F.expr(text))
+        return df.withColumn(name, formula_column(formula))
 
     for name in query.metrics:
         df = add(df, name)
@@ -182,9 +251,9 @@ def _hot(query: SemanticQuery, model: Model, observables: DataFrame) -> DataFram
     df = observables
     if types:
         df = df.where(F.col("type_id").isin(types))
-    df = _in_range(df, F.col("event_time"), query)
+    df = _in_range(df, F.col("event_time"), query, True)
     for f in query.filters:
-        df = df.where(predicate(F.col(f.attribute), f))
+        df = df.where(predicate(F.col(f.attribute), f, df.schema[f.attribute].dataType))
     bucket = [F.date_trunc(query.time_granularity, "event_time").cast("timestamp_ntz").alias("time_bucket")] if query.time_granularity else []
     grouped = df.groupBy(*bucket, "type_id")
     distinct = F.approx_count_distinct if query.approx else F.count_distinct
