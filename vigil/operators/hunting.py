@@ -16,7 +16,10 @@ TECHNIQUES = {"dns_tunneling_high_volume": "T1071.004", "dns_tunneling_long_quer
 
 
 def recent(events: DataFrame, as_of: datetime, hours: int) -> DataFrame:
-    return events.where(F.col("time") >= timestamp(as_of - timedelta(hours=hours)))
+    """Events since so many hours; of a table that is written by day only these days' folders are opened."""
+    start = as_of - timedelta(hours=hours)
+    found = events.where(F.col("time") >= timestamp(start))
+    return found.where(F.col("event_date") >= F.lit(start.date())) if "event_date" in events.columns else found
 
 
 def _count_of(condition: Column) -> Column:
@@ -52,10 +55,11 @@ def dga_random_domains(events: DataFrame, as_of: datetime, hours: int = 24, max_
 
 
 def fast_flux_detection(events: DataFrame, as_of: datetime, hours: int = 24, ip_threshold: int = 10, limit: int = 50) -> DataFrame:
-    """Distinct (host, answer) pairs are made first, so a host's set is built from its answers, not its events."""
+    """Distinct (host, answer) pairs are counted first; sets are built only for the hosts that are given."""
     pairs = recent(events, as_of, hours).where(F.col("answers_rdata").isNotNull()).groupBy("query_hostname", "answers_rdata").agg(F.count("*").alias("n"))
-    found = pairs.groupBy("query_hostname").agg(F.count("*").alias("unique_ips"), F.sum("n").alias("query_count"), F.sort_array(F.collect_list("answers_rdata")).alias("ip_addresses"))
-    return found.where(F.col("unique_ips") > ip_threshold).orderBy(F.desc("unique_ips"), "query_hostname").limit(limit)
+    top = pairs.groupBy("query_hostname").agg(F.count("*").alias("unique_ips"), F.sum("n").alias("query_count")).where(F.col("unique_ips") > ip_threshold).orderBy(F.desc("unique_ips"), "query_hostname").limit(limit)
+    sets = pairs.join(F.broadcast(top.select("query_hostname")), "query_hostname", "left_semi").groupBy("query_hostname").agg(F.sort_array(F.collect_list("answers_rdata")).alias("ip_addresses"))  # limit rows
+    return top.join(sets, "query_hostname").select("query_hostname", "unique_ips", "query_count", "ip_addresses").orderBy(F.desc("unique_ips"), "query_hostname")
 
 
 def seconds_between(start: Column | str, stop: Column | str) -> Column:
@@ -82,10 +86,15 @@ def ioc_domain_match(events: DataFrame, feed: DataFrame, as_of: datetime, hours:
 
 
 def blocked_dns_by_host(events: DataFrame, as_of: datetime, hours: int = 24, min_blocked: int = 10, limit: int = 100) -> DataFrame:
-    blocked = _count_of(F.col("action") == "Blocked")
-    names = F.sort_array(F.collect_set(F.when(F.col("action") == "Blocked", F.col("query_hostname"))))
-    found = recent(events, as_of, hours).groupBy("source_ip").agg(F.count("*").alias("total_queries"), blocked.alias("blocked_count"), F.round(100.0 * blocked / F.count("*"), 2).alias("blocked_rate"), names.alias("blocked_domains"))
-    return found.where(F.col("blocked_count") > min_blocked).orderBy(F.desc("blocked_count"), "source_ip").limit(limit)
+    """Hosts are ranked by counts; the blocked names are gathered only for those that are given."""
+    rows, is_blocked = recent(events, as_of, hours), F.col("action") == "Blocked"
+    blocked = _count_of(is_blocked)
+    top = rows.groupBy("source_ip").agg(F.count("*").alias("total_queries"), blocked.alias("blocked_count"), F.round(100.0 * blocked / F.count("*"), 2).alias("blocked_rate"))
+    top = top.where(F.col("blocked_count") > min_blocked).orderBy(F.desc("blocked_count"), "source_ip").limit(limit)
+    names = rows.where(is_blocked & F.col("query_hostname").isNotNull()).select("source_ip", "query_hostname").join(F.broadcast(top.select("source_ip")), "source_ip", "left_semi").distinct()  # limit rows
+    sets = names.groupBy("source_ip").agg(F.sort_array(F.collect_list("query_hostname")).alias("blocked_domains"))
+    domains = F.coalesce("blocked_domains", F.array().cast("array<string>")).alias("blocked_domains")
+    return top.join(sets, "source_ip", "left").select("source_ip", "total_queries", "blocked_count", "blocked_rate", domains).orderBy(F.desc("blocked_count"), "source_ip")
 
 
 def top_queried_domains(events: DataFrame, as_of: datetime, hours: int = 24, limit: int = 100) -> DataFrame:
