@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 #: The documented numbers and names of indicator types.
 TYPE_NAMES = {1: "Hostname", 2: "IP Address", 3: "MAC Address", 4: "User Name", 5: "Email Address", 6: "URL String", 7: "File Name", 8: "Hash", 9: "Process Name", 10: "Resource UID", 22: "Hash", 30: "URL"}
@@ -20,16 +22,43 @@ DEFAULT_PATHS = {
 }
 
 
-def extract_observables(events: DataFrame, type_paths: dict[int, tuple[str, tuple[str, ...]]], as_of: datetime | None = None) -> DataFrame:
+FOUND = "array<struct<attribute_path: string, value: string>>"
+
+
+def path_values(column: Column, kind: DataType, parts: list[str], path: Column) -> Column | None:
+    """(attribute_path, value) of all places that a path reaches in a column, None if its type has no such path.
+
+    Each array on the way gives its elements, with their place in the path (``answers[0].rdata``).
+    """
+    if isinstance(kind, ArrayType):
+        probe = path_values(F.lit(None), kind.elementType, parts, path)
+        if probe is None:
+            return None
+        each = lambda x, i: path_values(x, kind.elementType, parts, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))
+        return F.coalesce(F.flatten(F.transform(column, each)), F.array().cast(FOUND))
+    if not parts:
+        return F.array(F.struct(path.alias("attribute_path"), column.cast("string").alias("value")))
+    if isinstance(kind, StructType) and parts[0] in kind.names:
+        return path_values(column.getField(parts[0]), kind[parts[0]].dataType, parts[1:], F.concat_ws(".", F.nullif(path, F.lit("")), F.lit(parts[0])))
+    return None
+
+
+def extract_observables(events: DataFrame, type_paths: dict[int, tuple[str, tuple[str, ...]]] = DEFAULT_PATHS, as_of: datetime | None = None) -> DataFrame:
     """A row for each configured path that has a value, in one scan however many paths there are.
 
-    Values in arrays get their place in the path (``answers[0].rdata``), so that ids are unique.
+    Values in arrays get their place in the path (``answers[0].rdata``), so that ids are unique. Paths that the events
+    don't have are left out.
     """
-    found = []
+    found = [F.array().cast("array<struct<type_id: int, type_name: string, attribute_path: string, value: string>>")]
     for type_id, (name, paths) in type_paths.items():
         for path in paths:
-            found.append(F.struct(F.lit(type_id).alias("type_id"), F.lit(name).alias("type_name"), F.lit(path).alias("attribute_path"), F.col(path).cast("string").alias("value")))
-    rows = events.select("metadata_uid", "class_uid", "time", F.explode(F.filter(F.array(*found), lambda x: x["value"].isNotNull())).alias("o"))
+            first, *parts = path.split(".")
+            if first not in events.columns:
+                continue
+            values = path_values(F.col(f"`{first}`"), events.schema[first].dataType, parts, F.lit(first))
+            if values is not None:
+                found.append(F.transform(values, _typed(type_id, name)))
+    rows = events.select("metadata_uid", "class_uid", "time", F.explode(F.filter(F.concat(*found), lambda x: x["value"].isNotNull())).alias("o"))
     out = rows.select(
         F.concat_ws("_", "metadata_uid", "o.attribute_path").alias("observable_id"),
         F.col("o.type_id").alias("type_id"),
@@ -43,6 +72,10 @@ def extract_observables(events: DataFrame, type_paths: dict[int, tuple[str, tupl
     return out if as_of is None else out.withColumn("ingestion_time", F.lit(as_of))
 
 
+def _typed(type_id: int, name: str) -> Callable[[Column], Column]:
+    return lambda x: F.struct(F.lit(type_id).alias("type_id"), F.lit(name).alias("type_name"), x["attribute_path"].alias("attribute_path"), x["value"].alias("value"))
+
+
 def explode_observables(events: DataFrame) -> DataFrame:
     """The embedded indicator array, a row each; elements without a value are left out."""
     rows = events.select("metadata_uid", "class_uid", "time", F.posexplode("observables").alias("pos", "o")).where("o.value IS NOT NULL")
@@ -52,17 +85,24 @@ def explode_observables(events: DataFrame) -> DataFrame:
 def extract_from_dictionary(fields: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Indicators among flattened fields (record, class_uid, path, value), as a dictionary names them.
 
-    The dictionary (kind, key, class_uid, type_id) is small and fixed by the schema: a kind ``path`` gives whole paths, ``attribute``
-    last segments; a class_uid restricts an entry to a class.
+    The dictionary (kind, key, class_uid, type_id) is small and fixed by the schema: a kind ``path`` gives whole paths,
+    ``attribute`` last segments, ``object`` segments above the last (all leaves of such an object are indicators),
+    ``type`` the types of attributes if ``fields`` has them (attr_type), ``class`` classes whose every field is one. A
+    class_uid restricts an entry to a class.
     """
-    leaf = F.regexp_replace(F.element_at(F.split("path", r"\."), -1), r"\[\d+\]", "")
+    segments = F.split(F.regexp_replace("path", r"\[\d+\]", ""), r"\.")
+    kind = lambda name, column: F.struct(F.lit(name).alias("kind"), column.cast("string").alias("key"))
+    keys = [F.array(kind("path", F.col("path")), kind("attribute", F.element_at(segments, -1)), kind("class", F.col("class_uid")))]
+    keys.append(F.transform(F.array_distinct(F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(0)))), lambda x: kind("object", x)))
+    if "attr_type" in fields.columns:
+        keys.append(F.array(kind("type", F.col("attr_type"))))
     d = dictionary.select(F.col("kind"), F.col("key"), F.col("class_uid").alias("of_class"), F.col("type_id"))
-    keyed = fields.withColumn("k", F.explode(F.array(F.struct(F.lit("path").alias("kind"), F.col("path").alias("key")), F.struct(F.lit("attribute").alias("kind"), leaf.alias("key")))))
+    keyed = fields.withColumn("k", F.explode(F.concat(*keys)))
     hit = (F.col("k.kind") == F.col("kind")) & (F.col("k.key") == F.col("key")) & (F.col("of_class").isNull() | (F.col("of_class") == F.col("class_uid")))
     return keyed.join(d, hit).where(F.col("value").isNotNull()).select("record", "class_uid", "path", "value", "type_id").distinct()
 
 
-#: What the values of indicator types look like, in the order of their test.
+#: What the values of indicator types look like, in the order of their test; one pattern a type and form.
 VALUE_PATTERNS = [
     ("ip", r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"),
     ("ip", r"^([0-9a-fA-F]{1,4}:){2,7}[0-9a-fA-F]{1,4}$"),
@@ -106,13 +146,15 @@ def flag_observables(fields: DataFrame) -> DataFrame:
 
 
 #: What the types look like inside a text.
-TEXT_PATTERNS = {
-    "ip": r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)",
-    "url": r"https?://[^\s<>\"']+",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "mac": r"(?<![\w:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:-])",
-    "hash": r"(?<!\w)(?:[a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})(?!\w)",
-}
+TEXT_PATTERNS = [
+    ("ip", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)"),
+    ("url", r"https?://[^\s<>\"']+"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    ("mac", r"(?<![\w:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:-])"),
+    ("hash", r"(?<!\w)(?:[a-fA-F0-9]{64}|[a-fA-F0-9]{40}|[a-fA-F0-9]{32})(?!\w)"),
+    ("ip", r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])"),
+    ("hostname", r"(?<![\w.@/-])(?:[a-zA-Z0-9](?:[a-zA-Z0-9-]*[a-zA-Z0-9])?\.)+[a-z]{2,}(?![\w@-])"),
+]
 
 
 def _found(column: str, kind: str, pattern: str) -> Column:
@@ -121,7 +163,7 @@ def _found(column: str, kind: str, pattern: str) -> Column:
 
 def scan_text_observables(df: DataFrame, key: str, column: str) -> DataFrame:
     """Indicators anywhere in a text: a row for each distinct (key, type, value)."""
-    found = F.concat(*(_found(column, kind, pattern) for kind, pattern in TEXT_PATTERNS.items()))
+    found = F.concat(*(_found(column, kind, pattern) for kind, pattern in TEXT_PATTERNS))
     return df.select(key, F.explode(F.array_distinct(found)).alias("o")).select(key, "o.observable_type", "o.value")
 
 
