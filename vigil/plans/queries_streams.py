@@ -63,18 +63,33 @@ def stream_ioc_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("metadata_uid", "query_hostname", "indicator", "threat_type", "confidence")
 
 
-@query("stream_beaconing", f"{DNS_SQL}, g AS (SELECT source_ip, query_hostname, time, date_diff('second', lag(time) OVER (PARTITION BY source_ip, query_hostname ORDER BY time), time) AS gap FROM dns) SELECT source_ip, query_hostname, count(*) AS beacon_count, round(avg(gap), 4) AS avg_interval, round(stddev_samp(gap), 4) AS interval_stddev, max(time) AS last_seen FROM g WHERE gap IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 10 AND stddev_samp(gap) < avg(gap)")
+for _unit in ("week", "month"):
+
+    def _tumbling(spark: SparkSession, sf_dir: str, unit: str = _unit) -> DataFrame:
+        metric = streams.stream_metric(dns_stream(spark, sf_dir, 1), {"n": F.count("*")}, unit, "60 days", ["query_type"])
+        updates = streams.run_once(metric, shared_folder(spark, "metric"), "update")
+        return _ntz(updates.groupBy("time_bucket", "query_type").agg(F.max_by("n", "trigger").alias("n")), "time_bucket")
+
+    query(f"stream_metric_{_unit}", f"{DNS_SQL} SELECT date_trunc('{_unit}', time)::TIMESTAMP AS time_bucket, query_type, count(*) AS n FROM dns GROUP BY 1, 2")(_tumbling)
+
+
+BEACON_SQL = f"{DNS_SQL}, g AS (SELECT source_ip, query_hostname, time, date_diff('second', lag(time) OVER (PARTITION BY source_ip, query_hostname ORDER BY time), time) AS gap FROM dns) SELECT source_ip, query_hostname, count(*) AS beacon_count, round(avg(gap), 4) AS avg_interval, round(stddev_samp(gap), 4) AS interval_stddev, max(time) AS last_seen FROM g WHERE gap IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 10 AND stddev_samp(gap) < avg(gap)"
+
+
+@query("stream_beaconing", BEACON_SQL)
 def stream_beaconing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    streams.use_keyed_state(spark)
-    found = streams.run_once(streams.stream_beaconing(dns_stream(spark, sf_dir), 10, 1.0), shared_folder(spark, "beacons"), "update")
-    return _ntz(found.drop("trigger").withColumns({c: F.round(c, 4) for c in ("avg_interval", "interval_stddev")}), "last_seen")
+    """Files come in no order of time, one a trigger, so most rows are late."""
+    path = shared_folder(spark, "beacons")
+    streams.stream_beaconing(dns_stream(spark, sf_dir, 1), f"{path}/table", f"{path}/state").awaitTermination()
+    found = streams.beacons(spark, f"{path}/table", 10, 1.0)
+    return _ntz(found.withColumns({c: F.round(c, 4) for c in ("avg_interval", "interval_stddev")}), "last_seen")
 
 
 @query("stream_first_seen", f"{DNS_SQL} SELECT query_hostname AS key, min(time) AS first_seen FROM dns GROUP BY 1")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams.use_keyed_state(spark)
-    found = streams.run_once(streams.stream_first_seen(dns_stream(spark, sf_dir), "query_hostname"), shared_folder(spark, "first"))
-    return _ntz(found.drop("trigger"), "first_seen")
+    updates = streams.run_once(streams.stream_first_seen(dns_stream(spark, sf_dir, 1), "query_hostname"), shared_folder(spark, "first"), "update")
+    return _ntz(updates.groupBy("key").agg(F.max_by("first_seen", "trigger").alias("first_seen")), "first_seen")
 
 
 @query("stream_dedupe", f"{DNS_SQL} SELECT DISTINCT metadata_uid FROM dns")

@@ -7,13 +7,13 @@ trigger. Event times must be timestamps with a zone, as watermarks need them.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import sqrt
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from vigil.operators.hunting import seconds_between
 from vigil.operators.mapping import Spec, apply_mapping
 from vigil.operators.observables import extract_observables
 from vigil.functions.computed import host_suffixes
@@ -38,9 +38,18 @@ def stream_extract_observables(stream: DataFrame, type_paths: dict[int, tuple[st
 
 
 def stream_metric(stream: DataFrame, metrics: dict[str, Column], granularity: str, delay: str, keys: list[str] | None = None, time: str = "time") -> DataFrame:
-    """Aggregates by tumbling window and keys; rows later than ``delay`` are dropped. Distinct counts must be approximate."""
+    """Aggregates by tumbling window and keys; rows later than ``delay`` are dropped. Distinct counts must be approximate.
+
+    Weeks begin on Mondays, as in batch queries. Months differ in length, so they are no windows: they are groups whose
+    state stays, one row for each month and key.
+    """
+    rows = stream.withWatermark(time, delay)
+    if granularity == "month":
+        return rows.groupBy(F.date_trunc("month", time).alias("time_bucket"), *(keys or [])).agg(*(c.alias(n) for n, c in metrics.items()))
     length = {"minute": "1 minute", "hour": "1 hour", "day": "1 day", "week": "7 days"}[granularity]
-    grouped = stream.withWatermark(time, delay).groupBy(F.window(time, length).alias("w"), *(keys or []))
+    # windows are counted from a Thursday
+    window = F.window(time, length, startTime="4 days") if granularity == "week" else F.window(time, length)
+    grouped = rows.groupBy(window.alias("w"), *(keys or []))
     return grouped.agg(*(c.alias(n) for n, c in metrics.items())).select(F.col("w.start").alias("time_bucket"), *(keys or []), *metrics)
 
 
@@ -55,59 +64,69 @@ def stream_dedupe(stream: DataFrame, key: str, delay: str, time: str = "time") -
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-class Beacons(StatefulProcessor):
-    """Running count, mean and spread of the seconds between a key's events (Welford's recurrence).
+PAIR = ["source_ip", "query_hostname"]
 
-    Rows of a trigger are put in order; a row older than the last one seen is counted as late and left out.
-    """
 
-    def __init__(self, min_beacons: int, jitter: float):
-        self.min_beacons, self.jitter = min_beacons, jitter
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("beacons", "first timestamp, last timestamp, n long, mean double, m2 double, late long")
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        times = sorted(r["time"] for r in rows)
-        first, last, n, mean, m2, late = self.state.get() if self.state.exists() else (None, None, 0, 0.0, 0.0, 0)
-        for t in times:
-            if last is not None and t < last:
-                late += 1
-                continue
-            if last is None:
-                first = t
-            else:
-                gap = int(t.timestamp()) - int(last.timestamp())
-                n += 1
-                step = gap - mean
-                mean += step / n
-                m2 += step * (gap - mean)
-            last = t
-        self.state.update((first, last, n, mean, m2, late))
-        spread = sqrt(m2 / (n - 1)) if n > 1 else None
-        if n > self.min_beacons and spread is not None and spread < mean * self.jitter:
-            yield Row(source_ip=key[0], query_hostname=key[1], beacon_count=n, avg_interval=mean, interval_stddev=spread, last_seen=last)
+def stream_beaconing(stream: DataFrame, path: str, checkpoint: str, chunk: str = "hour", every: str | None = None) -> StreamingQuery:
+    """Keep the gaps between the events of each pair of client and host up to date; ``beacons`` reads them.
 
-    def close(self) -> None:
-        pass
+    Each trigger appends its times, by day, to ``path/times`` and counts anew the chunks that it touches, from the times
+    of these days. So late rows count as if they had come in time, and a hot pair's rows are ordered by Spark, chunk by
+    chunk. A trigger that is repeated overwrites what it wrote. Times and chunks of days so old that no row comes any
+    more may be deleted by day and by hand of the tables' owner.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*PAIR, "time", F.date_trunc(chunk, "time").alias("chunk"), F.to_date("time").alias("day")).withColumn("batch", F.lit(number))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{path}/times")
+        times = spark.read.schema(rows.schema).parquet(f"{path}/times")
+        new = times.where(F.col("batch") == number)
+        days = [r.day for r in new.select("day").distinct().collect()]  # the days of one trigger
+        touched = new.select(*PAIR, "chunk").distinct()
+        every_time = times.where(F.col("day").isin(days) & (F.col("batch") <= number)).join(touched, [*PAIR, "chunk"], "left_semi")
+        gaps = every_time.withColumn("gap", seconds_between(F.lag("time").over(Window.partitionBy(*PAIR, "chunk").orderBy("time")), F.col("time")))
+        stats = gaps.groupBy(*PAIR, "chunk").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.count("gap").alias("n"), F.sum("gap").alias("total"), F.sum((F.col("gap") * F.col("gap")).cast("decimal(38,0)")).alias("squares"))
+        stats.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/chunks")
+
+    writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def stream_beaconing(stream: DataFrame, min_beacons: int = 10, jitter: float = 0.2) -> DataFrame:
-    """Pairs of client and host whose events come at regular intervals; a pair is given again as it goes on."""
-    out = "source_ip string, query_hostname string, beacon_count long, avg_interval double, interval_stddev double, last_seen timestamp"
-    keyed = stream.select("source_ip", "query_hostname", "time").groupBy("source_ip", "query_hostname")
-    return keyed.transformWithState(statefulProcessor=Beacons(min_beacons, jitter), outputStructType=out, outputMode="Update", timeMode="None")
+def beacons(spark: SparkSession, path: str, min_beacons: int = 10, jitter: float = 0.2) -> DataFrame:
+    """Pairs whose events come at regular intervals, from the chunks that ``stream_beaconing`` keeps: the last count of each
+    chunk, and the gaps between chunks."""
+    chunks = spark.read.parquet(f"{path}/chunks").groupBy(*PAIR, "chunk").agg(F.max_by(F.struct("first", "last", "n", "total", "squares"), "batch").alias("c")).select(*PAIR, "chunk", "c.*")
+    between = seconds_between(F.lag("last").over(Window.partitionBy(*PAIR).orderBy("chunk")), F.col("first"))
+    found = chunks.withColumn("between", between).groupBy(*PAIR).agg(
+        (F.sum("n") + F.count("between")).alias("beacon_count"),
+        (F.coalesce(F.sum("total"), F.lit(0)) + F.coalesce(F.sum("between"), F.lit(0))).alias("total"),
+        (F.coalesce(F.sum("squares"), F.lit(0)) + F.coalesce(F.sum((F.col("between") * F.col("between")).cast("decimal(38,0)")), F.lit(0))).cast("double").alias("squares"),
+        F.max("last").alias("last_seen"),
+    )
+    n, total = F.col("beacon_count"), F.col("total").cast("double")
+    found = found.where(n > F.greatest(F.lit(min_beacons), F.lit(1))).withColumn("avg_interval", total / n)
+    found = found.withColumn("interval_stddev", F.sqrt(F.greatest(F.col("squares") - total * total / n, F.lit(0.0)) / (n - 1)))
+    return found.where(F.col("interval_stddev") < F.col("avg_interval") * jitter).select(*PAIR, "beacon_count", "avg_interval", "interval_stddev", "last_seen")
 
 
 class FirstSeen(StatefulProcessor):
-    """The first time of a key; given once, when the key is new."""
+    """The first time of a key; given when the key is new and again when an earlier event comes late."""
+
+    def __init__(self, ttl: int | None):
+        self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("seen", "at timestamp")
+        self.state = handle.getValueState("seen", "at long", self.ttl)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        if not self.state.exists():
-            at = min(r["time"] for r in rows)
+        at = min(r["at"] for r in rows)
+        if not self.state.exists() or at < self.state.get()[0]:
             self.state.update((at,))
             yield Row(key=str(key[0]), first_seen=at)
 
@@ -115,24 +134,33 @@ class FirstSeen(StatefulProcessor):
         pass
 
 
-def stream_first_seen(stream: DataFrame, key: str) -> DataFrame:
-    """Keys never seen before, with the time of their first event in the trigger that brings them."""
-    return stream.select(F.col(key).cast("string").alias("key"), "time").groupBy("key").transformWithState(statefulProcessor=FirstSeen(), outputStructType="key string, first_seen timestamp", outputMode="Append", timeMode="None")
+def stream_first_seen(stream: DataFrame, key: str, ttl_seconds: int | None = None) -> DataFrame:
+    """Keys never seen before with the time of their first event; of the rows of a key the last one holds.
+
+    With ``ttl_seconds`` a key is forgotten that long after its last change, and is new when it comes again.
+    """
+    processor = FirstSeen(ttl_seconds * 1000 if ttl_seconds else None)
+    keyed = stream.select(F.col(key).cast("string").alias("key"), F.unix_micros("time").alias("at")).groupBy("key")
+    found = keyed.transformWithState(statefulProcessor=processor, outputStructType="key string, first_seen long", outputMode="Update", timeMode="ProcessingTime" if ttl_seconds else "None")
+    return found.select("key", F.timestamp_micros("first_seen").alias("first_seen"))
 
 
-def stream_refresh(stream: DataFrame, path: str, checkpoint: str, key: str = "observable_id", every: str | None = None) -> StreamingQuery:
-    """Keep a written table up to date: rows of keys that it hasn't got are appended.
+def stream_refresh(stream: DataFrame, path: str, checkpoint: str, key: str = "observable_id", every: str | None = None, time: str = "event_time") -> StreamingQuery:
+    """Keep a written table, partitioned by day, up to date: rows of keys that it hasn't got are appended.
 
-    Without ``every`` the query takes what is there and ends, as for a manual refresh; else it goes on at that interval.
+    A key belongs to one event and so to one day; a trigger reads only the keys of its own days. Without ``every`` the
+    query takes what is there and ends, as for a manual refresh; else it goes on at that interval.
     """
 
     def insert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
-        jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm):
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        new.write.mode("append").parquet(path)
+        new = batch.withColumn("event_date", F.to_date(time)).dropDuplicates([key])
+        if _exists(spark, path):
+            days = [r.event_date for r in new.select("event_date").distinct().collect()]  # the days of one trigger
+            held = spark.read.schema(new.schema).parquet(path)
+            held = held.where(F.col("event_date").isin(days) | (F.lit(None in days) & F.col("event_date").isNull()))
+            new = new.join(held.select(key), key, "left_anti")
+        new.write.mode("append").partitionBy("event_date").parquet(path)
 
     writer = stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
