@@ -89,21 +89,18 @@ def variant_kind(column: Column) -> Column:
 def flatten_json(df: DataFrame, key: str, column: str, max_depth: int = 6) -> DataFrame:
     """Every leaf and every array of JSON texts with its path; texts that aren't JSON give no rows.
 
-    Levels are unfolded one by one; what is still an object below ``max_depth`` is given as JSON text.
+    Levels are unfolded one by one in a single pass: a leaf is carried along, an object gives way to its parts, an array
+    to itself and its parts. What is still an object below ``max_depth`` is given as JSON text; an empty object gives
+    no row.
     """
-    spark = df.sparkSession
-    level = df.select(key, F.try_parse_json(trimmed(column)).alias("v"), F.lit("").alias("path")).where(F.col("v").isNotNull())
-    out: DataFrame | None = None
-    for depth in range(max_depth + 1):
-        kinds = level.withColumn("type", variant_kind(F.col("v")))
-        leaf = kinds if depth == max_depth else kinds.where(F.col("type") != "object")
-        text = F.when(F.col("type") == "null", F.lit("null")).when(F.col("type").isin("array", "object"), F.to_json("v")).otherwise(F.col("v").cast("string"))
-        rows = leaf.select(key, F.when(F.col("path") == "", "root").otherwise(F.col("path")).alias("path"), text.alias("value"), "type")
-        out = rows if out is None else out.unionByName(rows)
-        if depth == max_depth:
-            break
-        inner = kinds.where(F.col("type").isin("object", "array")).select(key, F.col("v").alias("above"), F.col("path").alias("prefix"), "type")
-        parts = inner.lateralJoin(spark.tvf.variant_explode(F.col("above").outer()))
-        path = F.when(F.col("type") == "array", F.concat("prefix", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("prefix") == "", F.col("key")).otherwise(F.concat_ws(".", "prefix", "key"))
-        level = parts.select(key, F.col("value").alias("v"), path.alias("path"))
-    return out
+    parse = df.sparkSession.tvf.variant_explode_outer
+    level = df.select(F.col(key).alias("record"), F.try_parse_json(trimmed(column)).alias("v"), F.lit("").alias("path"), F.lit(False).alias("done")).where(F.col("v").isNotNull())
+    level = level.withColumn("type", variant_kind(F.col("v")))
+    for _ in range(max_depth):
+        opens = F.when(F.col("done") | ~F.col("type").isin("object", "array"), F.array(F.lit(False))).when(F.col("type") == "array", F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
+        split = level.select("*", F.explode(opens).alias("open"))
+        parts = split.lateralJoin(parse(F.when(F.col("open").outer(), F.col("v").outer()))).where(~F.col("open") | F.col("pos").isNotNull())
+        inner = F.when(F.col("type") == "array", F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
+        level = parts.select("record", F.when(F.col("open"), F.col("value")).otherwise(F.col("v")).alias("v"), F.when(F.col("open"), inner).otherwise(F.col("path")).alias("path"), (~F.col("open")).alias("done"), F.when(F.col("open"), variant_kind(F.col("value"))).otherwise(F.col("type")).alias("type"))
+    text = F.when(F.col("type") == "null", F.lit("null")).when(F.col("type").isin("array", "object"), F.to_json("v")).otherwise(F.col("v").cast("string"))
+    return level.select(F.col("record").alias(key), F.when(F.col("path") == "", "root").otherwise(F.col("path")).alias("path"), text.alias("value"), "type")

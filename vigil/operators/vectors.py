@@ -11,12 +11,15 @@ from .changes import content_hash, content_hash_changes
 
 #: Rows of a side that one task compares.
 QUERY_BLOCK, CORPUS_BLOCK = 2_000, 10_000
+#: Steps that are folded at once, and times that they are: numbers of steps up to 10 ** 12 come down to a few.
+STRETCH, FOLDS = 1000, 3
 #: The thresholds and steps of suggestions.
 LEAST_SCORE, EXTENSION_BELOW, CONFIRMED, DECAY = 0.3, 0.5, 0.2, 0.5
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, dims: int, where: Column | None = None, min_score: float | None = None) -> DataFrame:
-    """(query_id, rank, id, score): each query's k most similar rows of ``corpus``; both have (id, vector).
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, dims: int, where: Column | None = None, min_score: float | None = None, but_own: bool = False) -> DataFrame:
+    """(query_id, rank, id, score): each query's k most similar rows of ``corpus``; both have (id, vector). With ``but_own``
+    rows of the query's own id are left out.
 
     Both sides are dealt into blocks of bounded size; each task multiplies one block with one other and keeps
     k rows a query. A zero vector has similarity 0; a vector of other dimensions is an error.
@@ -37,9 +40,12 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, dims: int, where:
             x, y = (np.stack(v["vector"].to_numpy()) for v in (a, b))
             sizes = np.sqrt((x**2).sum(1))[:, None] * np.sqrt((y**2).sum(1))
             score = np.divide(x @ y.T, sizes, out=np.zeros(sizes.shape), where=sizes > 0)
+            if but_own:
+                score[a["id"].to_numpy()[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
             first = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            found = np.take_along_axis(score, first, 1)
-            out = {"query_id": np.repeat(a["id"].to_numpy(), first.shape[1]), "id": b["id"].to_numpy()[first.ravel()], "score": found.ravel()}
+            found = np.take_along_axis(score, first, 1).ravel()
+            good = np.isfinite(found)
+            out = {"query_id": np.repeat(a["id"].to_numpy(), first.shape[1])[good], "id": b["id"].to_numpy()[first.ravel()][good], "score": found[good]}
         return pd.DataFrame(out)
 
     kind = dict(queries.dtypes)["id"]
@@ -109,12 +115,21 @@ def learn_boosts(confirmed: DataFrame, neighbours: DataFrame) -> DataFrame:
     """(target, boost) after confirmations (step, field, target) and their neighbours (field, id, score), at most ten each.
 
     A confirmation adds its step up to 0.5, a similar target a share of it up to 0.3; steps are folded in their order.
+    What a stretch of steps does to a boost b is least(b + add, cap) again, so stretches are folded apart, then together,
+    and no array grows with a target's steps.
     """
     own = confirmed.select("step", "target", F.lit(CONFIRMED).alias("add"), F.lit(0.5).alias("cap"))
     near = confirmed.join(neighbours.where(F.col("score") >= 0.5), "field").where(F.col("id") != F.col("target"))
     other = near.select("step", F.col("id").alias("target"), (F.lit(CONFIRMED * DECAY) * F.col("score")).alias("add"), F.lit(0.3).alias("cap"))
-    steps = own.unionByName(other).groupBy("target").agg(F.sort_array(F.collect_list(F.struct("step", "cap", "add"))).alias("steps"))
-    return steps.select("target", F.aggregate("steps", F.lit(0.0), lambda b, s: F.least(b + s["add"], s["cap"])).alias("boost"))
+    steps = own.unionByName(other).select("target", F.col("step").cast("long").alias("at"), "cap", "add")
+    start = F.struct(F.lit(0.0).alias("add"), F.lit(float("inf")).alias("cap"))
+    follow = lambda b, s: F.struct((b["add"] + s["add"]).alias("add"), F.least(b["cap"] + s["add"], s["cap"]).alias("cap"))
+    for _ in range(FOLDS):
+        stretch = F.floor(F.col("at") / STRETCH)
+        folded = F.aggregate(F.sort_array(F.collect_list(F.struct("at", "cap", "add"))), start, follow)
+        steps = steps.groupBy("target", stretch.alias("at")).agg(folded.alias("f")).select("target", "at", "f.cap", "f.add")
+    last = F.aggregate(F.sort_array(F.collect_list(F.struct("at", "cap", "add"))), start, follow)
+    return steps.groupBy("target").agg(last.alias("f")).select("target", F.least("f.add", "f.cap").alias("boost"))
 
 
 def extension_type(kind: Column | str) -> Column:

@@ -11,22 +11,22 @@ from . import binding
 from .registry import query
 
 DIMS = 64
-PAIRS_SQL = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, list_cosine_similarity(q.e, c.e) AS score FROM v q, v c WHERE q.vec_id % 10 = 0 AND c.vec_id % 10 <> 0)"
+PAIRS_SQL = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS id, c.label, list_cosine_similarity(q.e, c.e) AS score FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)"
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     df = binding.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return df.where("id % 10 = 0"), df.where("id % 10 <> 0")
+    return df.where("id % 100 = 0"), df
 
 
 @query("cosine_topk", f"WITH {PAIRS_SQL}, r AS (SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM pairs) SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 5")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.cosine_topk(*_vectors(spark, sf_dir), 5, DIMS).withColumn("score", F.round("score", 6))
+    return vectors.cosine_topk(*_vectors(spark, sf_dir), 5, DIMS, but_own=True).withColumn("score", F.round("score", 6))
 
 
 @query("vector_filter", f"WITH {PAIRS_SQL}, r AS (SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM pairs WHERE label IN (1, 2) AND score >= 0.2) SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 5")
 def vector_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.cosine_topk(*_vectors(spark, sf_dir), 5, DIMS, where=F.col("label").isin(1, 2), min_score=0.2).withColumn("score", F.round("score", 6))
+    return vectors.cosine_topk(*_vectors(spark, sf_dir), 5, DIMS, where=F.col("label").isin(1, 2), min_score=0.2, but_own=True).withColumn("score", F.round("score", 6))
 
 
 @query("hash_embedding")
@@ -44,18 +44,18 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOSTS_SQL = "boosts AS (SELECT vec_id AS target, (label % 3) / 10.0::DOUBLE AS boost FROM embeddings WHERE label % 3 > 0)"
 
 
-@query("suggest_mappings", f"WITH {PAIRS_SQL}, {BOOSTS_SQL}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS near FROM pairs WHERE score >= 0.3), b AS (SELECT query_id, id, least(score + coalesce(boost, 0), 1.0) AS confidence FROM g LEFT JOIN boosts ON id = target WHERE near <= 10), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, id))::INT AS rank FROM b), k AS (SELECT query_id AS field, rank, CAST(id AS VARCHAR) AS target, round(confidence, 6) AS confidence, rank = 1 AND confidence < 0.5 AS suggest_extension FROM r WHERE rank <= 5) SELECT * FROM k UNION ALL SELECT vec_id, 1, 'x_' || CAST(vec_id AS VARCHAR), 0.0, true FROM v WHERE vec_id % 10 = 0 AND vec_id NOT IN (SELECT field FROM k)")
+@query("suggest_mappings", f"WITH {PAIRS_SQL}, {BOOSTS_SQL}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS near FROM pairs WHERE score >= 0.3), b AS (SELECT query_id, id, least(score + coalesce(boost, 0), 1.0) AS confidence FROM g LEFT JOIN boosts ON id = target WHERE near <= 10), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, id))::INT AS rank FROM b), k AS (SELECT query_id AS field, rank, CAST(id AS VARCHAR) AS target, round(confidence, 6) AS confidence, rank = 1 AND confidence < 0.5 AS suggest_extension FROM r WHERE rank <= 5) SELECT * FROM k UNION ALL SELECT vec_id, 1, 'x_' || CAST(vec_id AS VARCHAR), 0.0, true FROM v WHERE vec_id % 100 = 0 AND vec_id NOT IN (SELECT field FROM k)")
 def suggest_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields, attributes = _vectors(spark, sf_dir)
     boosts = binding.table(spark, sf_dir, "embeddings").where("label % 3 > 0").selectExpr("vec_id AS target", "(label % 3) / 10.0D AS boost")
-    matches = vectors.cosine_topk(fields, attributes, 10, DIMS, min_score=vectors.LEAST_SCORE)
+    matches = vectors.cosine_topk(fields, attributes, 10, DIMS, min_score=vectors.LEAST_SCORE, but_own=True)
     found = vectors.suggest_mappings(matches.drop("rank"), boosts, 5, fields.select(F.col("id").alias("field")))
     return found.drop("alternatives").withColumn("confidence", F.round("confidence", 6))
 
 
 @query("suggest_mappings_alternatives", f"WITH {PAIRS_SQL}, g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM pairs WHERE score >= 0.3) SELECT query_id AS field, list(CAST(id AS VARCHAR) ORDER BY rank) FILTER (WHERE rank BETWEEN 2 AND 4) AS alternatives FROM g GROUP BY 1 HAVING count(*) > 1")
 def suggest_mappings_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = vectors.cosine_topk(*_vectors(spark, sf_dir), 10, DIMS, min_score=vectors.LEAST_SCORE)
+    matches = vectors.cosine_topk(*_vectors(spark, sf_dir), 10, DIMS, min_score=vectors.LEAST_SCORE, but_own=True)
     none = spark.createDataFrame([], "target long, boost double")
     return vectors.suggest_mappings(matches.drop("rank"), none).where("rank = 1 AND size(alternatives) > 0").select("field", "alternatives")
 
@@ -71,12 +71,12 @@ def mapping_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("learn_boosts")
 def learn_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields, attributes = _vectors(spark, sf_dir)
-    near = vectors.cosine_topk(fields, attributes, 10, DIMS, min_score=0.5).select(F.col("query_id").alias("field"), "id", "score")
+    near = vectors.cosine_topk(fields, attributes, 10, DIMS, min_score=0.5, but_own=True).select(F.col("query_id").alias("field"), "id", "score")
     confirmed = fields.select(F.col("id").alias("step"), F.col("id").alias("field"), (F.col("id") % 7 + 1).alias("target"))
     return vectors.learn_boosts(confirmed, near)
 
 
-@query("learn_boosts_confirmed", "SELECT vec_id % 7 + 1 AS target, least(0.2 * count(*), 0.5)::DOUBLE AS boost FROM embeddings WHERE vec_id % 10 = 0 GROUP BY 1")
+@query("learn_boosts_confirmed", "SELECT vec_id % 7 + 1 AS target, least(0.2 * count(*), 0.5)::DOUBLE AS boost FROM embeddings WHERE vec_id % 100 = 0 GROUP BY 1")
 def learn_boosts_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields, _ = _vectors(spark, sf_dir)
     confirmed = fields.select(F.col("id").alias("step"), F.col("id").alias("field"), (F.col("id") % 7 + 1).alias("target"))
