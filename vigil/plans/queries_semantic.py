@@ -44,6 +44,8 @@ MODEL = Model.of(
         Metric("nx_success_count", "dns_event", "count", filter="response_code = 'NXDOMAIN'"),
         Metric("nx_rate", "dns_event", formula="nx_success_count / dns_query_count"),
         Metric("nx_percent", "dns_event", formula="nx_rate * 100"),
+        Metric("mixed", "dns_event", formula="total_duration / nx_success_count + max_duration / dns_query_count - (min_duration - 2) * 3"),
+        Metric("last_duration", "dns_event", "sum", "duration", not_summed_over=("time", "metadata_uid"), series=("source_ip",)),
         Metric("host_sightings", "dns_event", "count", hot=True, type_id=1),
         Metric("ip_sightings", "dns_event", "count_distinct", hot=True, type_id=2),
         Metric("order_count", "orders"),
@@ -174,6 +176,18 @@ _register(
 )
 
 
+_register(
+    "metric_formula_mixed",
+    SemanticQuery("dns_event", metrics=("mixed",), group_by=("query_hostname",)),
+    f"{DNS_SQL} SELECT query_hostname, sum(duration) / nullif(count(*) FILTER (WHERE response_code = 'NXDOMAIN'), 0) + max(duration) / count(*) - (min(duration) - 2) * 3 AS mixed FROM dns GROUP BY 1",
+)
+_register(
+    "metric_last_values",
+    SemanticQuery("dns_event", metrics=("last_duration", "dns_query_count"), group_by=("cloud_region",), time_granularity="day"),
+    f"{DNS_SQL}, last AS (SELECT date_trunc('day', time)::TIMESTAMP AS time_bucket, cloud_region, source_ip, arg_max(duration, (time, metadata_uid)) AS duration, count(*) AS n FROM dns GROUP BY 1, 2, 3) SELECT time_bucket, cloud_region, sum(duration) AS last_duration, sum(n)::BIGINT AS dns_query_count FROM last GROUP BY 1, 2",
+)
+
+
 @query("metric_semi_additive", f"{DNS_SQL}, last AS (SELECT cloud_region, source_ip, arg_max(duration, (time, metadata_uid)) AS duration FROM dns GROUP BY 1, 2) SELECT cloud_region, sum(duration) AS balance FROM last GROUP BY 1")
 def metric_semi_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.semi_additive(binding.dns(spark, sf_dir), ["source_ip"], ["cloud_region"], ["time", "metadata_uid"], "duration", "balance")

@@ -43,27 +43,35 @@ def detect_log_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raws(spark, sf_dir).select("record_id", parsing.detect_log_format("raw").alias("format"))
 
 
-@query("flatten_json", f"{RAW_SQL}, j AS (SELECT * FROM raws WHERE record_id % 6 = 0) SELECT record_id, 'user' AS path, json_extract_string(raw, '$.user') AS value, 'number' AS type FROM j UNION ALL SELECT record_id, 'type', json_extract_string(raw, '$.type'), 'string' FROM j UNION ALL SELECT record_id, 'n.k', json_extract_string(raw, '$.n.k'), 'number' FROM j UNION ALL SELECT record_id, 'tags', '[\"a\",null]', 'array' FROM j UNION ALL SELECT record_id, 'tags[0]', 'a', 'string' FROM j UNION ALL SELECT record_id, 'tags[1]', 'null', 'null' FROM j")
+#: Leaves and arrays of the JSON records, in DuckDB.
+TREE_SQL = RAW_SQL + ", tree AS (SELECT record_id, replace(t.fullkey, '$.', '') AS path, CASE t.type WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN json_extract(raw, t.fullkey)::VARCHAR ELSE json_extract_string(raw, t.fullkey) END AS value, CASE t.type WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END AS type FROM raws, json_tree(CASE WHEN json_valid(raw) THEN raw ELSE 'null' END) t WHERE json_valid(raw) AND t.type <> 'OBJECT')"
+FORMAT_SQL = r"CASE WHEN regexp_matches(trim(raw), '^[{\[]') AND json_valid(trim(raw)) THEN 'json' WHEN len(string_split(trim(raw), chr(10))) > 1 AND len(regexp_extract_all(string_split(trim(raw), chr(10))[1], ',')) > 0 AND len(regexp_extract_all(string_split(trim(raw), chr(10))[1], ',')) = len(regexp_extract_all(string_split(trim(raw), chr(10))[2], ',')) THEN 'csv' WHEN regexp_matches(trim(raw), '^[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}|^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}') THEN 'syslog' WHEN regexp_matches(raw, '\w+=\S+') THEN 'kv' ELSE 'json' END"
+
+
+@query("flatten_json", f"{TREE_SQL} SELECT record_id, path, value, type FROM tree")
 def flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.flatten_json(raws(spark, sf_dir), "record_id", "raw", 4)
 
 
-@query("parse_csv", f"{RAW_SQL}, c AS (SELECT record_id, string_split(string_split(raw, chr(10))[2], ',') AS v FROM raws WHERE record_id % 6 = 1) SELECT record_id, 0 AS position, 'user' AS path, v[1] AS value, 'number' AS type FROM c UNION ALL SELECT record_id, 1, 'the, type', replace(trim(v[2], '\"'), '\"\"', '\"') || '\"', 'string' FROM c UNION ALL SELECT record_id, 2, 'k', v[3], 'number' FROM c")
+@query("parse_csv", f"{RAW_SQL}, c AS (SELECT record_id, string_split(string_split(raw, chr(10))[2], ',') AS v FROM raws WHERE {FORMAT_SQL} = 'csv') SELECT record_id, 0 AS position, 'user' AS path, v[1] AS value, 'number' AS type FROM c UNION ALL SELECT record_id, 1, 'the, type', replace(trim(v[2], '\"'), '\"\"', '\"') || '\"', 'string' FROM c UNION ALL SELECT record_id, 2, 'k', v[3], 'number' FROM c")
 def parse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse_csv(raws(spark, sf_dir).where("record_id % 6 = 1"), "record_id", "raw")
+    """The records that look like CSV, whatever their ids."""
+    return parsing.parse_csv(raws(spark, sf_dir).where(parsing.detect_log_format("raw") == "csv"), "record_id", "raw")
 
 
-LINE_SQL = f"{RAW_SQL}, l AS (SELECT record_id, raw, CASE WHEN regexp_matches(raw, '^[A-Z][a-z]{{2}}\\s') THEN regexp_extract(raw, '^([A-Z][a-z]{{2}}\\s+\\d{{1,2}}\\s+\\d{{2}}:\\d{{2}}:\\d{{2}})\\s+(\\S+)\\s+(\\S+?)(?:\\[(\\d+)\\])?:\\s*(.*)$', ['timestamp', 'hostname', 'process', 'pid', 'message']) ELSE regexp_extract(raw, '^(\\S+)\\s+(\\S+)\\s+(\\S+?)(?:\\[(\\d+)\\])?:\\s*(.*)$', ['timestamp', 'hostname', 'process', 'pid', 'message']) END AS p FROM raws WHERE record_id % 6 IN (2, 3))"
+LINE_SQL = RAW_SQL + ", f AS (SELECT record_id, raw, " + FORMAT_SQL + r" AS format FROM raws), l AS (SELECT record_id, raw, CASE WHEN regexp_matches(raw, '^[A-Z][a-z]{2}\s') THEN regexp_extract(raw, '^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s*(.*)$', ['timestamp', 'hostname', 'process', 'pid', 'message']) ELSE regexp_extract(raw, '^(\S+)\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s*(.*)$', ['timestamp', 'hostname', 'process', 'pid', 'message']) END AS p FROM f WHERE format = 'syslog')"
 
 
-@query("parse_syslog", f"{LINE_SQL} SELECT record_id, 'timestamp' AS path, p.timestamp AS value, 'string' AS type FROM l UNION ALL SELECT record_id, 'hostname', p.hostname, 'string' FROM l UNION ALL SELECT record_id, 'process', p.process, 'string' FROM l UNION ALL SELECT record_id, 'pid', p.pid, 'number' FROM l WHERE p.pid <> '' UNION ALL SELECT record_id, 'message', p.message, 'string' FROM l UNION ALL SELECT record_id, 'message.user', regexp_extract(raw, 'user=(\\S+)', 1), 'number' FROM l WHERE record_id % 6 = 2 UNION ALL SELECT record_id, 'message.action', regexp_extract(raw, 'action=\"([^\"]*)\"', 1), 'string' FROM l WHERE record_id % 6 = 2 UNION ALL SELECT record_id, 'raw', raw, 'string' FROM raws WHERE record_id % 6 = 5")
+@query("parse_syslog", LINE_SQL + r""" SELECT record_id, 'timestamp' AS path, p.timestamp AS value, 'string' AS type FROM l UNION ALL SELECT record_id, 'hostname', p.hostname, 'string' FROM l UNION ALL SELECT record_id, 'process', p.process, 'string' FROM l UNION ALL SELECT record_id, 'pid', p.pid, 'number' FROM l WHERE p.pid <> '' UNION ALL SELECT record_id, 'message', p.message, 'string' FROM l UNION ALL SELECT record_id, 'message.user', regexp_extract(raw, 'user=(\S+)', 1), 'number' FROM l WHERE contains(raw, 'user=') UNION ALL SELECT record_id, 'message.action', regexp_extract(raw, 'action="([^"]*)"', 1), 'string' FROM l WHERE contains(raw, 'action=') UNION ALL SELECT record_id, 'raw', trim(raw), 'string' FROM f WHERE format <> 'syslog'""")
 def parse_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse_syslog(raws(spark, sf_dir).where("record_id % 6 IN (2, 3, 5)"), "record_id", "raw")
+    """All records; those of other formats stay raw."""
+    return parsing.parse_syslog(raws(spark, sf_dir), "record_id", "raw")
 
 
-@query("parse_kv", f"{RAW_SQL}, k AS (SELECT record_id, unnest(regexp_extract_all(raw, '(\\w+)=', 1)) AS path, unnest(list_transform(regexp_extract_all(raw, '\\w+=(\"[^\"]*\"|''[^'']*''|\\S+)', 1), lambda x: trim(x, '\"''')) ) AS value, unnest(range(6))::INT AS position FROM raws WHERE record_id % 6 = 4) SELECT *, CASE WHEN value IN ('', 'null', 'NULL') THEN 'null' WHEN value IN ('true', 'false') THEN 'boolean' WHEN regexp_full_match(value, '-?\\d+(\\.\\d+)?') THEN 'number' ELSE 'string' END AS type FROM k")
+@query("parse_kv", f"{RAW_SQL}, k AS (SELECT record_id, unnest(regexp_extract_all(raw, '(\\w+)=', 1)) AS path, unnest(list_transform(regexp_extract_all(raw, '\\w+=(\"[^\"]*\"|''[^'']*''|\\S+)', 1), lambda x: trim(x, '\"''')) ) AS value, unnest(range(len(regexp_extract_all(raw, '(\\w+)=', 1))))::INT AS position FROM raws) SELECT *, CASE WHEN value IN ('', 'null', 'NULL') THEN 'null' WHEN value IN ('true', 'false') THEN 'boolean' WHEN regexp_full_match(value, '-?\\d+(\\.\\d+)?') THEN 'number' ELSE 'string' END AS type FROM k")
 def parse_kv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.parse_kv(raws(spark, sf_dir).where("record_id % 6 = 4"), "record_id", "raw")
+    """The pairs of all records, also those inside lines of other formats."""
+    return parsing.parse_kv(raws(spark, sf_dir), "record_id", "raw")
 
 
 @query("infer_value_type", f"WITH v AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST({binding.K} AS STRING) WHEN 1 THEN 'true' WHEN 2 THEN '' WHEN 3 THEN event_type ELSE '-1.5' END AS value FROM events) SELECT *, CASE WHEN value = '' THEN 'null' WHEN value = 'true' THEN 'boolean' WHEN regexp_full_match(value, '-?\\d+(\\.\\d+)?') THEN 'number' ELSE 'string' END AS type FROM v")

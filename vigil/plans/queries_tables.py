@@ -12,12 +12,12 @@ from vigil.sources.events import shared_folder
 
 from . import binding
 from .binding import AS_OF_SQL, DNS_SQL
-from .queries_sources import raws
+from .queries_sources import TREE_SQL, raws
 from .registry import query
 
 # 2.5 profiling
 
-PROFILED = ["lang", "source", "n_chars", "doc_id"]
+PROFILED = ["lang", "source", "n_chars", "doc_id", "text"]
 
 
 def _statistics_sql(c: str) -> str:
@@ -48,9 +48,9 @@ def partition_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _partitions(spark, sf_dir)
 
 
-@query("partition_metadata_empties", f"{DNS_SQL}, p AS (SELECT date_trunc('hour', time)::TIMESTAMP AS start_time, count(*) AS n FROM dns WHERE user_id_free GROUP BY 1), r AS (SELECT unnest(generate_series((SELECT min(start_time) FROM p), (SELECT max(start_time) FROM p), INTERVAL 1 HOUR)) AS start_time) SELECT r.start_time, coalesce(n, 0) AS row_count, n IS NULL AS is_empty FROM r LEFT JOIN p ON r.start_time = p.start_time".replace("user_id_free", "source_ip = '10.0.0.3'"))
+@query("partition_metadata_empties", f"{DNS_SQL}, p AS (SELECT date_trunc('hour', time)::TIMESTAMP AS start_time, count(*) AS n FROM dns GROUP BY 1), r AS (SELECT unnest(generate_series((SELECT min(start_time) FROM p), (SELECT max(start_time) FROM p), INTERVAL 1 HOUR)) AS start_time) SELECT r.start_time, coalesce(n, 0) AS row_count, n IS NULL AS is_empty FROM r LEFT JOIN p ON r.start_time = p.start_time")
 def partition_metadata_empties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    meta = profiling.partition_metadata(binding.dns(spark, sf_dir).where("source_ip = '10.0.0.3'"), "dns", "time", "hour")
+    meta = profiling.partition_metadata(binding.dns(spark, sf_dir), "dns", "time", "hour")
     return profiling.with_empty_partitions(meta, "hour").select("start_time", "row_count", "is_empty")
 
 
@@ -61,29 +61,30 @@ def partitions_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _json_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    records = raws(spark, sf_dir).where("record_id % 6 = 0")
+    """The fields of all records, and these; records that aren't JSON have none."""
+    records = raws(spark, sf_dir)
     return parsing.flatten_json(records, "record_id", "raw", 4), records
 
 
-@query("field_profile", "WITH j AS (SELECT event_id, user_id, event_type, " + binding.K + " AS k FROM events WHERE event_id % 6 = 0), n AS (SELECT count(*) AS n FROM j) SELECT path, type, example, n AS n_records, 1.0::DOUBLE AS presence_rate FROM n, (SELECT 'user' AS path, 'number' AS type, min(CAST(user_id AS VARCHAR)) AS example FROM j UNION ALL SELECT 'type', 'string', min(event_type) FROM j UNION ALL SELECT 'n.k', 'number', min(CAST(k AS VARCHAR)) FROM j UNION ALL SELECT 'tags', 'array', '[\"a\",null]' UNION ALL SELECT 'tags[0]', 'string', 'a' UNION ALL SELECT 'tags[1]', 'null', 'null') f")
+@query("field_profile", f"{TREE_SQL} SELECT path, type, min(value) AS example, count(DISTINCT record_id) AS n_records, count(DISTINCT record_id) / (SELECT count(*) FROM raws) AS presence_rate FROM tree GROUP BY 1, 2")
 def field_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.field_profile(*_json_fields(spark, sf_dir), "record_id")
 
 
 MAPPINGS = [("user", "High"), ("n.k", "Medium"), ("type", "Medium"), ("never.seen", "High")]
-MAPPINGS_SQL = "seen AS (SELECT DISTINCT unnest(['user', 'type', 'n.k', 'tags', 'tags[0]', 'tags[1]']) AS path FROM events WHERE event_id % 6 = 0), maps AS (SELECT * FROM (VALUES ('user', 'High'), ('n.k', 'Medium'), ('type', 'Medium'), ('never.seen', 'High')) m(target, confidence))"
+MAPPINGS_SQL = f"{TREE_SQL}, seen AS (SELECT DISTINCT path FROM tree), maps AS (SELECT * FROM (VALUES ('user', 'High'), ('n.k', 'Medium'), ('type', 'Medium'), ('never.seen', 'High')) m(target, confidence))"
 
 
 def _mappings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MAPPINGS, "target string, confidence string")
 
 
-@query("mapping_coverage", f"WITH {MAPPINGS_SQL}, c AS (SELECT (SELECT count(*) FROM seen) AS n, (SELECT count(*) FROM maps) AS m, (SELECT list_sort(list(path)) FROM seen WHERE path NOT IN (SELECT target FROM maps)) AS unmapped_paths, (SELECT list_sort(list(target)) FROM maps WHERE target NOT IN (SELECT path FROM seen)) AS unobserved_targets) SELECT 100.0::DOUBLE * (n - len(unmapped_paths)) / n AS percent_mapped, 100.0::DOUBLE * len(unmapped_paths) / n AS percent_unmapped, 100.0::DOUBLE * len(unobserved_targets) / m AS percent_unobserved, unmapped_paths, unobserved_targets FROM c")
+@query("mapping_coverage", f"{MAPPINGS_SQL}, c AS (SELECT (SELECT count(*) FROM seen) AS n, (SELECT count(*) FROM maps) AS m, (SELECT list_sort(list(path)) FROM seen WHERE path NOT IN (SELECT target FROM maps)) AS unmapped_paths, (SELECT list_sort(list(target)) FROM maps WHERE target NOT IN (SELECT path FROM seen)) AS unobserved_targets) SELECT 100.0::DOUBLE * (n - len(unmapped_paths)) / n AS percent_mapped, 100.0::DOUBLE * len(unmapped_paths) / n AS percent_unmapped, 100.0::DOUBLE * len(unobserved_targets) / m AS percent_unobserved, unmapped_paths, unobserved_targets FROM c")
 def mapping_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.mapping_coverage(_json_fields(spark, sf_dir)[0], _mappings(spark))
 
 
-@query("mapping_verification", f"WITH {MAPPINGS_SQL} SELECT target, CASE WHEN target IN (SELECT path FROM seen) THEN 'Verified' ELSE 'Unverified' END AS status FROM maps")
+@query("mapping_verification", f"{MAPPINGS_SQL} SELECT target, CASE WHEN target IN (SELECT path FROM seen) THEN 'Verified' ELSE 'Unverified' END AS status FROM maps")
 def mapping_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.mapping_verification(_mappings(spark), _json_fields(spark, sf_dir)[0])
 
@@ -96,25 +97,31 @@ def _schema(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SCHEMA, "path string, attr_type string, class_uid int, requirement string")
 
 
-@query("type_mismatch", f"WITH {MAPPINGS_SQL}, {SCHEMA_SQL} SELECT path, 'number' AS observed_type, attr_type AS schema_type FROM sch WHERE path IN (SELECT path FROM seen) AND path IN ('user', 'n.k')")
+@query("type_mismatch", f"{MAPPINGS_SQL}, {SCHEMA_SQL} SELECT DISTINCT path, type AS observed_type, attr_type AS schema_type FROM sch JOIN tree USING (path) WHERE type NOT IN ('null', 'array') AND NOT (type = 'string' AND attr_type = 'string_t')")
 def type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.type_mismatch(_json_fields(spark, sf_dir)[0], _schema(spark), 1)
 
 
-@query("attribute_tiers", f"WITH {MAPPINGS_SQL}, {SCHEMA_SQL} SELECT coalesce(seen.path, sch.path) AS path, CASE WHEN seen.path IS NULL THEN 'potential' WHEN target IS NOT NULL OR requirement IN ('required', 'recommended') THEN 'core' ELSE 'extended' END AS tier FROM seen FULL JOIN sch ON seen.path = sch.path LEFT JOIN (SELECT target FROM maps WHERE confidence = 'High') m ON m.target = coalesce(seen.path, sch.path)")
+@query("attribute_tiers", f"{MAPPINGS_SQL}, {SCHEMA_SQL} SELECT coalesce(seen.path, sch.path) AS path, CASE WHEN seen.path IS NULL THEN 'potential' WHEN target IS NOT NULL OR requirement IN ('required', 'recommended') THEN 'core' ELSE 'extended' END AS tier FROM seen FULL JOIN sch ON seen.path = sch.path LEFT JOIN (SELECT target FROM maps WHERE confidence = 'High') m ON m.target = coalesce(seen.path, sch.path)")
 def attribute_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.attribute_tiers(_json_fields(spark, sf_dir)[0], _schema(spark), _mappings(spark))
 
 
-#: Attributes of a dictionary, made from the profile of the documents' columns.
-ATTRIBUTES = {"doc_id": ("long_t", "required", None, False, None), "lang": ("string_t", "optional", "classification", False, None), "source": ("string_t", "optional", "context", True, None), "n_chars": ("long_t", "optional", None, False, None), "text": ("string_t", "recommended", "primary", False, 5)}
+#: What the profile of a column says of it: keys are required, columns without nulls recommended, those of few values enums.
+FEW = 50
 
 
-@query("infer_dimensions", "SELECT DISTINCT * FROM (SELECT unnest([{'name': 'doc_id', 'dimension_type': 'identifier', 'priority': 'high', 'is_dimension': true, 'reason': 'required'}, {'name': 'lang', 'dimension_type': 'text', 'priority': 'medium', 'is_dimension': true, 'reason': 'classification group'}, {'name': 'source', 'dimension_type': 'categorical', 'priority': 'low', 'is_dimension': true, 'reason': 'enum'}, {'name': 'n_chars', 'dimension_type': 'numeric', 'priority': 'low', 'is_dimension': false, 'reason': 'no criterion met'}, {'name': 'text', 'dimension_type': 'searchable', 'priority': 'high', 'is_dimension': true, 'reason': 'primary group'}], recursive := true) FROM documents)")
+@query("infer_dimensions", "WITH s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, '{t}' AS kind, count(DISTINCT {c}) AS d, count({c}) AS n, count(*) AS t FROM documents" for c, t in (("doc_id", "long_t"), ("lang", "string_t"), ("source", "string_t"), ("n_chars", "long_t"), ("text", "string_t"))) + f"), r AS (SELECT *, d <= {FEW} AS enum, d = t AS required, d < t AND n = t AS recommended, name = 'doc_id' AS identifier FROM s) SELECT name, CASE WHEN enum THEN 'categorical' WHEN identifier THEN 'identifier' WHEN kind = 'long_t' THEN 'numeric' ELSE 'text' END AS dimension_type, CASE WHEN required THEN 'high' WHEN recommended THEN 'medium' ELSE 'low' END AS priority, enum OR required OR (identifier AND recommended) AS is_dimension, CASE WHEN enum THEN 'enum' WHEN required THEN 'required' WHEN identifier AND recommended THEN 'identifier' ELSE 'no criterion met' END AS reason FROM r")
 def infer_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = profiling.column_statistics(binding.table(spark, sf_dir, "documents"), "documents", list(ATTRIBUTES), approx=True)
-    known = spark.createDataFrame([(n, *a) for n, a in ATTRIBUTES.items()], "name string, attr_type string, requirement string, `group` string, has_enum boolean, observable_type_id int")
-    return profiling.infer_dimensions(found.select(F.col("column_name").alias("name")).join(known, "name"))
+    """From the profile of the documents' columns: their types, nulls and numbers of values."""
+    documents = binding.table(spark, sf_dir, "documents")
+    kinds = {"bigint": "long_t", "int": "integer_t", "double": "double_t", "timestamp": "timestamp_t"}
+    types = spark.createDataFrame([(n, kinds.get(t, "string_t")) for n, t in documents.dtypes], "name string, attr_type string")
+    profile = profiling.column_statistics(documents, "documents").withColumnRenamed("column_name", "name").join(types, "name")
+    unique, full = F.col("distinct_count") == F.col("total_count"), F.col("null_count") == 0
+    requirement = F.when(unique, "required").when(full, "recommended").otherwise("optional")
+    known = profile.select("name", "attr_type", requirement.alias("requirement"), F.lit(None).cast("string").alias("group"), (F.col("distinct_count") <= FEW).alias("has_enum"), F.lit(None).cast("int").alias("observable_type_id"))
+    return profiling.infer_dimensions(known)
 
 
 @query("value_pattern_check", f"{DNS_SQL} SELECT 'query_hostname' AS attribute, avg(CASE WHEN regexp_matches(query_hostname, '^h[0-9]') THEN 1.0 ELSE 0.0 END) AS match_rate FROM dns UNION ALL SELECT 'answers_rdata', avg(CASE WHEN regexp_matches(answers_rdata, '\\.1\\d*$') THEN 1.0 ELSE 0.0 END) FROM dns WHERE answers_rdata IS NOT NULL")
@@ -138,7 +145,7 @@ def field_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.selectExpr("concat(id, '-f', i) AS id", "CASE WHEN i = 3 THEN concat('gone-', id) ELSE id END AS source_lineage_id", "concat('src_', i) AS source_field", "concat('field_', i % 2) AS target_field")
 
 
-@query("capture_lineage")
+@query("capture_lineage", f"{DNS_SQL} SELECT 'dns' AS source_system, 'events' AS source_table, 'dns_event' AS target_table, count(*) AS record_count, source_field, target_field, transformation FROM dns, (VALUES ('src_ip', 'source_ip', NULL), ('dns_name', 'query_hostname', 'lower')) f(source_field, target_field, transformation) GROUP BY ALL")
 def capture_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = binding.dns(spark, sf_dir)
     source, fields = lineage.capture_lineage(events, shared_folder(spark, "run"), "dns", "events", "dns_event", [("src_ip", "source_ip", None), ("dns_name", "query_hostname", "lower")], datetime(2024, 2, 1))

@@ -42,9 +42,17 @@ def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIELDS_SQL = "fields AS (SELECT metadata_uid AS record, class_uid, path, value, type FROM (" + " UNION ALL ".join(f"SELECT metadata_uid, class_uid, '{p}' AS path, CAST({c} AS VARCHAR) AS value, '{t}' AS type FROM dns" for p, c, t in (("src_endpoint.ip", "source_ip", "string"), ("query.hostname", "query_hostname", "string"), ("answers[0].rdata", "answers_rdata", "string"), ("cloud.region", "cloud_region", "string"))) + ") f WHERE value IS NOT NULL)"
 
 
+@query("extract_observables_arrays", f"{DNS_SQL}, a AS (SELECT metadata_uid, class_uid, time, query_hostname, unnest([answers_rdata, source_ip, NULL]) AS v, unnest([0, 1, 2]) AS i FROM dns) SELECT metadata_uid || '_answers[' || i || '].rdata' AS observable_id, 2 AS type_id, 'IP Address' AS type_name, v AS value, metadata_uid AS event_uid, class_uid AS event_class_uid, time AS event_time, 'answers[' || i || '].rdata' AS attribute_path FROM a WHERE v IS NOT NULL UNION ALL SELECT metadata_uid || '_src_endpoint.ip', 2, 'IP Address', source_ip, metadata_uid, class_uid, time, 'src_endpoint.ip' FROM dns")
+def extract_observables_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values in an array of structs, values in a struct, and paths that the events don't have."""
+    answer = lambda c: F.struct(c.alias("rdata"))
+    events = binding.dns(spark, sf_dir).select("metadata_uid", "class_uid", "time", F.array(answer(F.col("answers_rdata")), answer(F.col("source_ip")), answer(F.lit(None).cast("string"))).alias("answers"), F.struct(F.col("source_ip").alias("ip")).alias("src_endpoint"))
+    return observables.extract_observables(events, {2: ("IP Address", ("answers.rdata", "src_endpoint.ip", "device.ip", "src_endpoint.port"))})
+
+
 @query("extract_observables_by_dictionary", f"{DNS_SQL}, {FIELDS_SQL} SELECT record, class_uid, path, value, CASE path WHEN 'src_endpoint.ip' THEN 2 WHEN 'query.hostname' THEN 1 END AS type_id FROM fields WHERE path IN ('src_endpoint.ip', 'query.hostname') UNION ALL SELECT record, class_uid, path, value, 2 FROM fields WHERE path = 'answers[0].rdata'")
 def extract_observables_by_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = [("attribute", "ip", None, 2), ("attribute", "hostname", None, 1), ("path", "answers[0].rdata", 4003, 2), ("path", "cloud.region", 3002, 99)]
+    entries = [("attribute", "ip", None, 2), ("object", "query", None, 1), ("path", "answers[0].rdata", 4003, 2), ("path", "cloud.region", 3002, 99), ("class", "3002", None, 98), ("object", "cloud", 3002, 97)]
     return observables.extract_from_dictionary(_fields(spark, sf_dir), spark.createDataFrame(entries, "kind string, key string, class_uid int, type_id int"))
 
 

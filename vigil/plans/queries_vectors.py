@@ -29,9 +29,13 @@ def vector_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cosine_topk(*_vectors(spark, sf_dir), 5, DIMS, where=F.col("label").isin(1, 2), min_score=0.2, but_own=True).withColumn("score", F.round("score", 6))
 
 
-@query("hash_embedding")
+@query("hash_embedding", "SELECT count(*) AS n_texts, count(DISTINCT text) AS n_vectors, 384 AS dims, 1.0::DOUBLE AS least_size, 1.0::DOUBLE AS largest_size FROM documents WHERE length(text) > 0")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return binding.table(spark, sf_dir, "benchmark").select("item_id", vectors.hash_embedding("text").alias("vector"))
+    """Of the documents' vectors: as many as there are different texts, and all of size one."""
+    documents = binding.table(spark, sf_dir, "documents").where(F.length("text") > 0).select(vectors.hash_embedding("text").alias("v"))
+    size = F.round(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))), 4)
+    each = documents.groupBy(F.xxhash64("v").alias("h"), F.size("v").alias("dims"), size.alias("size")).agg(F.count("*").alias("n"))
+    return each.groupBy("dims").agg(F.sum("n").alias("n_texts"), F.count("*").alias("n_vectors"), F.min("size").alias("least_size"), F.max("size").alias("largest_size"))
 
 
 @query("embedding_text", "SELECT item_id, 'item_' || CAST(item_id AS VARCHAR) || ' ' || text || ' examples: ' || CAST(item_id AS VARCHAR) || ', x' AS embedding_text FROM benchmark")
@@ -90,21 +94,24 @@ def extension_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = binding.table(spark, sf_dir, "benchmark").where("item_id % 5 <> 0")
-    before = binding.table(spark, sf_dir, "benchmark").where("item_id % 7 <> 0").withColumn("text", F.when(F.col("item_id") % 3 == 0, F.upper("text")).otherwise(F.col("text")))
+    """Documents against an older state in which some are missing, some were other texts and some are gone since."""
+    documents = binding.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text").where("length(text) > 0")
+    now = documents.where("item_id % 5 <> 0")
+    before = documents.where("item_id % 7 <> 0").withColumn("text", F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit(" (old)"))).otherwise(F.col("text")))
     state = before.select("item_id", changes.content_hash(["text"]).alias("content_hash"), vectors.hash_embedding("text").alias("vector"))
     return vectors.refresh_embeddings(state, now, "item_id", "text")
 
 
-@query("incremental_embeddings", "SELECT item_id, item_id % 7 = 0 OR item_id % 3 = 0 AS is_new, 384 AS dims FROM benchmark WHERE item_id % 5 <> 0")
+@query("incremental_embeddings", "SELECT doc_id AS item_id, doc_id % 7 = 0 OR doc_id % 3 = 0 AS is_new, 384 AS dims FROM documents WHERE doc_id % 5 <> 0 AND length(text) > 0")
 def incremental_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refreshed(spark, sf_dir).select("item_id", "is_new", F.size("vector").alias("dims"))
 
 
-@query("semantic_search", "SELECT item_id AS query_id, 1 AS rank, min(item_id) OVER (PARTITION BY text) AS id, 1.0::DOUBLE AS score FROM benchmark")
+@query("semantic_search", "WITH d AS (SELECT * FROM documents WHERE length(text) > 0) SELECT q.doc_id AS query_id, 1 AS rank, min(d.doc_id) AS id, 1.0::DOUBLE AS score FROM d q JOIN d ON q.text = d.text WHERE q.doc_id % 100 = 0 GROUP BY 1")
 def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = binding.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return vectors.semantic_search(texts, texts, 1).withColumn("score", F.round("score", 6))
+    """The nearest of three: vectors depend on texts alone, so an equal text is nearest and others are far."""
+    texts = binding.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return vectors.semantic_search(texts.where("id % 100 = 0"), texts, 3).where("rank = 1").withColumn("score", F.round("score", 6))
 
 
 TERMS = [("dns_event", "source_ip", ["client ip", "src"]), ("dns_event", "query_hostname", ["domain", "host view"]), ("orders", "purchase_total", ["amount"])]
