@@ -44,10 +44,11 @@ def test_warc_chunks_carry_digests():
 
 
 def plain_nearest(rows, k, every):
-    rows = sorted({(i, tuple(float(x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)})
-    for i, v in rows:
+    """Every row is a candidate but the query's own; rows that repeat an id are queries of their own."""
+    rows = [(i, tuple(float(x) for x in v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    for n, (i, v) in enumerate(rows):
         if i % every == 0:
-            away = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in rows if j != i and len(w) == len(v))
+            away = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for m, (j, w) in enumerate(rows) if m != n and len(w) == len(v))
             for rank, (d, j) in enumerate(away[:k], 1):
                 yield i, rank, j, d
 
@@ -70,6 +71,19 @@ def test_nearest(spark, sf, work, monkeypatch):
     assert len(near & {(q, v) for q, _, v, _ in want}) >= 0.9 * len(want)
 
 
+def test_leaves_are_left_out(spark, work, monkeypatch):
+    """Vectors in far-off clusters: results are exact and a query meets few of the shards."""
+    monkeypatch.setattr(vantage, "SHARD", 100)
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=4) + 100 * (i % 12 == np.arange(12))[:4] + 50 * (i % 12)).tolist()) for i in range(2400)] + [(5000 + i, [1.0, 2.0, 3.0, 4.0]) for i in range(500)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    met = []
+    searched = vantage._searched
+    monkeypatch.setattr(vantage, "_searched", lambda asked, *rest: (met.append(asked.count()), searched(asked, *rest))[1])
+    check_nearest(vantage.nearest(table, work).collect(), list(plain_nearest(rows, 10, 100)))
+    assert met[0] == 29 and met[1] < 0.4 * 29 * 28
+
+
 def test_nearest_odd_rows(spark, work, monkeypatch):
     monkeypatch.setattr(vantage, "LEAF", 4)
     rng = np.random.default_rng(5)

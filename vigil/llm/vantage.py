@@ -3,10 +3,17 @@
 A tree's node keeps a vector and the median distance to it; nearer vectors go to one side, farther ones to
 the other. The triangle inequality bounds how near a side can be. A side is left out if its bound times
 ``factor`` is beyond the k-th nearest found so far: 1 gives exact results, more leaves out more.
+
+Shards are the leaves of such a tree too: a top tree over a bounded sample, down which every vector is routed. A leaf
+keeps the least and largest distance of its vectors to the vantage points above it. A query first searches the leaf
+that it falls into; its k-th nearest there then leaves out all other leaves that the same bound rules out. Crowded
+leaves are split by row into shards of bounded size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,8 +23,11 @@ from .shared import Workspace
 
 #: Vectors in a shard, on average; queries that one task answers; vectors in a leaf.
 SHARD, QUERY_BLOCK, LEAF = 16_384, 2_048, 128
-SHARDS = "dim int, shard int, ids array<long>, point array<int>, points binary, nodes binary, order array<int>"
-FOUND = "query_id long, vec_id long, score double"
+#: Leaves of the top tree at most, and vectors in the sample for each of them. The sample only shapes the tree: every
+#: vector is routed and searched.
+TOP_LEAVES, SAMPLE_EACH = 512, 8
+SHARDS = "dim int, leaf int, shard int, rows array<long>, ids array<long>, point array<int>, points binary, nodes binary, order array<int>"
+FOUND = "row long, query_id long, vec_id long, score double"
 NODE = np.dtype([("at", "<i4"), ("middle", "<f8"), ("inner", "<i4"), ("outer", "<i4"), ("start", "<i4"), ("stop", "<i4")])
 
 
@@ -58,18 +68,21 @@ def build(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Shard:
-    """A tree over the distinct vectors of a shard; each vector lists its smallest ids."""
+    """A tree over the distinct vectors of a shard; each vector lists its rows of the smallest ids."""
 
-    def __init__(self, ids: np.ndarray, point: np.ndarray, points: np.ndarray, nodes: np.ndarray, order: np.ndarray):
+    def __init__(self, ids: np.ndarray, point: np.ndarray, points: np.ndarray, nodes: np.ndarray, order: np.ndarray, rows: np.ndarray | None = None):
         self.points, self.nodes, self.order = points, nodes, order
         self.sizes = (points**2).sum(1)
         by = np.argsort(point, kind="stable")
         self.ids, self.first = ids[by], np.searchsorted(point[by], np.arange(len(points) + 1))
+        self.rows = self.ids if rows is None else rows[by]
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and ids of the k nearest to each query that aren't its own, by distance, then id."""
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, factor: float, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and ids of the k nearest rows to each query but its own row, by distance, then id; of those beyond
+        ``bound`` only as many as are met on the way."""
         none = np.iinfo(np.int64).max
         self.best = np.full((len(queries), k), np.inf)
+        self.bound = np.full(len(queries), np.inf) if bound is None else bound
         self.found = np.full((len(queries), k), none)
         self.queries, self.own, self.factor = queries, own, factor
         self.home = np.full(len(queries), -1)
@@ -78,11 +91,15 @@ class Shard:
             self._visit(0, np.arange(len(queries)))
         return self.best, self.found
 
+    def _reach(self, q: np.ndarray) -> np.ndarray:
+        """The distance beyond which nothing can be among the k nearest."""
+        return np.minimum(self.best[q, -1], self.bound[q])
+
     def _near(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distances of those pairs that a product of matrices, with a margin for its rounding, can't rule out; else infinity."""
         asked, points = self.queries[q], self.points[at]
         sizes = (asked**2).sum(1)[:, None] + self.sizes[at]
-        row, column = np.nonzero(sizes - 2 * (asked @ points.T) <= self.best[q, -1][:, None] ** 2 + 1e-11 * sizes)
+        row, column = np.nonzero(sizes - 2 * (asked @ points.T) <= self._reach(q)[:, None] ** 2 + 1e-11 * sizes)
         out = np.full((len(q), len(at)), np.inf)
         for i in range(0, len(row), 1 << 15):
             r, c = row[i : i + (1 << 15)], column[i : i + (1 << 15)]
@@ -94,8 +111,9 @@ class Shard:
         at, away = at[finite], away[:, finite]
         counts = self.first[at + 1] - self.first[at]
         column = np.repeat(np.arange(len(at)), counts)
-        ids = self.ids[np.repeat(self.first[at] - (np.cumsum(counts) - counts), counts) + np.arange(len(column))]
-        away = np.where(ids[None, :] == self.own[q][:, None], np.inf, away[:, column])
+        place = np.repeat(self.first[at] - (np.cumsum(counts) - counts), counts) + np.arange(len(column))
+        ids = self.ids[place]
+        away = np.where(self.rows[place][None, :] == self.own[q][:, None], np.inf, away[:, column])
         some = np.flatnonzero((away <= self.best[q, -1][:, None]).any(1))
         if not len(some):
             return
@@ -142,60 +160,174 @@ class Shard:
         self._offer(q, np.array([node["at"]]), away)
         for child, bound in (("inner", gap), ("outer", -gap)):
             # the margin covers rounding
-            self._visit(node[child], q[bound * self.factor <= self.best[q, -1] * (1 + 1e-12) + 1e-12])
+            self._visit(node[child], q[bound * self.factor <= self._reach(q) * (1 + 1e-12) + 1e-12])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Distinct (vec_id, vector) rows with an id and a vector that isn't null, empty, zero, or partly null or not finite."""
+    """(vec_id, v, dim) of rows with an id and a vector that isn't null, empty, zero, or partly null or not finite."""
     v = F.col("embedding").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)).distinct()
+    good = F.col("vec_id").isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
+    return vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v"))
+
+
+class Top:
+    """The top tree over vectors of one dimension: vantage points, medians, and leaves with the points above them."""
+
+    def __init__(self, sample: np.ndarray, leaves: int, seed: int = 1):
+        rng = np.random.default_rng(seed)
+        self.points: list[np.ndarray] = []
+        self.middles: list[float] = []
+        self.children: list[list[int]] = []  # of each point: the node inside and outside; a leaf is -1 - its number
+        self.paths: list[list[int]] = []
+
+        def grow(mine: np.ndarray, leaves: int, path: list[int]) -> int:
+            away = distances(mine[rng.integers(len(mine))][None], mine)[0] if leaves > 1 and len(mine) > 1 else np.zeros(0)
+            if not away.any():
+                self.paths.append(path)
+                return -len(self.paths)
+            here, middle = len(self.points), float(np.median(away))
+            inside = away <= middle
+            if inside.all():  # at least half are equally far
+                inside = away < middle
+            self.points.append(mine[int(away.argmin())])
+            self.middles.append(float(away[inside].max()))
+            self.children.append([0, 0])
+            self.children[here] = [grow(mine[inside], leaves // 2, [*path, here]), grow(mine[~inside], leaves - leaves // 2, [*path, here])]
+            return here
 
+        self.root = grow(sample, leaves, [])
 
-def index(rows: DataFrame, shards: int, k: int) -> DataFrame:
-    """The shards' trees; rows are dealt by their ids, so equal vectors spread over all shards."""
+    def away(self, vectors: np.ndarray) -> np.ndarray:
+        """Distances to all vantage points."""
+        return distances(vectors, np.stack(self.points)) if self.points else np.zeros((len(vectors), 0))
+
+    def route(self, away: np.ndarray) -> np.ndarray:
+        """The leaf of each vector, from its distances to the vantage points."""
+        at = np.full(len(away), self.root)
+        while (some := np.flatnonzero(at >= 0)).size:
+            node = at[some]
+            outside = away[some, node] > np.array(self.middles)[node]
+            at[some] = np.array(self.children)[node, outside.astype(int)]
+        return -1 - at
+
+    def bounds(self, away: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """How near each query can be to each leaf's vectors, of which ``low`` and ``high`` hold the distances."""
+        if not self.points:
+            return np.zeros((len(away), len(low)))
+        out = np.zeros((len(away), len(low)))
+        for leaf, path in enumerate(self.paths):
+            if path:
+                out[:, leaf] = np.maximum(low[leaf, path] - away[:, path], away[:, path] - high[leaf, path]).max(1)
+        return np.maximum(out, 0)
+
+
+def tops(rows: DataFrame, n: int) -> dict[int, Top]:
+    """The top tree of each dimension, from at most TOP_LEAVES * SAMPLE_EACH rows of the smallest hashes."""
+    leaves = min(TOP_LEAVES, max(1, -(-n // SHARD)))
+    sample = rows.orderBy(F.xxhash64("row", F.lit(3)), "row").limit(leaves * SAMPLE_EACH).select("dim", "v").collect() if leaves > 1 else []
+    by: dict[int, list] = {}
+    for r in sample:
+        by.setdefault(r.dim, []).append(r.v)
+    return {d: Top(np.array(v), leaves) for d, v in by.items()}
+
+
+def index(routed: DataFrame, k: int) -> DataFrame:
+    """The shards' trees."""
 
     def make(group: pd.DataFrame) -> pd.DataFrame:
         every = np.stack(group["v"].to_numpy()).astype(np.float64)
         points, point = np.unique(every, axis=0, return_inverse=True)
-        ids, point = group["vec_id"].to_numpy(np.int64), point.reshape(-1)
-        by = np.lexsort((ids, point))
-        ids, point = ids[by], point[by]
-        # of equal vectors only the k + 1 smallest ids can be among a query's nearest, its own left out
+        ids, rows, point = group["vec_id"].to_numpy(np.int64), group["row"].to_numpy(np.int64), point.reshape(-1)
+        by = np.lexsort((rows, ids, point))
+        ids, rows, point = ids[by], rows[by], point[by]
+        # of equal vectors only the k + 1 smallest ids can be among a query's nearest, its own row left out
         keep = np.arange(len(point)) - np.searchsorted(point, point) <= k
         nodes, order = build(points)
-        return pd.DataFrame({"dim": group["dim"].iloc[:1], "shard": group["shard"].iloc[:1], "ids": [ids[keep]], "point": [point[keep].astype(np.int32)], "points": [points.tobytes()], "nodes": [nodes.tobytes()], "order": [order.astype(np.int32)]})
-
-    return rows.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard")).groupBy("dim", "shard").applyInPandas(make, SHARDS)
+        first = group.iloc[:1]
+        return pd.DataFrame({"dim": first["dim"], "leaf": first["leaf"], "shard": first["shard"], "rows": [rows[keep]], "ids": [ids[keep]], "point": [point[keep].astype(np.int32)], "points": [points.tobytes()], "nodes": [nodes.tobytes()], "order": [order.astype(np.int32)]})
 
+    return routed.groupBy("dim", "leaf", "shard").applyInPandas(make, SHARDS)
 
-def nearest(vectors: DataFrame, work: Workspace, k: int = 10, every: int = 100, factor: float = 1.0) -> DataFrame:
-    """Each query's k nearest by Euclidean distance, ties to the smaller id; queries are ids divisible by ``every``.
 
-    Rows without an id and vectors that ``usable`` leaves out take no part. Rows that repeat count once; other
-    rows of the query's own id are no candidates. Vectors meet only those of equal dimension. An empty table
-    gives no rows; extra columns are ignored.
-    """
-    rows = work.table(usable(vectors), "vectors")
-    shards = max(1, -(-rows.count() // SHARD))
-    asked = rows.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    trees = work.table(index(rows, shards, k), "trees")
-    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int").alias("block")).withColumn("shard", numbers(shards))
-    right = trees.withColumn("block", numbers(blocks))
+def _searched(asked: DataFrame, trees: DataFrame, shards: DataFrame, k: int, factor: float, work: Workspace) -> DataFrame:
+    """(row, query_id, vec_id, score) of queries (row, vec_id, v, dim, leaf, bound) in all shards of their leaf."""
+    pairs = work.table(asked.join(shards, ["dim", "leaf"]), "pairs")
+    counts = work.table(pairs.groupBy("dim", "leaf", "shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks")), "blocks")
+    left = pairs.join(counts, ["dim", "leaf", "shard"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))).drop("blocks")
+    right = trees.join(counts, ["dim", "leaf", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
 
     def search(queries: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(tree):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+            return pd.DataFrame({c: [] for c in ("row", "query_id", "vec_id", "score")}).astype({"row": "int64", "query_id": "int64", "vec_id": "int64"})
         t = tree.iloc[0]
-        shard = Shard(np.asarray(t["ids"]), np.asarray(t["point"]), np.frombuffer(t["points"]).reshape(-1, int(t["dim"])), np.frombuffer(t["nodes"], NODE), np.asarray(t["order"]))
-        own = queries["vec_id"].to_numpy(np.int64)
-        best, found = shard.search(np.stack(queries["v"].to_numpy()).astype(np.float64), own, k, factor)
+        shard = Shard(np.asarray(t["ids"]), np.asarray(t["point"]), np.frombuffer(t["points"]).reshape(-1, int(t["dim"])), np.frombuffer(t["nodes"], NODE), np.asarray(t["order"]), np.asarray(t["rows"]))
+        own = queries["row"].to_numpy(np.int64)
+        best, found = shard.search(np.stack(queries["v"].to_numpy()).astype(np.float64), own, k, factor, queries["bound"].to_numpy(np.float64))
         q, r = np.nonzero(np.isfinite(best))
-        return pd.DataFrame({"query_id": own[q], "vec_id": found[q, r], "score": best[q, r]})
+        return pd.DataFrame({"row": own[q], "query_id": queries["vec_id"].to_numpy(np.int64)[q], "vec_id": found[q, r], "score": best[q, r]})
+
+    key = ["dim", "leaf", "shard", "block"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, FOUND)
+
+
+def nearest(vectors: DataFrame, work: Workspace, k: int = 10, every: int = 100, factor: float = 1.0) -> DataFrame:
+    """Each query's k nearest by Euclidean distance, ties to the smaller id; queries are ids divisible by ``every``.
+
+    Rows without an id and vectors that ``usable`` leaves out take no part. Every row is a candidate but the query's
+    own, also rows that repeat it; each row of a query's id is a query of its own. Vectors meet only those of equal
+    dimension. An empty table gives no rows; extra columns are ignored.
+    """
+    rows = work.table(usable(vectors).withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    top = rows.sparkSession.sparkContext.broadcast(tops(rows, rows.count()))  # its size is bounded by the sample
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            leaf = np.zeros(len(batch), np.int32)
+            away: list[np.ndarray] = [np.zeros(0)] * len(batch)
+            for d, at in batch.groupby("dim").indices.items():
+                if d in top.value:
+                    found = top.value[d].away(np.stack(batch["v"].to_numpy()[at]))
+                    leaf[at] = top.value[d].route(found)
+                    for i, x in zip(at, found, strict=True):
+                        away[i] = x[top.value[d].paths[leaf[i]]]
+            yield batch.assign(leaf=leaf, away=away)
+
+    routed = work.table(rows.mapInPandas(route, "vec_id long, v array<double>, dim int, row long, leaf int, away array<double>"), "routed")
+    sizes = routed.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
+    dealt = routed.drop("away").join(sizes, ["dim", "leaf"]).withColumn("shard", F.pmod(F.xxhash64("row", F.lit(1)), F.col("shards")).cast("int")).drop("shards")
+    trees = work.table(index(dealt, k), "trees")
+    shards = work.table(trees.select("dim", "leaf", "shard"), "shards")
+    # at most TOP_LEAVES leaves of a dimension, a few dozen vantage points above each
+    ends = routed.select("dim", "leaf", F.posexplode("away").alias("place", "away")).groupBy("dim", "leaf", "place").agg(F.min("away").alias("low"), F.max("away").alias("high")).collect()
+    limits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for d, t in top.value.items():
+        limits[d] = np.full((len(t.paths), len(t.points)), np.inf), np.full((len(t.paths), len(t.points)), -np.inf)
+    for r in ends:
+        point = top.value[r.dim].paths[r.leaf][r.place]
+        limits[r.dim][0][r.leaf, point], limits[r.dim][1][r.leaf, point] = r.low, r.high
+    bounds = rows.sparkSession.sparkContext.broadcast(limits)
+
+    asked = routed.where(F.col("vec_id") % every == 0).drop("away")
+    home = work.table(_searched(asked.withColumn("bound", F.lit(float("inf"))), trees, shards, k, factor, work), "home")
+    # the k-th nearest at home, if there are so many
+    kth = home.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("score"))).where(F.col("rank") == k).select("row", F.col("score").alias("bound"))
+    asked = asked.join(kth, "row", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+
+    def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for d, at in batch.groupby("dim").indices.items():
+                if d not in top.value:
+                    continue
+                mine = batch.iloc[at]
+                away = top.value[d].away(np.stack(mine["v"].to_numpy()))
+                near = top.value[d].bounds(away, *bounds.value[d]) * factor <= mine["bound"].to_numpy()[:, None] * (1 + 1e-12) + 1e-12
+                near[np.arange(len(mine)), mine["leaf"].to_numpy()] = False
+                q, leaf = np.nonzero(near)
+                yield mine.iloc[q].assign(leaf=leaf.astype(np.int32))
 
-    key = ["dim", "shard", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    away = asked.select("row", "vec_id", "v", "dim", "leaf", "bound").mapInPandas(others, "row long, vec_id long, v array<double>, dim int, leaf int, bound double")
+    found = work.table(home.unionByName(_searched(away, trees, shards, k, factor, work)), "found")
+    work.keep_only("found")
+    rank = F.row_number().over(Window.partitionBy("row", "query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
