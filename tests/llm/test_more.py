@@ -36,6 +36,18 @@ def test_warc(spark, sf, work):
     assert warc.round_trip(odd.limit(0), work).count() == 0
 
 
+def test_warc_equals_its_sql(spark, sf):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{sf}/pages.parquet')")
+    want = db.execute(queries.oracle_sql()["op2_warc"])
+    names = [d[0] for d in want.description]
+    found = queries.op2_warc(spark, sf)
+    assert set(found.columns) == set(names)
+    assert sorted(map(tuple, found.select(*names).collect())) == sorted(want.fetchall())
+
+
 def test_warc_chunks_carry_digests():
     payload = bytes(range(256)) * 50
     rows = list(warc.chunk_rows(payload, 1000))

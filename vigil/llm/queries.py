@@ -69,5 +69,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_rules, op2_warc, op3_token_files, op4_packing, op5_bpe, op6_vantage_trees, op7_line_runs, op8_simhash, op9_licences, op10_quality_classifier)}
 
 
+#: The digest is SHA-1 in base32, from the hexadecimal one: five digits make four letters.
+WARC_SQL = """WITH h AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS s, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS holder FROM pages)
+SELECT page_id, n AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(s, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1)), '') AS payload_digest,
+  CASE WHEN holder = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN holder <> page_id THEN holder END AS refers_to
+FROM h"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can express; the learned and iterative operators are held against plain versions in the tests."""
+    return {"op2_warc": WARC_SQL}
