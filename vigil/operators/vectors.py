@@ -11,6 +11,8 @@ from .changes import content_hash, content_hash_changes
 
 #: Rows of a side that one task compares.
 QUERY_BLOCK, CORPUS_BLOCK = 2_000, 10_000
+#: Names of a dictionary that may be broadcast.
+MOST_NAMES = 100_000
 #: Steps that are folded at once, and times that they are: numbers of steps up to 10 ** 12 come down to a few.
 STRETCH, FOLDS = 1000, 3
 #: The thresholds and steps of suggestions.
@@ -169,7 +171,10 @@ def resolve_terms(terms: DataFrame, dictionary: DataFrame, n: int = 3) -> DataFr
     overlap = F.size(F.array_intersect(F.split(a, r"\s+"), F.split(b, r"\s+")))
     score = F.when(F.contains(a, b) | F.contains(b, a), 100).when(prefix >= 3, prefix * 10).when(overlap > 0, overlap * 20)
     rest = hit.where(F.col("b").isNull()).select("term", "name")
-    scored = rest.join(F.broadcast(names.select("attribute", F.col("name").alias("other"))), score.isNotNull()).withColumn("score", score)
+    others = names.select("attribute", F.col("name").alias("other"))
+    # a schema's names are few; of more than that no copy goes to every task
+    others = F.broadcast(others) if others.count() <= MOST_NAMES else others
+    scored = rest.join(others, score.isNotNull()).withColumn("score", score)
     each = scored.groupBy("term", "attribute").agg(F.max("score").alias("score"))
     ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "attribute"))).where(F.col("r") <= n)
     listed = ranked.groupBy("term").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "attribute"))), lambda x: x["attribute"]).alias("suggestions"))

@@ -72,12 +72,15 @@ def mapping_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", reasons.alias("reasons"))
 
 
-@query("learn_boosts")
+LEARN_SQL = "near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM pairs WHERE score >= 0.5) x WHERE r <= 10), conf AS (SELECT vec_id AS step, vec_id % 7 + 1 AS target FROM v WHERE vec_id % 100 = 0), steps AS (SELECT step, target, 0.5::DOUBLE AS cap, 0.2::DOUBLE AS add FROM conf UNION ALL SELECT step, id, 0.3, 0.1 * score FROM conf JOIN near ON step = query_id WHERE id <> target)"
+
+
+@query("learn_boosts", f"WITH {PAIRS_SQL}, {LEARN_SQL}, o AS (SELECT target, list({{'cap': cap, 'add': add}} ORDER BY step, cap, add) AS s FROM steps GROUP BY 1) SELECT target, round(list_reduce(list_prepend({{'cap': 1.0::DOUBLE, 'add': 0.0::DOUBLE}}, s), lambda a, b: {{'cap': b['cap'], 'add': least(a['add'] + b['add'], b['cap'])}})['add'], 6) AS boost FROM o")
 def learn_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields, attributes = _vectors(spark, sf_dir)
     near = vectors.cosine_topk(fields, attributes, 10, DIMS, min_score=0.5, but_own=True).select(F.col("query_id").alias("field"), "id", "score")
     confirmed = fields.select(F.col("id").alias("step"), F.col("id").alias("field"), (F.col("id") % 7 + 1).alias("target"))
-    return vectors.learn_boosts(confirmed, near)
+    return vectors.learn_boosts(confirmed, near).withColumn("boost", F.round("boost", 6))
 
 
 @query("learn_boosts_confirmed", "SELECT vec_id % 7 + 1 AS target, least(0.2 * count(*), 0.5)::DOUBLE AS boost FROM embeddings WHERE vec_id % 100 = 0 GROUP BY 1")
