@@ -81,14 +81,18 @@ def _ahead(rank: str, steps: Column | int) -> Column:
     return F.max(rank).over(Window.partitionBy("doc", "tie").orderBy("at").rangeBetween(steps, steps))
 
 
-def ranks(lines: DataFrame, work: Workspace) -> list[DataFrame]:
-    """For k = 0, 1, ...: the suffixes whose first 2**k lines occur again, with their rank by these lines."""
+def ranks(lines: DataFrame, work: Workspace, whole: bool = True) -> list[DataFrame]:
+    """For k = 0, 1, ...: the suffixes whose first 2**k lines occur again, with their rank by these lines; until no rank
+    is shared, or without ``whole`` as far as the shortest runs of enough words reach."""
     groups = lines.groupBy("hi", "lo").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     ranked = _ranked(groups, ["hi", "lo"], work, "ranks-0")
     found = [work.table(lines.join(ranked, ["hi", "lo"]).drop("hi", "lo"), "suffixes-0")]
     work.drop("lines", "ranks-0")
+    longest = max(x or 0 for x in found[0].agg(F.max("right"), F.max("left")).first())
     while True:
         k = len(found)
+        if not whole and (1 << k) > longest:
+            return found
         pairs = work.table(found[-1].select("doc", "tie", "at", "rank").withColumn("next", _ahead("rank", 1 << (k - 1))).where(F.col("next").isNotNull()), f"pairs-{k}")
         groups = pairs.groupBy("rank", "next").agg(F.count("*").alias("n")).where("n > 1").select(F.col("rank").alias("head"), F.col("next").alias("tail"))
         ranked = _ranked(groups, ["head", "tail"], work, f"ranks-{k}")
@@ -146,10 +150,15 @@ def repeated_runs(docs: DataFrame, work: Workspace, least_words: int = LEAST_WOR
     return runs
 
 
-def _rewritten_docs(docs: DataFrame, work: Workspace, least_words: int) -> DataFrame:
-    """The carried columns and ``new``: text, n_lines, n_deleted."""
-    runs = repeated_runs(docs.select(*(c.alias(n) for n, c in _key(docs).items()), "text"), work, least_words)
-    # a document has one such run at most for each line and copy that it follows
+def _rewritten_docs(docs: DataFrame, work: Workspace, least_words: int, grown: bool) -> DataFrame:
+    """The carried columns and ``new``: text, n_lines, n_deleted. The runs that go are maximal ones if ``grown``, else the
+    shortest ones of enough words, which together cover the same lines and take half the jobs."""
+    keyed = docs.select(*(c.alias(n) for n, c in _key(docs).items()), "text")
+    if grown:
+        runs = repeated_runs(keyed, work, least_words)
+    else:
+        runs = repeated_windows(ranks(work.table(explode_lines(keyed, least_words), "lines"), work, whole=False), work)
+    # a document has at most two such runs for each line; both sides of the join grow with the corpus
     marks = work.table(runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "length")).alias("runs")), "marks")
     work.keep_only("marks")
 
@@ -157,7 +166,7 @@ def _rewritten_docs(docs: DataFrame, work: Workspace, least_words: int) -> DataF
         return pd.DataFrame([_rewritten(t, r) for t, r in zip(text, runs, strict=True)], columns=["text", "n_lines", "n_deleted"])
 
     rewritten = F.pandas_udf(rewrite, "text string, n_lines long, n_deleted long")
-    return carried(docs, text=F.col("text"), **_key(docs)).join(marks, ["doc", "tie"], "left").withColumn("new", rewritten("text", "runs"))
+    return carried(docs, text=F.col("text"), **_key(docs)).join(marks.hint("merge"), ["doc", "tie"], "left").withColumn("new", rewritten("text", "runs"))
 
 
 def remove_repeated_runs(docs: DataFrame, work: Workspace, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -170,7 +179,7 @@ def remove_repeated_runs(docs: DataFrame, work: Workspace, least_words: int = LE
     id, then of the smaller hash of its text, then the upper one stays; rows with equal id and text count once and get
     the same result. An empty table gives no rows. Columns are carried under numbers, so their names can't clash.
     """
-    found = _rewritten_docs(docs, work, least_words)
+    found = _rewritten_docs(docs, work, least_words, True)
     own = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     return found.select(*(F.col("new.text").alias(c) if c == "text" else F.col(f"carried_{i}").alias(c) for i, c in enumerate(docs.columns) if c in own), F.col("new.n_lines").alias("n_lines"), F.col("new.n_deleted").alias("n_deleted"))
 
@@ -178,7 +187,7 @@ def remove_repeated_runs(docs: DataFrame, work: Workspace, least_words: int = LE
 def without_repeated_runs(docs: DataFrame, work: Workspace, least_words: int = LEAST_WORDS) -> DataFrame:
     """The rows of ``docs`` with their columns, the text rewritten as by ``remove_repeated_runs``, ``n_chars`` (if there
     is such a column) counted anew where lines went; rows that lost all their words are left out."""
-    found = _rewritten_docs(docs, work, least_words)
+    found = _rewritten_docs(docs, work, least_words, False)
     found = found.where((F.col("new.n_deleted") == 0) | F.col("new.text").rlike("[^\\x20\\x09-\\x0D]"))
     new = {"text": F.col("new.text")}
     if "n_chars" in docs.columns:
