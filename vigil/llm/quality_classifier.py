@@ -9,6 +9,7 @@ of labelled documents. As the layer is linear, a bucket has one number once trai
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -179,8 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     rows = work.table(count_features(one), "features")
     found = [(r.quality, np.frombuffer(r.buckets, np.int32), np.frombuffer(r.counts, np.float32)) for r in rows.toLocalIterator()]
     work.close()
-    found.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
-    return train(found)
+    found.sort(key=lambda x: (x[0], len(x[1]), zlib.crc32(x[1]), zlib.crc32(x[2])))
+    model = train(found)
+    del found
+    nothing_kept()  # the driver needs its memory for other stages
+    return model
 
 
 class Words:
