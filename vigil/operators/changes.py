@@ -20,12 +20,16 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: list[str], compare: list
 
 
 def breaking_changes(old: DataFrame, new: DataFrame, keys: list[str], sets: list[str], fixed: list[str]) -> DataFrame:
-    """Changes of keyed definitions with a mark: removal of the key, loss of a set's member or a change of a fixed column breaks."""
+    """Changes of keyed definitions with a mark: removal of the key, loss of a set's member or a change of a fixed column breaks.
+
+    A set that becomes null has lost all its members; one that was null has none to lose.
+    """
     lost = F.lit(False)
     differs = F.lit(False)
     for c in sets:
-        lost = lost | (F.size(F.array_except(F.col(f"o.{c}"), F.col(f"n.{c}"))) > 0)
-        differs = differs | ~F.sort_array(F.col(f"o.{c}")).eqNullSafe(F.sort_array(F.col(f"n.{c}")))
+        was, now = F.col(f"o.{c}"), F.col(f"n.{c}")
+        lost = lost | (F.size(F.array_except(was, F.coalesce(now, F.slice(was, 1, 0)))) > 0)
+        differs = differs | ~F.sort_array(was).eqNullSafe(F.sort_array(now))
     for c in fixed:
         lost = lost | ~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
         differs = differs | ~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))

@@ -55,11 +55,12 @@ def dga_random_domains(events: DataFrame, as_of: datetime, hours: int = 24, max_
 
 
 def fast_flux_detection(events: DataFrame, as_of: datetime, hours: int = 24, ip_threshold: int = 10, limit: int = 50) -> DataFrame:
-    """Distinct (host, answer) pairs are counted first; sets are built only for the hosts that are given."""
+    """One scan: (host, answer) pairs are counted, then each host's. The largest sets are those that are given, so no
+    task holds more of a host than the result does."""
     pairs = recent(events, as_of, hours).where(F.col("answers_rdata").isNotNull()).groupBy("query_hostname", "answers_rdata").agg(F.count("*").alias("n"))
-    top = pairs.groupBy("query_hostname").agg(F.count("*").alias("unique_ips"), F.sum("n").alias("query_count")).where(F.col("unique_ips") > ip_threshold).orderBy(F.desc("unique_ips"), "query_hostname").limit(limit)
-    sets = pairs.join(F.broadcast(top.select("query_hostname")), "query_hostname", "left_semi").groupBy("query_hostname").agg(F.sort_array(F.collect_list("answers_rdata")).alias("ip_addresses"))  # limit rows
-    return top.join(sets, "query_hostname").select("query_hostname", "unique_ips", "query_count", "ip_addresses").orderBy(F.desc("unique_ips"), "query_hostname")
+    found = pairs.groupBy("query_hostname").agg(F.count("*").alias("unique_ips"), F.sum("n").alias("query_count"), F.collect_list("answers_rdata").alias("ip_addresses"))
+    found = found.where(F.col("unique_ips") > ip_threshold).orderBy(F.desc("unique_ips"), "query_hostname").limit(limit)
+    return found.withColumn("ip_addresses", F.sort_array("ip_addresses"))
 
 
 def seconds_between(start: Column | str, stop: Column | str) -> Column:
@@ -86,15 +87,12 @@ def ioc_domain_match(events: DataFrame, feed: DataFrame, as_of: datetime, hours:
 
 
 def blocked_dns_by_host(events: DataFrame, as_of: datetime, hours: int = 24, min_blocked: int = 10, limit: int = 100) -> DataFrame:
-    """Hosts are ranked by counts; the blocked names are gathered only for those that are given."""
-    rows, is_blocked = recent(events, as_of, hours), F.col("action") == "Blocked"
-    blocked = _count_of(is_blocked)
-    top = rows.groupBy("source_ip").agg(F.count("*").alias("total_queries"), blocked.alias("blocked_count"), F.round(100.0 * blocked / F.count("*"), 2).alias("blocked_rate"))
-    top = top.where(F.col("blocked_count") > min_blocked).orderBy(F.desc("blocked_count"), "source_ip").limit(limit)
-    names = rows.where(is_blocked & F.col("query_hostname").isNotNull()).select("source_ip", "query_hostname").join(F.broadcast(top.select("source_ip")), "source_ip", "left_semi").distinct()  # limit rows
-    sets = names.groupBy("source_ip").agg(F.sort_array(F.collect_list("query_hostname")).alias("blocked_domains"))
-    domains = F.coalesce("blocked_domains", F.array().cast("array<string>")).alias("blocked_domains")
-    return top.join(sets, "source_ip", "left").select("source_ip", "total_queries", "blocked_count", "blocked_rate", domains).orderBy(F.desc("blocked_count"), "source_ip")
+    """One scan: (client, host) pairs are counted first, clients and their blocked hosts from the pairs."""
+    pairs = recent(events, as_of, hours).groupBy("source_ip", "query_hostname").agg(F.count("*").alias("n"), _count_of(F.col("action") == "Blocked").alias("blocked"))
+    total, blocked = F.sum("n"), F.sum("blocked")
+    found = pairs.groupBy("source_ip").agg(total.alias("total_queries"), blocked.alias("blocked_count"), F.round(100.0 * blocked / total, 2).alias("blocked_rate"), F.collect_list(F.when(F.col("blocked") > 0, F.col("query_hostname"))).alias("blocked_domains"))
+    found = found.where(F.col("blocked_count") > min_blocked).orderBy(F.desc("blocked_count"), "source_ip").limit(limit)
+    return found.withColumn("blocked_domains", F.sort_array("blocked_domains"))
 
 
 def top_queried_domains(events: DataFrame, as_of: datetime, hours: int = 24, limit: int = 100) -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 #: The targets of a cast, by name.
 CASTS = {"Integer": "int", "BigInt": "bigint", "Float": "float", "Double": "double", "Boolean": "boolean", "String": "string", "Timestamp": "timestamp", "Date": "date"}
@@ -95,19 +96,79 @@ def with_type_uid(df: DataFrame) -> DataFrame:
     return df.withColumn("type_uid", F.col("class_uid").cast("long") * 100 + F.col("activity_id"))
 
 
-def conform(df: DataFrame, dictionary: list[tuple[str, str, str, bool]]) -> tuple[DataFrame, DataFrame]:
-    """Columns cast to the types of a class's dictionary (path, type, requirement, is_array), and the rows that lack what is required.
+class _Node:
+    """A part of the schema that a dictionary describes: parts by name, or a leaf's type."""
 
-    A type that isn't known is a string; an attribute that the data lacks is null.
-    """
-    columns = []
+    def __init__(self) -> None:
+        self.parts: dict[str, _Node] = {}
+        self.leaf: str | None = None
+
+    @property
+    def ddl(self) -> str:
+        return self.leaf or "struct<" + ", ".join(f"`{n}`: {x.ddl}" for n, x in self.parts.items()) + ">"
+
+
+def _tree(dictionary: list[tuple[str, str, str, bool]]) -> _Node:
+    """The dictionary's paths as a tree; ``[]`` after a name is only a mark of an array."""
+    root = _Node()
     for path, kind, _, is_array in dictionary:
+        node = root
+        for part in path.replace("[]", "").split("."):
+            node = node.parts.setdefault(part, _Node())
         to = TYPES.get(kind, "string")
-        to = f"array<{to}>" if is_array else to
-        columns.append((F.col(path).try_cast(to) if path in df.columns else F.lit(None).cast(to)).alias(path))
-    conformed = df.select(*columns)
-    lacking = F.lit(False)
+        node.leaf = f"array<{to}>" if is_array else to
+    if any(x.leaf and x.parts for x in _all(root)):
+        raise ValueError("an attribute of the dictionary has both a type and parts")
+    return root
+
+
+def _all(node: _Node) -> list[_Node]:
+    return [node, *(y for x in node.parts.values() for y in _all(x))]
+
+
+def _conformed(column: Column, kind: DataType, node: _Node) -> Column:
+    """A column in the shape and types of its part of the schema; arrays of objects element by element."""
+    if node.leaf:
+        if isinstance(kind, StructType) or (isinstance(kind, ArrayType) and not node.leaf.startswith("array")):
+            return F.to_json(column).try_cast(node.leaf)
+        if node.leaf.startswith("array") and not isinstance(kind, ArrayType):
+            return F.when(column.isNotNull(), F.array(column)).try_cast(node.leaf)
+        return column.try_cast(node.leaf)
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: _conformed(x, kind.elementType, node))
+    if not isinstance(kind, StructType):
+        return F.lit(None).cast(node.ddl)
+    part = lambda n, x: _conformed(column.getField(n), kind[n].dataType, x) if n in kind.names else F.lit(None).cast(x.ddl)
+    return F.when(column.isNotNull(), F.struct(*(part(n, x).alias(n) for n, x in node.parts.items())))
+
+
+def _lacks(column: Column, kind: DataType, parts: list[str]) -> Column:
+    """Whether a place that a path leads to is null; of an array of objects, whether any of its elements' is."""
+    if isinstance(kind, ArrayType) and parts:
+        return column.isNull() | F.exists(column, lambda x: _lacks(x, kind.elementType, parts))
+    if not parts:
+        return column.isNull()
+    return column.isNull() | _lacks(column.getField(parts[0]), kind[parts[0]].dataType, parts[1:])
+
+
+def conform(df: DataFrame, dictionary: list[tuple[str, str, str, bool]] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events in the shape of a class's dictionary (path, type, requirement, is_array), and the rows that lack what is required.
+
+    Paths may lead through objects and arrays of objects. A type that isn't known is a string, an object where the
+    dictionary has a leaf is JSON text; an attribute that the data lacks is null, what the dictionary lacks is left out.
+    Rejected rows have their required attributes that are null in ``missing``. A dictionary may be a table, of the
+    size of a schema.
+    """
+    if isinstance(dictionary, DataFrame):
+        dictionary = [tuple(r) for r in dictionary.select("path", "type", "requirement", "is_array").collect()]
+    root = _tree(dictionary)
+    columns = {n: _conformed(F.col(f"`{n}`"), df.schema[n].dataType, x) if n in df.columns else F.lit(None).cast(x.ddl) for n, x in root.parts.items()}
+    shaped = df.select(*(c.alias(n) for n, c in columns.items()))
+    lacking = []
     for path, _, requirement, _ in dictionary:
         if requirement == "required":
-            lacking = lacking | F.col(path).isNull()
-    return conformed.where(~lacking), conformed.where(lacking)
+            first, *parts = path.replace("[]", "").split(".")
+            lacking.append(F.when(_lacks(F.col(f"`{first}`"), shaped.schema[first].dataType, parts), F.lit(path)))
+    missing = F.array_compact(F.array(*lacking)) if lacking else F.array().cast("array<string>")
+    checked = shaped.withColumn("missing", missing)
+    return checked.where(F.size("missing") == 0).drop("missing"), checked.where(F.size("missing") > 0)

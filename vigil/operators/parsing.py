@@ -71,36 +71,55 @@ def csv_cells(line: Column) -> Column:
 
 
 def parse_csv(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Header names with the first row's values; a name that is missing is column_i, a value that is missing empty."""
+    """(key, row, position, path, value, type): header names with the values of every data row, rows counted from 0.
+
+    A name that is missing is column_i, a value that is missing empty; a header alone gives its names with empty texts.
+    """
     lines = df.select(key, filled_lines(trimmed(column)).alias("lines"))
-    cells = lines.select(key, csv_cells(F.get("lines", F.lit(0))).alias("names"), F.coalesce(csv_cells(F.get("lines", F.lit(1))), F.array()).alias("cells"), (F.size("lines") > 1).alias("has_row"))
-    found = cells.select(key, "cells", "has_row", F.posexplode("names").alias("position", "name"))
+    names = csv_cells(F.get("lines", F.lit(0))).alias("names")
+    rows = lines.select(key, names, F.posexplode_outer(F.when(F.size("lines") > 1, F.slice("lines", F.lit(2), F.size("lines")))).alias("row", "line"))
+    cells = rows.select(key, F.coalesce("row", F.lit(0)).alias("row"), F.coalesce(csv_cells(F.col("line")), F.array()).alias("cells"), F.col("line").isNotNull().alias("has_row"), "names")
+    found = cells.select(key, "row", "cells", "has_row", F.posexplode("names").alias("position", "name"))
     value = F.coalesce(F.get("cells", F.col("position")), F.lit(""))
     path = F.when(F.col("name") == "", F.concat(F.lit("column_"), F.col("position"))).otherwise(F.col("name"))
-    return found.select(key, "position", path.alias("path"), value.alias("value"), F.when(F.col("has_row"), infer_value_type(value)).otherwise("string").alias("type"))
+    return found.select(key, "row", "position", path.alias("path"), value.alias("value"), F.when(F.col("has_row"), infer_value_type(value)).otherwise("string").alias("type"))
 
 
-def variant_kind(column: Column) -> Column:
-    """null, array, object, boolean, string or number."""
+def variant_kind(column: Column, split_numbers: bool = False) -> Column:
+    """null, array, object, boolean, string or number; with ``split_numbers`` integer (also 1.0) or float for number."""
     kind = F.schema_of_variant(column)
-    return F.when(column.isNull() | F.is_variant_null(column), "null").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string").otherwise("number")
+    number = F.lit("number")
+    if split_numbers:
+        number = F.when(kind == "BIGINT", "integer").when(F.try_variant_get(column, "$", "double") % 1 == 0, "integer").otherwise("float")
+    return F.when(column.isNull() | F.is_variant_null(column), "null").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string").otherwise(number)
+
+
+def json_depth(column: str | Column) -> Column:
+    """How deep the objects and arrays of a JSON text are nested."""
+    brackets = F.regexp_replace(F.regexp_replace(column, r'"(?:[^"\\]|\\.)*+"', ""), r"[^\[\]{}]", "")
+    step = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
 
 
-def flatten_json(df: DataFrame, key: str, column: str, max_depth: int = 6) -> DataFrame:
+def flatten_json(df: DataFrame, key: str, column: str, max_depth: int | None = None, split_numbers: bool = False) -> DataFrame:
     """Every leaf and every array of JSON texts with its path; texts that aren't JSON give no rows.
 
     Levels are unfolded one by one in a single pass: a leaf is carried along, an object gives way to its parts, an array
-    to itself and its parts. What is still an object below ``max_depth`` is given as JSON text; an empty object gives
-    no row.
+    to itself and its parts. Without ``max_depth`` the deepest text is looked for first, so that nothing stays folded;
+    with it, what is still an object below is given as JSON text. An empty object gives no row.
     """
+    if max_depth is None:
+        text = trimmed(column)
+        max_depth = df.where(F.try_parse_json(text).isNotNull()).agg(F.max(json_depth(text))).first()[0] or 0
     parse = df.sparkSession.tvf.variant_explode_outer
     level = df.select(F.col(key).alias("record"), F.try_parse_json(trimmed(column)).alias("v"), F.lit("").alias("path"), F.lit(False).alias("done")).where(F.col("v").isNotNull())
-    level = level.withColumn("type", variant_kind(F.col("v")))
+    level = level.withColumn("type", variant_kind(F.col("v"), split_numbers))
     for _ in range(max_depth):
         opens = F.when(F.col("done") | ~F.col("type").isin("object", "array"), F.array(F.lit(False))).when(F.col("type") == "array", F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
         split = level.select("*", F.explode(opens).alias("open"))
         parts = split.lateralJoin(parse(F.when(F.col("open").outer(), F.col("v").outer()))).where(~F.col("open") | F.col("pos").isNotNull())
         inner = F.when(F.col("type") == "array", F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
-        level = parts.select("record", F.when(F.col("open"), F.col("value")).otherwise(F.col("v")).alias("v"), F.when(F.col("open"), inner).otherwise(F.col("path")).alias("path"), (~F.col("open")).alias("done"), F.when(F.col("open"), variant_kind(F.col("value"))).otherwise(F.col("type")).alias("type"))
+        level = parts.select("record", F.when(F.col("open"), F.col("value")).otherwise(F.col("v")).alias("v"), F.when(F.col("open"), inner).otherwise(F.col("path")).alias("path"), (~F.col("open")).alias("done"), F.when(F.col("open"), variant_kind(F.col("value"), split_numbers)).otherwise(F.col("type")).alias("type"))
     text = F.when(F.col("type") == "null", F.lit("null")).when(F.col("type").isin("array", "object"), F.to_json("v")).otherwise(F.col("v").cast("string"))
+    level = level.where((F.col("type") != "object") | (F.to_json("v") != "{}"))
     return level.select(F.col("record").alias(key), F.when(F.col("path") == "", "root").otherwise(F.col("path")).alias("path"), text.alias("value"), "type")

@@ -21,14 +21,17 @@ COMPATIBLE = {
 def column_statistics(df: DataFrame, table_name: str, columns: list[str] | None = None, sample_rate: float = 1.0, approx: bool = False) -> DataFrame:
     """A row for each column: distinct, null and total counts, bounds as texts, rates; one aggregation for all columns.
 
-    Exact distinct counts of many columns expand the rows once a column; ``approx`` avoids that on large tables.
+    Exact distinct counts of many columns expand the rows once a column; texts are hashed to 64 bits before that (two of
+    ten million different texts get one hash with a chance of 3 in a million). ``approx`` avoids it on large tables.
     """
     columns = columns or df.columns
     sampled = df.sample(sample_rate, seed=0) if sample_rate < 1 else df
     distinct = F.approx_count_distinct if approx else F.count_distinct
     found = [F.count("*").alias("total")]
+    texts = {n for n, t in df.dtypes if t == "string"}
     for i, c in enumerate(columns):
-        found += [distinct(c).alias(f"d{i}"), F.count(c).alias(f"n{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
+        # a null has a hash, so it is taken out first
+        found += [distinct(F.when(F.col(c).isNotNull(), F.xxhash64(c)) if c in texts else F.col(c)).alias(f"d{i}"), F.count(c).alias(f"n{i}"), F.min(c).cast("string").alias(f"lo{i}"), F.max(c).cast("string").alias(f"hi{i}")]
     one = sampled.agg(*found)
     rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"d{i}").alias("distinct_count"), (F.col("total") - F.col(f"n{i}")).alias("null_count"), F.col("total").alias("total_count"), F.col(f"lo{i}").alias("min_value"), F.col(f"hi{i}").alias("max_value")) for i, c in enumerate(columns)))
     share = lambda part: F.when(F.col("total_count") > 0, F.col(part) / F.col("total_count")).otherwise(0.0)
@@ -78,15 +81,23 @@ def field_profile(fields: DataFrame, records: DataFrame, key: str) -> DataFrame:
     return found.join(F.broadcast(total)).withColumn("presence_rate", F.col("n_records") / F.col("total")).drop("total")
 
 
+def _met(paths: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(path, seen, mapped): every path that is seen in the data or the target of a mapping."""
+    seen = paths.select("path").distinct().withColumn("seen", F.lit(True))
+    targets = mappings.select(F.col("target").alias("path")).distinct().withColumn("mapped", F.lit(True))
+    return seen.join(targets, "path", "full").select("path", F.coalesce("seen", F.lit(False)).alias("seen"), F.coalesce("mapped", F.lit(False)).alias("mapped"))
+
+
 def mapping_coverage(paths: DataFrame, mappings: DataFrame) -> DataFrame:
-    """One row: percent of paths mapped and unmapped and of mappings never observed, with the lists."""
-    seen, targets = paths.select("path").distinct(), mappings.select(F.col("target").alias("path"))
-    unmapped = seen.join(targets, "path", "left_anti")
-    unobserved = targets.join(seen, "path", "left_anti")
-    one = lambda df, n, names: df.agg(F.count("*").alias(n), F.sort_array(F.collect_list("path")).alias(names))
-    counts = seen.agg(F.count("*").alias("n_paths")).crossJoin(targets.agg(F.count("*").alias("n_mappings"))).crossJoin(one(unmapped, "n_unmapped", "unmapped_paths")).crossJoin(one(unobserved, "n_unobserved", "unobserved_targets"))  # a row each
+    """One row: percent of paths mapped and unmapped and of mappings never observed; ``mapping_gaps`` names them."""
+    counts = _met(paths, mappings).agg(F.count_if("seen").alias("n_paths"), F.count_if("mapped").alias("n_mappings"), F.count_if(F.col("seen") & ~F.col("mapped")).alias("n_unmapped"), F.count_if(~F.col("seen")).alias("n_unobserved"))
     percent = lambda part, of: F.coalesce(100 * F.try_divide(part, of), F.lit(0.0))
-    return counts.select(percent(F.col("n_paths") - F.col("n_unmapped"), F.col("n_paths")).alias("percent_mapped"), percent(F.col("n_unmapped"), F.col("n_paths")).alias("percent_unmapped"), percent(F.col("n_unobserved"), F.col("n_mappings")).alias("percent_unobserved"), "unmapped_paths", "unobserved_targets")
+    return counts.select(percent(F.col("n_paths") - F.col("n_unmapped"), F.col("n_paths")).alias("percent_mapped"), percent(F.col("n_unmapped"), F.col("n_paths")).alias("percent_unmapped"), percent(F.col("n_unobserved"), F.col("n_mappings")).alias("percent_unobserved"))
+
+
+def mapping_gaps(paths: DataFrame, mappings: DataFrame) -> DataFrame:
+    """(path, gap): paths without a mapping (unmapped) and mappings' targets that no record has (unobserved)."""
+    return _met(paths, mappings).where("NOT (seen AND mapped)").select("path", F.when(F.col("seen"), "unmapped").otherwise("unobserved").alias("gap"))
 
 
 def mapping_verification(mappings: DataFrame, paths: DataFrame) -> DataFrame:

@@ -148,10 +148,10 @@ def refresh_embeddings(state: DataFrame, current: DataFrame, key: str, text: str
     return kept.unionByName(new.select(key, content_hash([text]).alias("content_hash"), hash_embedding(text, dims).alias("vector"), F.lit(True).alias("is_new")))
 
 
-def semantic_search(queries: DataFrame, entries: DataFrame, k: int, dims: int = 384) -> DataFrame:
-    """(query_id, rank, id, score) of texts (id, text) among entries (id, text)."""
+def semantic_search(queries: DataFrame, entries: DataFrame, k: int, dims: int = 384, but_own: bool = False) -> DataFrame:
+    """(query_id, rank, id, score) of texts (id, text) among entries (id, text), with ``but_own`` not the query's own."""
     embed = lambda df: df.where(F.length("text") > 0).select("id", hash_embedding("text", dims).alias("vector"))
-    return cosine_topk(embed(queries), embed(entries), k, dims)
+    return cosine_topk(embed(queries), embed(entries), k, dims, but_own=but_own)
 
 
 def resolve_terms(terms: DataFrame, dictionary: DataFrame, n: int = 3) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import ast
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -140,7 +140,11 @@ class Model:
 
 def formula_names(formula: str) -> list[str]:
     """The metric names in an arithmetic formula."""
-    return list(dict.fromkeys(re.findall(r"[A-Za-z_]\w*", formula)))
+    try:
+        tree = ast.parse(formula, mode="eval")
+    except SyntaxError:
+        raise ValueError(f"{formula!r} is no formula") from None
+    return list(dict.fromkeys(node.id for node in ast.walk(tree) if isinstance(node, ast.Name)))
 
 
 def validate(query: SemanticQuery, model: Model) -> None:

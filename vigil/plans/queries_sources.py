@@ -19,8 +19,9 @@ from .semantic import entity_view
 #: Raw records of all formats, from events, in both dialects.
 RAW = (
     "CASE event_id % 6"
-    " WHEN 0 THEN '{\"user\": ' || CAST(user_id AS STRING) || ', \"type\": \"' || event_type || '\", \"n\": {\"k\": ' || CAST(k AS STRING) || '}, \"tags\": [\"a\", null]}'"
-    " WHEN 1 THEN 'user,\"the, type\",k' || chr(10) || CAST(user_id AS STRING) || ',\"' || event_type || ' \"\"x\"\"\",' || CAST(k AS STRING)"
+    " WHEN 0 THEN '{\"user\": ' || CAST(user_id AS STRING) || ', \"type\": \"' || event_type || '\", \"n\": {\"k\": ' || CAST(k AS STRING) || ', \"w\": ' || CAST(k AS STRING) || '.5, \"o\": {\"p\": {\"q\": {\"r\": \"{[\"}}}}, \"tags\": [\"a\", null]}'"
+    " WHEN 1 THEN CASE WHEN event_id % 12 = 1 THEN 'user,type,k' || chr(10) || CAST(user_id AS STRING) || ',' || event_type || ',' || CAST(k AS STRING) || chr(10) || CAST(user_id + 1 AS STRING) || ',,true'"
+    " ELSE 'user,\"the, type\",k' || chr(10) || CAST(user_id AS STRING) || ',\"' || event_type || ', \"\"x\"\"\",' || CAST(k AS STRING) || chr(10) || chr(10) || CAST(user_id + 1 AS STRING) || ',\"plain, too\",1.5' END"
     " WHEN 2 THEN 'Jan ' || lpad(CAST(1 + k % 28 AS STRING), 2, ' ') || ' 0' || CAST(k % 10 AS STRING) || ':15:00 host' || CAST(user_id AS STRING) || ' sshd[' || CAST(event_id AS STRING) || ']: login user=' || CAST(user_id AS STRING) || ' action=\"' || event_type || ' it\"'"
     " WHEN 3 THEN '2024-01-01T00:00:00.5Z host' || CAST(user_id AS STRING) || ' cron: plain ' || event_type"
     " WHEN 4 THEN ' user=' || CAST(user_id AS STRING) || ' type=\"' || event_type || '\" k=' || CAST(k AS STRING) || ' ok=true note=''a b'' none=null '"
@@ -50,10 +51,15 @@ FORMAT_SQL = r"CASE WHEN regexp_matches(trim(raw), '^[{\[]') AND json_valid(trim
 
 @query("flatten_json", f"{TREE_SQL} SELECT record_id, path, value, type FROM tree")
 def flatten_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.flatten_json(raws(spark, sf_dir), "record_id", "raw", 4)
+    """However deep the records are nested."""
+    return parsing.flatten_json(raws(spark, sf_dir), "record_id", "raw")
 
 
-@query("parse_csv", f"{RAW_SQL}, c AS (SELECT record_id, string_split(string_split(raw, chr(10))[2], ',') AS v FROM raws WHERE {FORMAT_SQL} = 'csv') SELECT record_id, 0 AS position, 'user' AS path, v[1] AS value, 'number' AS type FROM c UNION ALL SELECT record_id, 1, 'the, type', replace(trim(v[2], '\"'), '\"\"', '\"') || '\"', 'string' FROM c UNION ALL SELECT record_id, 2, 'k', v[3], 'number' FROM c")
+#: The cells as the records are made of them.
+CSV_SQL = f"WITH c AS (SELECT event_id AS record_id, user_id, event_type, event_id % 12 = 1 AS plain, {binding.K} AS k FROM events WHERE event_id % 6 = 1), cells AS (SELECT record_id, unnest([{{'row': 0, 'position': 0, 'path': 'user', 'value': user_id::VARCHAR}}, {{'row': 0, 'position': 1, 'path': CASE WHEN plain THEN 'type' ELSE 'the, type' END, 'value': CASE WHEN plain THEN event_type ELSE event_type || ', \"x\"' END}}, {{'row': 0, 'position': 2, 'path': 'k', 'value': k::VARCHAR}}, {{'row': 1, 'position': 0, 'path': 'user', 'value': (user_id + 1)::VARCHAR}}, {{'row': 1, 'position': 1, 'path': CASE WHEN plain THEN 'type' ELSE 'the, type' END, 'value': CASE WHEN plain THEN '' ELSE 'plain, too' END}}, {{'row': 1, 'position': 2, 'path': 'k', 'value': CASE WHEN plain THEN 'true' ELSE '1.5' END}}], recursive := true) FROM c) SELECT *, CASE WHEN value = '' THEN 'null' WHEN value = 'true' THEN 'boolean' WHEN regexp_full_match(value, '[0-9.]+') THEN 'number' ELSE 'string' END AS type FROM cells"
+
+
+@query("parse_csv", CSV_SQL)
 def parse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that look like CSV, whatever their ids."""
     return parsing.parse_csv(raws(spark, sf_dir).where(parsing.detect_log_format("raw") == "csv"), "record_id", "raw")
@@ -112,6 +118,32 @@ def conform_schema_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.conform(binding.dns(spark, sf_dir), DICTIONARY)[1].select("metadata_uid", "class_uid", "answers_rdata", "severity_id")
 
 
+#: A dictionary of nested attributes, for mapped events with an array of answers.
+NESTED = [("metadata.uid", "string_t", "required", False), ("src_endpoint.ip", "ip_t", "optional", False), ("src_endpoint.port", "port_t", "optional", False), ("answers[].rdata", "ip_t", "required", False), ("answers[].ttl", "integer_t", "optional", False), ("query.hostname", "hostname_t", "required", False), ("duration", "long_t", "optional", False)]
+NESTED_SQL = f"{DNS_SQL}, m AS (SELECT metadata_uid AS uid, CASE WHEN k % 4 = 1 THEN NULL ELSE upper(query_hostname) END AS hostname, source_ip AS ip, answers_rdata AS rdata, k, CAST(trunc(duration) AS BIGINT) AS duration FROM dns), c AS (SELECT *, list_filter([CASE WHEN rdata IS NULL THEN 'answers[].rdata' END, CASE WHEN hostname IS NULL THEN 'query.hostname' END], lambda x: x IS NOT NULL) AS missing FROM m)"
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped events; some lack a host, some an answer."""
+    events = binding.dns(spark, sf_dir).withColumn("query_hostname", F.when(F.col("k") % 4 != 1, F.col("query_hostname")))
+    events = events.withColumn("answers", F.array(F.struct(F.col("answers_rdata").alias("rdata"), F.col("k").cast("string").alias("ttl")), F.struct(F.col("source_ip").alias("rdata"), F.lit("?").alias("ttl"))))
+    return mapping.apply_mapping(events, [*SPECS, mapping.Spec("answers", "answers")], 4003, 4)
+
+
+@query("conform_nested", f"{NESTED_SQL} SELECT uid, ip, NULL::BIGINT AS port, rdata AS first_answer, k::BIGINT AS first_ttl, ip AS second_answer, NULL::BIGINT AS second_ttl, hostname, duration FROM c WHERE len(missing) = 0")
+def conform_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapped events conformed: nested attributes keep their places, elements of arrays too."""
+    dictionary = spark.createDataFrame(NESTED, "path string, type string, requirement string, is_array boolean")
+    good = mapping.conform(_mapped(spark, sf_dir), dictionary)[0]
+    return good.selectExpr("metadata.uid", "src_endpoint.ip", "src_endpoint.port", "answers[0].rdata AS first_answer", "answers[0].ttl AS first_ttl", "answers[1].rdata AS second_answer", "answers[1].ttl AS second_ttl", "query.hostname", "duration")
+
+
+@query("conform_nested_rejected", f"{NESTED_SQL} SELECT uid, missing FROM c WHERE len(missing) > 0")
+def conform_nested_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each rejected event is."""
+    return mapping.conform(_mapped(spark, sf_dir), NESTED)[1].select("metadata.uid", "missing")
+
+
 @query("type_uid", f"{DNS_SQL} SELECT metadata_uid, class_uid::BIGINT * 100 + severity_id AS type_uid FROM dns")
 def type_uid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.with_type_uid(binding.dns(spark, sf_dir).withColumn("activity_id", F.col("severity_id"))).select("metadata_uid", "type_uid")

@@ -63,7 +63,7 @@ def partitions_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _json_fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The fields of all records, and these; records that aren't JSON have none."""
     records = raws(spark, sf_dir)
-    return parsing.flatten_json(records, "record_id", "raw", 4), records
+    return parsing.flatten_json(records, "record_id", "raw"), records
 
 
 @query("field_profile", f"{TREE_SQL} SELECT path, type, min(value) AS example, count(DISTINCT record_id) AS n_records, count(DISTINCT record_id) / (SELECT count(*) FROM raws) AS presence_rate FROM tree GROUP BY 1, 2")
@@ -79,27 +79,38 @@ def _mappings(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(MAPPINGS, "target string, confidence string")
 
 
-@query("mapping_coverage", f"{MAPPINGS_SQL}, c AS (SELECT (SELECT count(*) FROM seen) AS n, (SELECT count(*) FROM maps) AS m, (SELECT list_sort(list(path)) FROM seen WHERE path NOT IN (SELECT target FROM maps)) AS unmapped_paths, (SELECT list_sort(list(target)) FROM maps WHERE target NOT IN (SELECT path FROM seen)) AS unobserved_targets) SELECT 100.0::DOUBLE * (n - len(unmapped_paths)) / n AS percent_mapped, 100.0::DOUBLE * len(unmapped_paths) / n AS percent_unmapped, 100.0::DOUBLE * len(unobserved_targets) / m AS percent_unobserved, unmapped_paths, unobserved_targets FROM c")
+GAPS_SQL = f"{MAPPINGS_SQL}, gaps AS (SELECT path, 'unmapped' AS gap FROM seen WHERE path NOT IN (SELECT target FROM maps) UNION ALL SELECT target, 'unobserved' FROM maps WHERE target NOT IN (SELECT path FROM seen))"
+
+
+@query("mapping_coverage", f"{GAPS_SQL}, c AS (SELECT (SELECT count(*) FROM seen) AS n, (SELECT count(*) FROM maps) AS m, (SELECT count(*) FROM gaps WHERE gap = 'unmapped') AS u, (SELECT count(*) FROM gaps WHERE gap = 'unobserved') AS o) SELECT 100.0::DOUBLE * (n - u) / n AS percent_mapped, 100.0::DOUBLE * u / n AS percent_unmapped, 100.0::DOUBLE * o / m AS percent_unobserved FROM c")
 def mapping_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.mapping_coverage(_json_fields(spark, sf_dir)[0], _mappings(spark))
 
 
+@query("mapping_gaps", f"{GAPS_SQL} SELECT path, gap FROM gaps")
+def mapping_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiling.mapping_gaps(_json_fields(spark, sf_dir)[0], _mappings(spark))
+
+
 @query("mapping_verification", f"{MAPPINGS_SQL} SELECT target, CASE WHEN target IN (SELECT path FROM seen) THEN 'Verified' ELSE 'Unverified' END AS status FROM maps")
 def mapping_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.mapping_verification(_mappings(spark), _json_fields(spark, sf_dir)[0])
 
 
-SCHEMA = [("user", "string_t", 1, "required"), ("type", "string_t", 1, "optional"), ("n.k", "integer_t", 1, "optional"), ("tags", "long_t", 1, "recommended"), ("other.path", "string_t", 1, "required")]
-SCHEMA_SQL = "sch AS (SELECT * FROM (VALUES ('user', 'string_t', 1, 'required'), ('type', 'string_t', 1, 'optional'), ('n.k', 'integer_t', 1, 'optional'), ('tags', 'long_t', 1, 'recommended'), ('other.path', 'string_t', 1, 'required')) s(path, attr_type, class_uid, requirement))"
+SCHEMA = [("user", "string_t", 1, "required"), ("type", "string_t", 1, "optional"), ("n.k", "integer_t", 1, "optional"), ("n.w", "integer_t", 1, "optional"), ("n.o.p.q.r", "float_t", 1, "optional"), ("tags", "long_t", 1, "recommended"), ("other.path", "string_t", 1, "required")]
+SCHEMA_SQL = "sch AS (SELECT * FROM (VALUES " + ", ".join(repr(x) for x in SCHEMA) + ") s(path, attr_type, class_uid, requirement))"
+#: Which observed types go with which schema types.
+AGREE_SQL = "agree AS (SELECT observed, unnest(string_split(kinds, ' ')) AS kind FROM (VALUES ('string', 'string_t hostname_t ip_t email_t url_t mac_t subnet_t path_t process_name_t username_t datetime_t'), ('integer', 'integer_t long_t timestamp_t'), ('float', 'float_t double_t'), ('boolean', 'boolean_t')) a(observed, kinds))"
 
 
 def _schema(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SCHEMA, "path string, attr_type string, class_uid int, requirement string")
 
 
-@query("type_mismatch", f"{MAPPINGS_SQL}, {SCHEMA_SQL} SELECT DISTINCT path, type AS observed_type, attr_type AS schema_type FROM sch JOIN tree USING (path) WHERE type NOT IN ('null', 'array') AND NOT (type = 'string' AND attr_type = 'string_t')")
+@query("type_mismatch", f"{MAPPINGS_SQL}, {SCHEMA_SQL}, {AGREE_SQL}, t AS (SELECT DISTINCT path, CASE WHEN type <> 'number' THEN type WHEN value::DOUBLE % 1 = 0 THEN 'integer' ELSE 'float' END AS type FROM tree) SELECT path, type AS observed_type, attr_type AS schema_type FROM sch JOIN t USING (path) WHERE type NOT IN ('null', 'array') AND (type, attr_type) NOT IN (SELECT (observed, kind) FROM agree)")
 def type_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiling.type_mismatch(_json_fields(spark, sf_dir)[0], _schema(spark), 1)
+    fields = parsing.flatten_json(raws(spark, sf_dir), "record_id", "raw", split_numbers=True)
+    return profiling.type_mismatch(fields, _schema(spark), 1)
 
 
 @query("attribute_tiers", f"{MAPPINGS_SQL}, {SCHEMA_SQL} SELECT coalesce(seen.path, sch.path) AS path, CASE WHEN seen.path IS NULL THEN 'potential' WHEN target IS NOT NULL OR requirement IN ('required', 'recommended') THEN 'core' ELSE 'extended' END AS tier FROM seen FULL JOIN sch ON seen.path = sch.path LEFT JOIN (SELECT target FROM maps WHERE confidence = 'High') m ON m.target = coalesce(seen.path, sch.path)")
@@ -107,21 +118,17 @@ def attribute_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.attribute_tiers(_json_fields(spark, sf_dir)[0], _schema(spark), _mappings(spark))
 
 
-#: What the profile of a column says of it: keys are required, columns without nulls recommended, those of few values enums.
+#: The schema's word on the documents' columns: type, requirement, group, indicator type.
+ATTRIBUTES = [("doc_id", "long_t", "required", "primary", None), ("lang", "string_t", "recommended", "classification", None), ("source", "string_t", "optional", "classification", 20), ("n_chars", "long_t", "optional", "context", None), ("text", "string_t", "recommended", "primary", 30), ("never_seen", "timestamp_t", "required", None, None)]
 FEW = 50
 
 
-@query("infer_dimensions", "WITH s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, '{t}' AS kind, count(DISTINCT {c}) AS d, count({c}) AS n, count(*) AS t FROM documents" for c, t in (("doc_id", "long_t"), ("lang", "string_t"), ("source", "string_t"), ("n_chars", "long_t"), ("text", "string_t"))) + f"), r AS (SELECT *, d <= {FEW} AS enum, d = t AS required, d < t AND n = t AS recommended, name = 'doc_id' AS identifier FROM s) SELECT name, CASE WHEN enum THEN 'categorical' WHEN identifier THEN 'identifier' WHEN kind = 'long_t' THEN 'numeric' ELSE 'text' END AS dimension_type, CASE WHEN required THEN 'high' WHEN recommended THEN 'medium' ELSE 'low' END AS priority, enum OR required OR (identifier AND recommended) AS is_dimension, CASE WHEN enum THEN 'enum' WHEN required THEN 'required' WHEN identifier AND recommended THEN 'identifier' ELSE 'no criterion met' END AS reason FROM r")
+@query("infer_dimensions", "WITH d AS (SELECT * FROM (VALUES ('doc_id', 'identifier', true, false, true, false, NULL), ('lang', 'text', false, true, false, true, NULL), ('source', 'searchable', false, false, false, true, 20), ('n_chars', 'numeric', false, false, false, false, NULL), ('text', 'searchable', false, true, true, false, 30)) v(name, kind, required, recommended, is_primary, classification, observable)), s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) <= {FEW} AS enum FROM documents" for c in ("doc_id", "lang", "source", "n_chars", "text")) + ") SELECT name, CASE WHEN enum THEN 'categorical' ELSE kind END AS dimension_type, CASE WHEN required OR is_primary THEN 'high' WHEN recommended OR classification THEN 'medium' ELSE 'low' END AS priority, name <> 'n_chars' OR enum AS is_dimension, CASE WHEN enum THEN 'enum' WHEN required THEN 'required' WHEN is_primary THEN 'primary group' WHEN classification THEN 'classification group' WHEN observable IS NOT NULL THEN 'observable' ELSE 'no criterion met' END AS reason FROM d JOIN s USING (name)")
 def infer_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From the profile of the documents' columns: their types, nulls and numbers of values."""
-    documents = binding.table(spark, sf_dir, "documents")
-    kinds = {"bigint": "long_t", "int": "integer_t", "double": "double_t", "timestamp": "timestamp_t"}
-    types = spark.createDataFrame([(n, kinds.get(t, "string_t")) for n, t in documents.dtypes], "name string, attr_type string")
-    profile = profiling.column_statistics(documents, "documents").withColumnRenamed("column_name", "name").join(types, "name")
-    unique, full = F.col("distinct_count") == F.col("total_count"), F.col("null_count") == 0
-    requirement = F.when(unique, "required").when(full, "recommended").otherwise("optional")
-    known = profile.select("name", "attr_type", requirement.alias("requirement"), F.lit(None).cast("string").alias("group"), (F.col("distinct_count") <= FEW).alias("has_enum"), F.lit(None).cast("int").alias("observable_type_id"))
-    return profiling.infer_dimensions(known)
+    """From the profile of the documents' columns, joined with a dictionary; few values make an enum."""
+    profile = profiling.column_statistics(binding.table(spark, sf_dir, "documents"), "documents").select(F.col("column_name").alias("name"), (F.col("distinct_count") <= FEW).alias("has_enum"))
+    dictionary = spark.createDataFrame(ATTRIBUTES, "name string, attr_type string, requirement string, group string, observable_type_id int")
+    return profiling.infer_dimensions(profile.join(dictionary, "name"))
 
 
 @query("value_pattern_check", f"{DNS_SQL} SELECT 'query_hostname' AS attribute, avg(CASE WHEN regexp_matches(query_hostname, '^h[0-9]') THEN 1.0 ELSE 0.0 END) AS match_rate FROM dns UNION ALL SELECT 'answers_rdata', avg(CASE WHEN regexp_matches(answers_rdata, '\\.1\\d*$') THEN 1.0 ELSE 0.0 END) FROM dns WHERE answers_rdata IS NOT NULL")
