@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.operators import mapping, parsing
+from vigil.operators import mapping, parsing, partitions
 from vigil.sources import events as source
+from vigil.sources import indexed
 
 from . import binding
 from .binding import DNS_SQL
@@ -183,6 +186,31 @@ def write_observables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("type_id", "value").agg(F.count("*").alias("n"))
 
 
+INDEXED_ROWS = 20_000
+LOOK_UPS = {"value": "value IN ('192.0.2.17', 'h1.view.example.com')", "uid": "event_uid IN ('ev-7', 'ev-77', 'ev-100')", "time": "event_time >= TIMESTAMP '2024-01-10 06:00:00' AND event_time < TIMESTAMP '2024-01-11' AND type_id = 2"}
+
+
+@query("look_up_indexed", f"{DNS_SQL}, {OBSERVABLES_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS asked, observable_id, type_id, value, event_uid, event_time FROM obs WHERE {w}" for n, w in LOOK_UPS.items()))
+def look_up_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-ups by value, event and time, each of which opens only the files that its index names."""
+    path = source.shared_folder(spark, "indexed")
+    indexed.write_indexed(observable_table(spark, sf_dir), path, INDEXED_ROWS)
+    asked = {"value": {"values": ["192.0.2.17", "h1.view.example.com"]}, "uid": {"uids": ["ev-7", "ev-77", "ev-100"]}, "time": {"start": datetime(2024, 1, 10, 6), "stop": datetime(2024, 1, 11), "type_ids": [2]}}
+    parts = [indexed.look_up(spark, path, **a).select(F.lit(n).alias("asked"), "observable_id", "type_id", "value", "event_uid", "event_time") for n, a in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("partition_registry", f"{DNS_SQL} SELECT 'dns' AS table_name, CAST(CAST(time AS DATE) AS VARCHAR) AS partition_key, count(*) AS row_count, false AS is_empty, min(k) AS low, max(k) AS high, true AS has_bytes FROM dns GROUP BY CAST(time AS DATE)")
+def partition_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The partitions of a written table, from listings and footers alone; that the bytes are the files' is checked here."""
+    path = source.shared_folder(spark, "registered")
+    source.write_events(binding.dns(spark, sf_dir), path)
+    found = partitions.registry(spark, path, "dns", ordered="k")
+    listed = spark.createDataFrame([(partitions.listed_bytes(spark, path),)], "listed long")
+    whole = found.agg((F.sum("size_bytes") == F.max(F.lit(listed.first().listed))).alias("has_bytes"))
+    return found.join(F.broadcast(whole)).select("table_name", "partition_key", "row_count", "is_empty", "low", "high", "has_bytes")
+
+
 @query("hot_rollup", f"{DNS_SQL} SELECT source_ip, query_type, action, count(*) AS event_count FROM dns GROUP BY ALL")
 def hot_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.hot_rollup(binding.dns(spark, sf_dir), ["source_ip", "query_type", "action"])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from vigil.sources import logs
 from vigil.sources.events import shared_folder, stream_files
-from vigil.streaming import streams
+from vigil.streaming import rollups, streams
 
 from . import binding
 from .binding import DNS_SQL, FEED_SQL
@@ -31,10 +33,66 @@ def _ntz(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
 
 
-@query("scan_kafka", f"{DNS_SQL} SELECT query_type, count(*) AS n FROM dns GROUP BY 1")
+LOG_SQL = f"{DNS_SQL} SELECT query_type, count(*) AS n, count(DISTINCT metadata_uid) AS n_uids, sum(k)::BIGINT AS total FROM dns GROUP BY 1"
+
+
+def _read_log(spark: SparkSession, folder: str, path: str, stop_after: int | None = None) -> None:
+    """Stream a log to ``path``, up to its end or so many triggers; each trigger has a folder of its own."""
+    given: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        if stop_after is None or len(given) < stop_after:
+            batch.write.mode("overwrite").parquet(f"{path}/out/trigger={number}")
+            given.append(number)
+        else:
+            raise InterruptedError("stopped in mid-stream")
+
+    log = logs.stream_log(spark, folder, "reader", LOG_RECORDS)
+    running = log.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(processingTime="0 seconds").start()
+    try:
+        running.processAllAvailable()
+    except StreamingQueryException as e:
+        if stop_after is None or "stopped in mid-stream" not in str(e):
+            raise
+    finally:
+        running.stop()
+
+
+#: Partitions of a log, and records of each that a trigger takes.
+LOG_PARTITIONS, LOG_RECORDS = 3, 20_000
+
+
+def _logged(spark: SparkSession, sf_dir: str) -> str:
+    """The DNS events as a log that two appends made."""
+    folder = shared_folder(spark, "log")
+    events = binding.dns(spark, sf_dir)
+    body = F.to_json(F.struct("metadata_uid", "query_type", "k"))
+    for half in range(2):
+        logs.append(events.where(F.col("k") % 2 == half).select(F.col("source_ip").alias("key"), body.alias("value")), folder, LOG_PARTITIONS)
+    return folder
+
+
+def _counted(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.parquet(f"{path}/out").select(F.from_json("value", "metadata_uid string, query_type string, k int").alias("v")).select("v.*")
+    return rows.groupBy("query_type").agg(F.count("*").alias("n"), F.count_distinct("metadata_uid").alias("n_uids"), F.sum("k").alias("total"))
+
+
+@query("scan_kafka", LOG_SQL)
 def scan_kafka(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The continuous source; over arriving files, as ``stream_events`` needs a connector that isn't installed here."""
-    return streams.run_once(dns_stream(spark, sf_dir, 1), shared_folder(spark, "scanned")).groupBy("query_type").agg(F.count("*").alias("n"))
+    """The continuous source: a log of partitions and offsets. ``stream_events`` does the same over Kafka, whose connector isn't
+    installed here."""
+    path = shared_folder(spark, "scanned")
+    _read_log(spark, _logged(spark, sf_dir), path)
+    return _counted(spark, path)
+
+
+@query("scan_log_restarted", LOG_SQL)
+def scan_log_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query that breaks off after its first trigger and starts again loses and repeats nothing."""
+    path, folder = shared_folder(spark, "scanned"), _logged(spark, sf_dir)
+    _read_log(spark, folder, path, 1)
+    _read_log(spark, folder, path)
+    return _counted(spark, path)
 
 
 @query("stream_mapping", f"{DNS_SQL} SELECT upper(query_hostname) AS hostname, source_ip AS ip, metadata_uid AS uid, CAST(trunc(duration) AS INTEGER) AS duration, 4003 AS class_uid, 4 AS category_uid FROM dns")
@@ -105,3 +163,22 @@ def stream_refresh_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         observables = streams.stream_extract_observables(dns_stream(spark, sf_dir, 2), OBSERVABLES)
         streams.stream_refresh(observables, f"{path}/table", f"{path}/state-{turn}").awaitTermination()
     return spark.read.parquet(f"{path}/table").groupBy("type_id").agg(F.count("*").alias("n"), F.count_distinct("observable_id").alias("n_ids"))
+
+
+ROLLUP = rollups.Rollup(("source_ip", "query_type", "action"), {"total_k": "CAST(k AS LONG)", "severity": "CAST(severity_id AS LONG)"})
+
+
+@query("stream_hot_rollup", f"{DNS_SQL} SELECT source_ip, query_type, action, count(*) AS event_count, sum(k)::BIGINT AS total_k, sum(severity_id)::BIGINT AS severity FROM dns WHERE k % 7 <> 3 GROUP BY ALL")
+def stream_hot_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The roll-up of events that come in no order, twice, and are partly taken back, some before they came; a second refresh
+    brings further events."""
+    path, folder = shared_folder(spark, "rollup"), shared_folder(spark, "arriving")
+    events = binding.dns(spark, sf_dir).withColumns({"time": F.col("time").cast("timestamp"), "sign": F.lit(1)})
+    gone = events.where("k % 7 = 3").withColumn("sign", F.lit(-1))
+    for turn, part in enumerate(("k % 3 = 0", "k % 3 <> 0")):
+        coming = events.where(part).unionByName(events.where(part)).unionByName(gone.where(part))
+        coming.withColumn("uid", F.concat_ws("/", "metadata_uid", "sign")).repartition(3).write.mode("append").parquet(folder)
+        schema = spark.read.parquet(folder).schema
+        once = streams.stream_dedupe(stream_files(spark, folder, schema, maxFilesPerTrigger="1"), "uid", "60 days")
+        rollups.stream_rollup(once, ROLLUP, f"{path}/runs", f"{path}/state", "sign").awaitTermination()
+    return rollups.read_rollup(spark, f"{path}/runs", ROLLUP)

@@ -186,6 +186,15 @@ def _qualified(entity: Entity, name: str) -> Column:
     return F.expr(a.expression) if a.expression else F.col(f"{entity.name}.{a.field or a.name}")
 
 
+def newest(df: DataFrame, time: Column, by_day: bool) -> datetime | None:
+    """The latest time. Of a table that is written by day only the last day's times are read: which that is, the folders say."""
+    if by_day and "event_date" in df.columns:
+        day = df.agg(F.max("event_date")).first()[0]
+        if day is not None:
+            df = df.where(F.col("event_date") == F.lit(day))
+    return df.agg(F.max(time)).first()[0]
+
+
 def _in_range(df: DataFrame, time: Column, query: SemanticQuery, by_day: bool) -> DataFrame:
     """The rows of the query's time range. Tables that are written by day (``event_date``) are also cut by the day, so
     that other days' folders aren't opened."""
@@ -193,7 +202,7 @@ def _in_range(df: DataFrame, time: Column, query: SemanticQuery, by_day: bool) -
         return df
     as_of = query.as_of
     if as_of is None and any(t and (t == "now" or t.startswith("-")) for t in query.time_range):
-        as_of = df.agg(F.max(time)).first()[0]
+        as_of = newest(df, time, by_day)
     start, stop = (resolve_time(t, as_of) for t in query.time_range)
     by_day = by_day and "event_date" in df.columns
     if start is not None:
