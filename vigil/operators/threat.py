@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vigil.functions.computed import host_suffixes
 
 
-def _keyed(events: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+def keyed_values(events: DataFrame, kind: str, columns: list[str]) -> DataFrame:
     """Distinct values of the matched columns and the indicators that each of them would meet."""
     if kind == "domain":
         return events.select(*columns).distinct().withColumn("indicator", F.explode(host_suffixes(columns[0])))
@@ -21,7 +21,7 @@ def _keyed(events: DataFrame, kind: str, columns: list[str]) -> DataFrame:
 
 def ioc_matches(events: DataFrame, feed: DataFrame, kind: str, columns: list[str]) -> DataFrame:
     """(columns, feed columns) of each distinct value that matches an indicator of the kind."""
-    return _keyed(events, kind, columns).join(feed.where(F.col("indicator_type") == kind), "indicator")
+    return keyed_values(events, kind, columns).join(feed.where(F.col("indicator_type") == kind), "indicator")
 
 
 def ioc_lookup(events: DataFrame, feed: DataFrame, kind: str | None, columns: list[str] | None = None) -> DataFrame:

@@ -11,8 +11,6 @@ from .changes import content_hash, content_hash_changes
 
 #: Rows of a side that one task compares.
 QUERY_BLOCK, CORPUS_BLOCK = 2_000, 10_000
-#: Names of a dictionary that may be broadcast.
-MOST_NAMES = 100_000
 #: Steps that are folded at once, and times that they are: numbers of steps up to 10 ** 12 come down to a few.
 STRETCH, FOLDS = 1000, 3
 #: The thresholds and steps of suggestions.
@@ -152,31 +150,3 @@ def semantic_search(queries: DataFrame, entries: DataFrame, k: int, dims: int =
     """(query_id, rank, id, score) of texts (id, text) among entries (id, text), with ``but_own`` not the query's own."""
     embed = lambda df: df.where(F.length("text") > 0).select("id", hash_embedding("text", dims).alias("vector"))
     return cosine_topk(embed(queries), embed(entries), k, dims, but_own=but_own)
-
-
-def resolve_terms(terms: DataFrame, dictionary: DataFrame, n: int = 3) -> DataFrame:
-    """(term, entity, attribute, matched, suggestions): names of any case; a canonical name goes before a synonym.
-
-    The dictionary (entity, attribute, synonyms) has the size of a schema. Terms that nothing equals are scored
-    against all its names: 100 if one contains the other, else ten for each letter of a common prefix of three or
-    more, else twenty for each common word.
-    """
-    names = dictionary.select("entity", "attribute", F.lower("attribute").alias("name"), F.lit(0).alias("synonym")).unionByName(dictionary.select("entity", "attribute", F.explode("synonyms").alias("name"), F.lit(1).alias("synonym")).withColumn("name", F.lower("name")))
-    best = names.groupBy("name").agg(F.min(F.struct("synonym", "entity", "attribute")).alias("b"))
-    asked = terms.select("term").distinct().withColumn("name", F.lower("term"))
-    hit = asked.join(best, "name", "left")
-    resolved = hit.where(F.col("b").isNotNull()).select("term", "b.entity", "b.attribute", F.when(F.col("b.synonym") == 0, "canonical").otherwise("synonym").alias("matched"), F.lit(None).cast("array<string>").alias("suggestions"))
-    a, b = F.col("name"), F.col("other")
-    prefix = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(a), F.length(b)))), lambda i: F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i)))
-    overlap = F.size(F.array_intersect(F.split(a, r"\s+"), F.split(b, r"\s+")))
-    score = F.when(F.contains(a, b) | F.contains(b, a), 100).when(prefix >= 3, prefix * 10).when(overlap > 0, overlap * 20)
-    rest = hit.where(F.col("b").isNull()).select("term", "name")
-    others = names.select("attribute", F.col("name").alias("other"))
-    # a schema's names are few; of more than that no copy goes to every task
-    others = F.broadcast(others) if others.count() <= MOST_NAMES else others
-    scored = rest.join(others, score.isNotNull()).withColumn("score", score)
-    each = scored.groupBy("term", "attribute").agg(F.max("score").alias("score"))
-    ranked = each.withColumn("r", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("score"), "attribute"))).where(F.col("r") <= n)
-    listed = ranked.groupBy("term").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "attribute"))), lambda x: x["attribute"]).alias("suggestions"))
-    missing = rest.join(listed, "term", "left").select("term", F.lit(None).cast("string").alias("entity"), F.lit(None).cast("string").alias("attribute"), F.lit("none").alias("matched"), F.coalesce("suggestions", F.array().cast("array<string>")).alias("suggestions"))
-    return resolved.unionByName(missing)

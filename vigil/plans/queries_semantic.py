@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from vigil.operators import metrics as M
 from vigil.operators.observables import extract_observables
+from vigil.sources.events import shared_folder
 
 from . import binding
 from .binding import AS_OF_SQL, DNS_SQL, FEED_SQL
 from .model import Attribute, Entity, Filter, Metric, Model, Relationship, SemanticQuery
 from .registry import query
+from .routing import RollupSpec, StoredRollup, build_rollup, run_routed
 from .semantic import join_relationship, run
 
 MODEL = Model.of(
@@ -224,3 +226,31 @@ def hierarchy_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     df = df.select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.col("c_mktsegment").alias("segment"), "c_acctbal")
     return M.hierarchy_rollup(df, ["region", "nation", "segment"], {"customers": F.count("*"), "balance": F.sum("c_acctbal")})
+
+
+#: Roll-ups of the DNS events, coarse and fine.
+ROLLUPS = [
+    RollupSpec("by_type_day", "dns_event", ("query_type", "action"), ("dns_query_count", "total_duration", "avg_duration", "min_duration", "nx_rate"), "day"),
+    RollupSpec("by_client_hour", "dns_event", ("query_type", "action", "source_ip", "host"), ("dns_query_count", "total_duration", "avg_duration", "min_duration", "max_duration", "nx_rate", "blocked_dns_rate"), "hour"),
+    RollupSpec("by_region", "dns_event", ("cloud_region",), ("dns_query_count", "max_duration")),
+]
+
+
+def stored_rollups(spark: SparkSession, sf_dir: str) -> list[StoredRollup]:
+    """The roll-ups, written to the shared folder."""
+    path, found = shared_folder(spark, "rollups"), []
+    for spec in ROLLUPS:
+        build_rollup(spec, MODEL, _bind(spark, sf_dir)).write.parquet(f"{path}/{spec.name}")
+        table = spark.read.parquet(f"{path}/{spec.name}")
+        found.append(StoredRollup(spec, table, table.count()))
+    return found
+
+
+ROUTED = {
+    "sq_routed_day": (SemanticQuery("dns_event", metrics=("dns_query_count", "avg_duration", "nx_rate", "min_duration"), group_by=("query_type",), time_granularity="week"), f"{DNS_SQL} SELECT date_trunc('week', time)::TIMESTAMP AS time_bucket, query_type, count(*) AS dns_query_count, avg(duration) AS avg_duration, count(*) FILTER (WHERE response_code = 'NXDOMAIN') / count(*) AS nx_rate, min(duration) AS min_duration FROM dns GROUP BY 1, 2"),
+    "sq_routed_hour": (SemanticQuery("dns_event", metrics=("blocked_dns_rate", "distinct_hosts", "max_duration"), group_by=("source_ip",), filters=(Filter("query_type", "in", ["A", "TXT"]),), time_granularity="day", time_range=("2024-01-05T06:00:00", "2024-01-20T17:59:59.999999")), f"{DNS_SQL} SELECT date_trunc('day', time)::TIMESTAMP AS time_bucket, source_ip, avg(CASE WHEN action = 'Blocked' THEN 1.0 ELSE 0.0 END) AS blocked_dns_rate, count(DISTINCT query_hostname) AS distinct_hosts, max(duration) AS max_duration FROM dns WHERE query_type IN ('A', 'TXT') AND time BETWEEN TIMESTAMP '2024-01-05 06:00:00' AND TIMESTAMP '2024-01-20 17:59:59.999999' GROUP BY 1, 2"),
+    "sq_routed_events": (SemanticQuery("dns_event", metrics=("dns_query_count", "distinct_hosts"), group_by=("cloud_region",)), f"{DNS_SQL} SELECT cloud_region, count(*) AS dns_query_count, count(DISTINCT query_hostname) AS distinct_hosts FROM dns GROUP BY 1"),
+}
+
+for _name, (_query, _sql) in ROUTED.items():
+    query(_name, _sql)(lambda spark, sf_dir, q=_query: run_routed(q, MODEL, _bind(spark, sf_dir), stored_rollups(spark, sf_dir)))

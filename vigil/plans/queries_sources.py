@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.operators import mapping, parsing, partitions
 from vigil.sources import events as source
-from vigil.sources import indexed
+from vigil.sources import csv_files, indexed
 
 from . import binding
 from .binding import DNS_SQL
@@ -68,6 +68,26 @@ def parse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.parse_csv(raws(spark, sf_dir).where(parsing.detect_log_format("raw") == "csv"), "record_id", "raw")
 
 
+#: Bytes of a range, so small that files of a few hundred records are cut too.
+CSV_RANGE = 16_384
+
+
+@query("read_csv_files", "WITH d AS (SELECT doc_id, lang, coalesce(text, '') || chr(10) || '\"end\"' AS text FROM documents) SELECT 'doc_id' AS path, 'number' AS type, md5(doc_id::VARCHAR) AS digest, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT 'the text', 'string', md5(text), count(*) FROM d GROUP BY ALL UNION ALL SELECT 'column_2', 'string', md5(lang), count(*) FROM d GROUP BY ALL")
+def read_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in CSV files with quotes, doubled quotes, commas and line ends in cells, read in small ranges."""
+    path = source.shared_folder(spark, "csv")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit('\n"end"'))
+    rows = binding.table(spark, sf_dir, "documents").select(F.concat_ws(",", F.col("doc_id").cast("string"), quoted(text), "lang").alias("line"))
+    # each file begins with its header, as the part that writes it does
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("line"), F.lit(4)))
+    heads = spark.range(4).select(F.lit('doc_id,"the text",').alias("line"), F.col("id").alias("part"))
+    both = heads.withColumn("body", F.lit(0)).unionByName(parts.withColumn("body", F.lit(1)))
+    both.repartition(4, "part").sortWithinPartitions("part", "body").drop("body").write.partitionBy("part").text(path)
+    found = csv_files.read_csv_fields(spark, path, CSV_RANGE)
+    return found.groupBy("path", "type", F.md5("value").alias("digest")).agg(F.count("*").alias("n"))
+
+
 LINE_SQL = RAW_SQL + ", f AS (SELECT record_id, raw, " + FORMAT_SQL + r" AS format FROM raws), l AS (SELECT record_id, raw, CASE WHEN regexp_matches(raw, '^[A-Z][a-z]{2}\s') THEN regexp_extract(raw, '^([A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s*(.*)$', ['timestamp', 'hostname', 'process', 'pid', 'message']) ELSE regexp_extract(raw, '^(\S+)\s+(\S+)\s+(\S+?)(?:\[(\d+)\])?:\s*(.*)$', ['timestamp', 'hostname', 'process', 'pid', 'message']) END AS p FROM f WHERE format = 'syslog')"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions import computed
-from vigil.operators import hunting, observables, threat
+from vigil.operators import hunting, observables, threat, validity
 
 from . import binding
 from .binding import AS_OF_SQL, DNS_SQL, FEED_SQL
@@ -111,6 +111,39 @@ def ioc_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return threat.ioc_lookup(binding.dns(spark, sf_dir), binding.feed(spark), None).select("metadata_uid", "indicator")
 
 
+#: A feed from the events: hosts that are listed for some days again and again, a domain without bounds, clients by weeks.
+VALID_FEED = {
+    "h": "SELECT query_hostname AS indicator, 'domain' AS indicator_type, 'seen' AS threat_type, min(time) AS first_seen, min(time) + INTERVAL 30 HOUR AS last_seen FROM dns WHERE k % 7 = 1 GROUP BY query_hostname, source_ip",
+    "d": "SELECT DISTINCT event_type || '.example.com', 'domain', 'always', CAST(NULL AS {t}), CAST(NULL AS {t}) FROM events WHERE event_type = 'error'",
+    "c": "SELECT source_ip, 'ip', 'client', max(time) - INTERVAL 50 HOUR, CAST(NULL AS {t}) FROM dns WHERE k % 5 = 2 GROUP BY source_ip",
+}
+
+
+def _valid_feed_sql(kind: str) -> str:
+    return " UNION ALL ".join(VALID_FEED.values()).format(t=kind)
+
+
+VALID_SQL = f"{DNS_SQL}, feed AS ({_valid_feed_sql('TIMESTAMP')})"
+
+
+def _valid_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dns, events = binding.dns(spark, sf_dir), binding.table(spark, sf_dir, "events")
+    return spark.sql(_valid_feed_sql("TIMESTAMP_NTZ").replace("FROM dns", "FROM {dns}").replace("FROM events", "FROM {events}"), dns=dns, events=events)
+
+
+@query("ioc_valid_domains", f"{VALID_SQL} SELECT metadata_uid, query_hostname, indicator, threat_type, first_seen FROM dns LEFT JOIN feed ON indicator_type = 'domain' AND (query_hostname = indicator OR query_hostname LIKE '%.' || indicator) AND (first_seen IS NULL OR time >= first_seen) AND (last_seen IS NULL OR time <= last_seen)")
+def ioc_valid_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the listings that were valid at their time."""
+    found = validity.valid_lookup(binding.dns(spark, sf_dir), _valid_feed(spark, sf_dir), "domain", ["query_hostname"])
+    return found.select("metadata_uid", "query_hostname", "indicator", "threat_type", "first_seen")
+
+
+@query("ioc_valid_addresses", f"{VALID_SQL} SELECT DISTINCT source_ip, answers_rdata, time, indicator, last_seen FROM dns JOIN feed ON indicator_type = 'ip' AND (source_ip = indicator OR answers_rdata = indicator) AND (first_seen IS NULL OR time >= first_seen) AND (last_seen IS NULL OR time <= last_seen)")
+def ioc_valid_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = validity.valid_matches(binding.dns(spark, sf_dir), _valid_feed(spark, sf_dir), "ip", ["source_ip", "answers_rdata"])
+    return found.select("source_ip", "answers_rdata", "time", "indicator", "last_seen")
+
+
 COVERS = [("dns_event", 1, False), ("auth_event", 2, True), ("dns_event", 2, False)]
 COVERAGE_SQL = f"{DNS_SQL}, {OBSERVABLES_SQL}, types AS (SELECT DISTINCT type_id, type_name FROM obs UNION SELECT DISTINCT 30, 'Event Kind' FROM events WHERE event_type = 'view'), covers AS (SELECT * FROM (VALUES ('dns_event', 1, false), ('auth_event', 2, true), ('dns_event', 2, false)) c(entity, type_id, partial)), cov AS (SELECT t.type_id, type_name, coalesce(list_sort(list(entity) FILTER (WHERE entity IS NOT NULL)), []) AS entities, count(entity) AS n_entities, max(CASE WHEN entity IS NULL THEN 0.0 WHEN partial THEN 0.5 ELSE 1.0 END)::DOUBLE AS covered FROM types t LEFT JOIN covers c ON t.type_id = c.type_id GROUP BY 1, 2)"
 

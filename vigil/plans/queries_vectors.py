@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.operators import changes, vectors
+from vigil.operators import changes, terms, vectors
 
 from . import binding
 from .registry import query
@@ -123,5 +123,22 @@ TERMS = [("dns_event", "source_ip", ["client ip", "src"]), ("dns_event", "query_
 @query("resolve_terms", "WITH t AS (SELECT DISTINCT upper(event_type) AS term FROM events UNION SELECT DISTINCT 'Source_IP' FROM events UNION SELECT DISTINCT 'DOMAIN' FROM events) SELECT term, CASE term WHEN 'Source_IP' THEN 'dns_event' WHEN 'DOMAIN' THEN 'dns_event' END AS entity, CASE term WHEN 'Source_IP' THEN 'source_ip' WHEN 'DOMAIN' THEN 'query_hostname' END AS attribute, CASE term WHEN 'Source_IP' THEN 'canonical' WHEN 'DOMAIN' THEN 'synonym' ELSE 'none' END AS matched, CASE WHEN term IN ('Source_IP', 'DOMAIN') THEN NULL WHEN term = 'PURCHASE' THEN 'purchase_total' WHEN term = 'VIEW' THEN 'query_hostname' WHEN term = 'CLICK' THEN 'source_ip' ELSE '' END AS suggested FROM t")
 def resolve_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = binding.table(spark, sf_dir, "events").select(F.explode(F.array(F.upper("event_type"), F.lit("Source_IP"), F.lit("DOMAIN"))).alias("term"))
-    found = vectors.resolve_terms(kinds, spark.createDataFrame(TERMS, "entity string, attribute string, synonyms array<string>"))
+    found = terms.resolve_terms(kinds, spark.createDataFrame(TERMS, "entity string, attribute string, synonyms array<string>"))
     return found.withColumn("suggested", F.array_join("suggestions", ",")).drop("suggestions")
+
+
+#: Words of texts as terms, and the benchmark's beginnings as names.
+NEAR_SQL = r"""WITH t AS (SELECT DISTINCT lower(w) AS term FROM (SELECT DISTINCT unnest(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' ')) AS w FROM conversations) x WHERE length(w) > 0),
+n AS (SELECT DISTINCT lower(array_to_string(string_split(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), ' ')[1:2], ' ')) AS name FROM benchmark),
+p AS (SELECT term, name, len(list_filter(range(1, 1 + least(length(term), length(name))), lambda i: term[:i] = name[:i])) AS common, len(list_intersect(string_split(term, ' '), string_split(name, ' '))) AS words FROM t, n WHERE length(name) > 0),
+s AS (SELECT term, name, CASE WHEN contains(term, name) OR contains(name, term) THEN 100 WHEN common >= 3 THEN common * 10 WHEN words > 0 THEN words * 20 END AS score FROM p)
+SELECT term, name, score::INT AS score FROM s WHERE score IS NOT NULL"""
+
+
+@query("near_names", NEAR_SQL)
+def near_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all conversations against the first two words of all benchmark texts, by the inverted index."""
+    plain = F.regexp_replace("text", "[^a-zA-Z ]", "")
+    words = binding.table(spark, sf_dir, "conversations").select(F.explode(F.split(F.lower(plain), " ")).alias("term"))
+    names = binding.table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split(F.lower(plain), " "), 1, 2), " ").alias("name"))
+    return terms.near_names(words, names)

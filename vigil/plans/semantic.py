@@ -167,7 +167,7 @@ def run(query: SemanticQuery, model: Model, bind: Bind, observables: DataFrame |
         other = part.withColumnsRenamed({n: f"{n}_{i}" for n in names})
         same = [found[n].eqNullSafe(other[f"{n}_{i}"]) for n in names]
         found = (found.join(other, same) if same else found.crossJoin(other)).drop(*(f"{n}_{i}" for n in names))
-    return _finish(_with_formulas(found, query, model).select(*names, *query.metrics), query)
+    return _finish(with_formulas(found, query, model).select(*names, *query.metrics), query)
 
 
 def _last_values(df: DataFrame, groups: list[Column], names: list[str], entity: Entity, m: Metric) -> DataFrame:
@@ -238,7 +238,7 @@ def formula_column(formula: str) -> Column:
         raise ValueError(f"{formula!r} is no formula") from None
 
 
-def _with_formulas(df: DataFrame, query: SemanticQuery, model: Model) -> DataFrame:
+def with_formulas(df: DataFrame, query: SemanticQuery, model: Model) -> DataFrame:
     """Add metrics with formulas, inner ones first."""
 
     def add(df: DataFrame, name: str) -> DataFrame:
@@ -267,7 +267,7 @@ def _hot(query: SemanticQuery, model: Model, observables: DataFrame) -> DataFram
     grouped = df.groupBy(*bucket, "type_id")
     distinct = F.approx_count_distinct if query.approx else F.count_distinct
     counted = grouped.agg(*(((distinct("value")) if m.aggregation == "count_distinct" else F.count(F.lit(1))).alias(m.name) for m in metrics))
-    return _with_formulas(counted, query, model).select(*(["time_bucket"] if bucket else []), "type_id", *query.metrics)
+    return with_formulas(counted, query, model).select(*(["time_bucket"] if bucket else []), "type_id", *query.metrics)
 
 
 def _finish(df: DataFrame, query: SemanticQuery) -> DataFrame:
