@@ -24,6 +24,8 @@ from .shared import Workspace, carried, nothing_kept, restored, text_batches
 
 #: A band is shared with probability s^ROWS at similarity s, one of all with 1 - (1 - s^ROWS)^BANDS.
 BANDS, ROWS = 32, 6
+#: Pairs of so many bands are confirmed first; of the others' only those that these leave in different components.
+FIRST_BANDS = 4
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -133,6 +135,20 @@ def _roots(nodes: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
     return work.table(nodes.join(roots, "node", "left").select(*nodes.columns, F.coalesce("root", "node").alias("root")), "roots")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components so far; to confirm the others would change nothing."""
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    return pairs.join(end("a"), "a").join(end("b"), "b").where("a_root <> b_root").select("a", "b")
+
+
+def _joined_roots(roots: DataFrame, pairs: DataFrame, work: Workspace) -> DataFrame:
+    """``roots`` after further confirmed pairs; only the components that these join are gone through again."""
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    between = pairs.join(end("a"), "a").join(end("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a <> b").distinct()
+    over = connected(between, work).select(F.col("node").alias("root"), F.col("root").alias("over"))
+    return work.table(roots.join(over, "root", "left").select("node", F.coalesce("over", "root").alias("root")), "roots")
+
+
 def one_of_each(docs: DataFrame, width: int, radius: int, least: float, work: Workspace) -> DataFrame:
     """One row of ``docs`` of each group that pairs of similarity ``least`` connect, that of the smallest doc_id
     (null last), with its columns.
@@ -147,10 +163,10 @@ def one_of_each(docs: DataFrame, width: int, radius: int, least: float, work: Wo
     nodes = work.table(rows.groupBy("node").agg(F.min(order).alias("first"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     plain = nodes.select("node", "first")
 
-    places = nodes.select("node", F.explode("bands").alias("key"))
+    places = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = work.table(places.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("one")).where("n > 1"), "buckets")
     members = work.table(places.join(buckets, "key"), "members")
-    stars = work.table(members.where("node <> one").select(F.col("node").alias("a"), F.col("one").alias("b")).distinct(), "stars")
+    stars = work.table(members.where("node <> one").groupBy(F.col("node").alias("a"), F.col("one").alias("b")).agg(F.min("band").alias("band")), "stars")
 
     leaders = work.table(nodes.groupBy("fp").agg(F.min("node").alias("one")), "leaders")
     linked = work.table(links(leaders.select("fp"), radius, work).distinct(), "links")
@@ -164,19 +180,19 @@ def one_of_each(docs: DataFrame, width: int, radius: int, least: float, work: Wo
     firsts = work.table(plain.join(needed, "node", "left_semi").select("node", F.col("first.row").alias("row")), "needed")
     sets = work.table(_sets(rows.select("row", "text").join(firsts, "row"), width), "sets")
 
-    found = work.table(_confirmed(stars, sets, least), "confirmed")
+    found = work.table(_confirmed(stars.where(F.col("band") < FIRST_BANDS).select("a", "b"), sets, least), "confirmed")
     roots = _roots(plain.select("node"), found, work)
+    rest = stars.where(F.col("band") >= FIRST_BANDS).select("a", "b")
+    more = work.table(_confirmed(_apart(rest, roots), sets, least), "more")
+    roots = _joined_roots(roots, more, work)
     mixed = members.where("n > 2").join(roots, "node")
     # buckets of the same members are compared once
     mixed = work.table(mixed, "mixed")
     sums = mixed.groupBy("key").agg(F.min("n").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
     keys = work.table(sums.where("low <> high").groupBy("n", "h").agg(F.min("key").alias("key")).select("key"), "open")
     across = work.table(_across(mixed.join(keys, "key", "left_semi"), sets, least), "across")
-    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    apart = linked.join(end("a"), "a").join(end("b"), "b").where("a_root <> b_root").select("a", "b")
-    found = work.table(found.unionByName(across).unionByName(_confirmed(apart, sets, least)), "all")
-
-    named = _roots(plain, found, work)
+    last = work.table(across.unionByName(_confirmed(_apart(linked, roots), sets, least)), "last")
+    named = plain.join(_joined_roots(roots, last, work), "node")
     stay = work.table(named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row")), "stay")
     work.keep_only("rows", "stay")
     return restored(rows.join(stay.hint("merge"), "row", "left_semi"), docs)
