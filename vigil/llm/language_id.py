@@ -23,7 +23,7 @@ from .shared import kept_in_worker, nothing_kept, text_batches, text_bytes
 #: most frequent ones).
 TRAIN_DOCS, TRAIN_WINDOWS, LANGUAGES = 400, 4, 64
 #: Bytes of a window, and of a training window; windows that are read together.
-WINDOW, TRAIN_LENGTH, LANES = 128, 64, 2048
+WINDOW, TRAIN_LENGTH, LANES = 128, 64, 1024
 #: States of each network.
 STATES = 12
 EPOCHS, BATCH, RATE = 4, 128, 0.02
@@ -188,6 +188,57 @@ def fit(docs: DataFrame) -> tuple[list[str], Weights | None]:
     return langs, made
 
 
+def _flat(w: Weights) -> Weights:
+    """Weights for ``pooled``: a row for each unit, so that all windows' numbers of a unit lie together, and those of gates
+    halved, as the logistic function is a hyperbolic tangent of the half."""
+    n = w["rec_f"].shape[0]
+    half = np.repeat(np.array([0.5, 0.5, 1], np.float32), n)[:, None]
+    made = {f"{k}_{d}": np.ascontiguousarray(w[f"{k}_{d}"].T * half) for d in "fb" for k in ("in", "rec")}
+    made |= {f"off_{d}": w[f"off_{d}"][:, None] for d in "fb"}
+    return made | {"out_f": np.ascontiguousarray(w["out"][:n].T), "out_b": np.ascontiguousarray(w["out"][n:].T), "out0": w["out0"][:, None]}
+
+
+def pooled(w: Weights, codes: np.ndarray, live: np.ndarray | None) -> np.ndarray:
+    """The sums, over all positions, of the probabilities of ``position_odds``: (language, window). ``w`` as ``_flat`` gives it."""
+    n = w["off_f"].shape[0]
+
+    def step(d: str, t: int, h: np.ndarray) -> np.ndarray:
+        x, u = np.take(w[f"in_{d}"], codes[t], axis=1), w[f"rec_{d}"] @ h
+        gates, new, inner = x[: 2 * n], x[2 * n :], u[2 * n :]
+        gates += u[: 2 * n]
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= 0.5
+        inner += w[f"off_{d}"]
+        inner *= gates[n:]
+        new += inner
+        np.tanh(new, out=new)
+        h = h - new
+        h *= gates[:n]
+        h += new
+        return h
+
+    states = np.empty((len(codes), n, codes.shape[1]), np.float32)
+    h = np.zeros((n, codes.shape[1]), np.float32)
+    for t in range(len(codes)):
+        states[t] = h = step("f", t, h)
+    total = np.zeros((w["out0"].shape[0], codes.shape[1]), np.float32)
+    h = np.zeros((n, codes.shape[1]), np.float32)
+    for t in range(len(codes) - 1, -1, -1):
+        h = step("b", t, h)
+        if live is not None:
+            h *= live[t]
+        chance = w["out_f"] @ states[t]
+        chance += w["out_b"] @ h
+        chance += w["out0"]
+        chance -= chance.max(0)
+        np.exp(chance, out=chance)
+        # past a window's end all chances are 0
+        chance /= chance.sum(0) if live is None else np.where(live[t] > 0, chance.sum(0), np.inf)
+        total += chance
+    return total
+
+
 def chances(w: Weights, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Each text's mean probabilities over all its bytes, and the number of bytes."""
     bounds, data = text_bytes(texts)
@@ -196,7 +247,7 @@ def chances(w: Weights, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(sizes)), n_windows)
     start = bounds[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)) * WINDOW
     length = np.minimum(WINDOW, bounds[1:][owner] - start)
-    sums = np.zeros((len(sizes), w["out0"].shape[0]))
+    sums, flat = np.zeros((len(sizes), w["out0"].shape[0])), _flat(w)
     by = np.argsort(-length, kind="stable")  # windows of like lengths together
     for k in range(0, len(by), LANES):
         some = by[k : k + LANES]
@@ -204,13 +255,9 @@ def chances(w: Weights, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         place = np.arange(steps)[:, None]
         live = place < length[some]
         codes = data[np.where(live, start[some] + place, 0)]
-        full = bool(live.all())
-        chance = _softmax(position_odds(w, codes, None if full else live.astype(np.float32)))
-        if not full:
-            chance *= live[:, :, None]
-        total = chance.sum(0)
-        for c in range(total.shape[1]):
-            sums[:, c] += np.bincount(owner[some], total[:, c], len(sizes))
+        total = pooled(flat, codes, None if live.all() else live.astype(np.float32))
+        for c in range(len(total)):
+            sums[:, c] += np.bincount(owner[some], total[c], len(sizes))
     return sums / np.maximum(1, sizes)[:, None], sizes
 
 
