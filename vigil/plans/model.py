@@ -144,7 +144,8 @@ def formula_names(formula: str) -> list[str]:
         tree = ast.parse(formula, mode="eval")
     except SyntaxError:
         raise ValueError(f"{formula!r} is no formula") from None
-    return list(dict.fromkeys(node.id for node in ast.walk(tree) if isinstance(node, ast.Name)))
+    names = [node for node in ast.walk(tree) if isinstance(node, ast.Name)]
+    return list(dict.fromkeys(node.id for node in sorted(names, key=lambda node: (node.lineno, node.col_offset))))
 
 
 def validate(query: SemanticQuery, model: Model) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vigil.sources import logs
 from vigil.sources.events import shared_folder, stream_files
-from vigil.streaming import rollups, streams
+from vigil.streaming import pairs, rollups, streams
 
 from . import binding
 from .binding import DNS_SQL, FEED_SQL
@@ -143,13 +143,33 @@ def stream_beaconing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ntz(found.withColumns({c: F.round(c, 4) for c in ("avg_interval", "interval_stddev")}), "last_seen")
 
 
-@query("stream_first_seen", f"{DNS_SQL} SELECT query_hostname AS key, min(time) AS first_seen FROM dns GROUP BY 1")
-def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("stream_beaconing_state", BEACON_SQL)
+def stream_beaconing_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from keyed state, read back from the checkpoint; the delay lets all rows in."""
     streams.use_keyed_state(spark)
-    updates = streams.run_once(streams.stream_first_seen(dns_stream(spark, sf_dir, 1), "query_hostname"), shared_folder(spark, "first"), "update")
+    path = shared_folder(spark, "pairs")
+    streams.run_once(pairs.stream_pair_gaps(dns_stream(spark, sf_dir, 1), "60 days"), path, "update")
+    found = pairs.beacons_of_state(spark, f"{path}/state", 10, 1.0)
+    return _ntz(found.withColumns({c: F.round(c, 4) for c in ("avg_interval", "interval_stddev")}), "last_seen")
+
+
+def _odd_times(events: DataFrame) -> DataFrame:
+    """Some events without a time, some without a host."""
+    return events.withColumns({"time": F.when(F.col("k") % 11 != 5, F.col("time")), "query_hostname": F.when(F.col("k") % 13 != 6, F.col("query_hostname"))})
+
+
+FIRST_SQL = f"{DNS_SQL} SELECT CASE WHEN k % 13 <> 6 THEN query_hostname END AS key, min(time) AS first_seen FROM dns WHERE k % 11 <> 5 GROUP BY 1"
+
+
+def _last(updates: DataFrame) -> DataFrame:
     return _ntz(updates.groupBy("key").agg(F.max_by("first_seen", "trigger").alias("first_seen")), "first_seen")
 
 
+@query("stream_first_seen", FIRST_SQL)
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _last(streams.run_once(streams.stream_first_seen(_odd_times(dns_stream(spark, sf_dir, 1)), "query_hostname"), shared_folder(spark, "first"), "update"))
+
+
 @query("stream_dedupe", f"{DNS_SQL} SELECT DISTINCT metadata_uid FROM dns")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = dns_stream(spark, sf_dir, 2).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))

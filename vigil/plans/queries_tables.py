@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.operators import changes, lineage, parsing, profiling
+from vigil.operators import changes, lineage, parsing, profiling, range_hash, sketches
 from vigil.sources.events import shared_folder
 
 from . import binding
@@ -29,6 +29,26 @@ def column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiling.column_statistics(binding.table(spark, sf_dir, "documents"), "documents", PROFILED)
 
 
+SKETCHED = ["query_type", "k", "action"]
+
+
+def _sketch_sql(c: str, number: bool) -> str:
+    bounds = f"min({c})::DOUBLE AS min_number, NULL::VARCHAR AS min_text" if number else f"NULL::DOUBLE AS min_number, min({c}) AS min_text"
+    return f"SELECT '{c}' AS column_name, count(*) AS total_count, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count, {bounds}, (SELECT max(n) FROM (SELECT count(*) AS n FROM chosen GROUP BY {c})) AS top_count FROM chosen"
+
+
+@query("sketched_statistics", f"{DNS_SQL}, chosen AS (SELECT * FROM dns WHERE CAST(time AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-24') " + " UNION ALL ".join(_sketch_sql(c, c == "k") for c in SKETCHED))
+def sketched_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of twenty days from the days' sketches, which were made in two goes; these columns have few values, so that
+    the sketches are exact."""
+    path = shared_folder(spark, "sketches")
+    dns = binding.dns(spark, sf_dir).withColumn("day", F.to_date("time"))
+    sketches.add_partitions(dns.where("day < DATE'2024-01-15'"), SKETCHED, "day", path)
+    sketches.add_partitions(dns, SKETCHED, "day", path)
+    found = sketches.merge(sketches.read_sketches(spark, path), F.col("partition").between("2024-01-05", "2024-01-24"))
+    return found.select("column_name", "total_count", "null_count", "distinct_count", "min_number", "min_text", F.get("frequent", F.lit(0))["count"].alias("top_count"))
+
+
 @query("stale_statistics", f"WITH s AS (SELECT event_type AS table_name, max(ts) - INTERVAL 1 DAY * (user_id % 4) AS collected_at FROM events GROUP BY event_type, user_id % 4), n AS (SELECT table_name, min(collected_at) AS collected_at FROM s GROUP BY 1) SELECT * FROM n WHERE collected_at < {AS_OF_SQL} - INTERVAL 86400 SECOND")
 def stale_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = binding.table(spark, sf_dir, "events").groupBy("event_type", F.expr("user_id % 4").alias("d")).agg(F.max("ts").alias("t")).selectExpr("event_type AS table_name", "t - make_dt_interval(CAST(d AS INT)) AS collected_at")
@@ -285,6 +305,15 @@ def content_hash_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.content_hash_changes(state, new, "key", ["role", "text"]).drop("now_hash")
 
 
+@query("snapshot_changes", f"WITH o AS ({OLD}), n AS ({NEW}) SELECT * FROM (SELECT coalesce(o.conv_id, n.conv_id) || '-' || coalesce(o.turn, n.turn) AS key, CASE WHEN o.conv_id IS NULL THEN 'added' WHEN n.conv_id IS NULL THEN 'removed' WHEN o.role IS DISTINCT FROM n.role OR o.text IS DISTINCT FROM n.text THEN 'modified' END AS change FROM o FULL JOIN n ON o.conv_id = n.conv_id AND o.turn = n.turn) WHERE change IS NOT NULL")
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes from two written snapshots and their trees of hashes."""
+    path = shared_folder(spark, "snapshots")
+    for name, df in zip(("old", "new"), snapshots(spark, sf_dir), strict=True):
+        range_hash.write_snapshot(df.withColumn("key", F.concat_ws("-", "conv_id", "turn")), f"{path}/{name}", "key", ["role", "text"])
+    return range_hash.snapshot_changes(spark, f"{path}/old", f"{path}/new", "key")
+
+
 @query("merge_newest", f"WITH o AS ({OLD}), n AS ({NEW}), l AS (SELECT conv_id, turn, role, conv_id % 3 AS version FROM o), r AS (SELECT conv_id, turn, role, turn % 3 AS version FROM n) SELECT coalesce(l.conv_id, r.conv_id) AS conv_id, coalesce(l.turn, r.turn) AS turn, CASE WHEN l.conv_id IS NULL OR r.version > l.version THEN r.role ELSE l.role END AS role, CASE WHEN l.conv_id IS NULL OR r.version > l.version THEN r.version ELSE l.version END AS version FROM l FULL JOIN r ON l.conv_id = r.conv_id AND l.turn = r.turn")
 def merge_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = snapshots(spark, sf_dir)

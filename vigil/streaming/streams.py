@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -17,6 +18,7 @@ from vigil.operators.hunting import seconds_between
 from vigil.operators.mapping import Spec, apply_mapping
 from vigil.operators.observables import extract_observables
 from vigil.functions.computed import host_suffixes
+from vigil.sources import folders
 
 #: State that keeps single values per key needs this store.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -67,11 +69,6 @@ def stream_dedupe(stream: DataFrame, key: str, delay: str, time: str = "time") -
 PAIR = ["source_ip", "query_hostname"]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def stream_beaconing(stream: DataFrame, path: str, checkpoint: str, chunk: str = "hour", every: str | None = None) -> StreamingQuery:
     """Keep the gaps between the events of each pair of client and host up to date; ``beacons`` reads them.
 
@@ -116,19 +113,20 @@ def beacons(spark: SparkSession, path: str, min_beacons: int = 10, jitter: float
 
 
 class FirstSeen(StatefulProcessor):
-    """The first time of a key; given when the key is new and again when an earlier event comes late."""
+    """The first time of a key, which is forgotten some time after its last change; given when the key is new and again when
+    an earlier event comes late."""
 
-    def __init__(self, ttl: int | None):
+    def __init__(self, ttl: int):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("seen", "at long", self.ttl)
 
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
-        at = min(r["at"] for r in rows)
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = min(int(some["at"].min()) for some in rows)
         if not self.state.exists() or at < self.state.get()[0]:
             self.state.update((at,))
-            yield Row(key=str(key[0]), first_seen=at)
+            yield pd.DataFrame({"key": [key[0]], "first_seen": [at]})
 
     def close(self) -> None:
         pass
@@ -137,11 +135,15 @@ class FirstSeen(StatefulProcessor):
 def stream_first_seen(stream: DataFrame, key: str, ttl_seconds: int | None = None) -> DataFrame:
     """Keys never seen before with the time of their first event; of the rows of a key the last one holds.
 
-    With ``ttl_seconds`` a key is forgotten that long after its last change, and is new when it comes again.
+    Rows without a time are left out; a null key is a key. Events are counted down to one a key and task before they
+    are dealt. With ``ttl_seconds`` a key is forgotten that long after its last change, and is new when it comes again; for
+    that, events go to a keyed processor in batches. Such a query looks at the clock, so it goes on until it is stopped.
     """
-    processor = FirstSeen(ttl_seconds * 1000 if ttl_seconds else None)
-    keyed = stream.select(F.col(key).cast("string").alias("key"), F.unix_micros("time").alias("at")).groupBy("key")
-    found = keyed.transformWithState(statefulProcessor=processor, outputStructType="key string, first_seen long", outputMode="Update", timeMode="ProcessingTime" if ttl_seconds else "None")
+    keyed = stream.where(F.col("time").isNotNull()).select(F.col(key).cast("string").alias("key"), F.unix_micros("time").alias("at"))
+    if ttl_seconds is None:
+        found = keyed.groupBy("key").agg(F.min("at").alias("first_seen"))
+    else:
+        found = keyed.groupBy("key").transformWithStateInPandas(FirstSeen(ttl_seconds * 1000), "key string, first_seen long", "Update", "ProcessingTime")
     return found.select("key", F.timestamp_micros("first_seen").alias("first_seen"))
 
 
@@ -155,7 +157,7 @@ def stream_refresh(stream: DataFrame, path: str, checkpoint: str, key: str = "ob
     def insert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.withColumn("event_date", F.to_date(time)).dropDuplicates([key])
-        if _exists(spark, path):
+        if folders.exists(spark, path):
             days = [r.event_date for r in new.select("event_date").distinct().collect()]  # the days of one trigger
             held = spark.read.schema(new.schema).parquet(path)
             held = held.where(F.col("event_date").isin(days) | (F.lit(None in days) & F.col("event_date").isNull()))
