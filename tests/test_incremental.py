@@ -6,10 +6,11 @@ import random
 from datetime import datetime
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigil.operators import mapping, parsing, partitions, range_hash, sketches, terms, validity
+from vigil.operators import catalogue, mapping, parsing, partitions, range_hash, sketches, terms, validity, vectors
 from vigil.plans import binding, queries_semantic, registry, routing
 from vigil.plans.model import SemanticQuery, formula_names
 from vigil.sources import csv_files, folders, indexed, logs
@@ -230,6 +231,24 @@ def test_hash_trees_lead_to_the_rows_that_differ(spark):
     assert range_hash.snapshot_changes(spark, f"{path}/old", f"{path}/same", "key").count() == 0
 
 
+def test_catalogue_recall_and_exactness(spark):
+    draw = np.random.default_rng(5)
+    middles = draw.normal(0, 1, (40, 16))
+    rows = [(i, (middles[i % 40] + draw.normal(0, 0.4, 16)).tolist()) for i in range(3000)] + [(3000, [0.0] * 16), (3001, None)]
+    corpus = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = corpus.where("id % 50 = 0")
+    path = shared_folder(spark, "catalogue")
+    catalogue.build_index(corpus, path, 40)
+    assert spark.read.parquet(f"{path}/lists").count() == 3001
+    pairs_of = lambda df: {(r.query_id, r["rank"], r.id) for r in df.collect()}
+    want = pairs_of(vectors.cosine_topk(asked, corpus.where("vector IS NOT NULL"), 5, 16))
+    assert pairs_of(catalogue.search(asked, path, 5, probes=2, exact=True)) == want
+    found = {(q, i) for q, _, i in pairs_of(catalogue.search(asked, path, 5, probes=4))}
+    assert len(found & {(q, i) for q, _, i in want}) >= 0.9 * len(want)
+    numbers, cells = catalogue.read_cells(spark, path)
+    assert sum(sorted(cells.sizes)[-4:]) < 0.3 * 3001 and len(numbers) > 20  # what a search opens at most
+
+
 def test_first_seen_with_a_time_to_live(spark):
     streams.use_keyed_state(spark)
     incoming = shared_folder(spark, "in")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,21 +19,8 @@ STRETCH, FOLDS = 1000, 3
 LEAST_SCORE, EXTENSION_BELOW, CONFIRMED, DECAY = 0.3, 0.5, 0.2, 0.5
 
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, dims: int, where: Column | None = None, min_score: float | None = None, but_own: bool = False) -> DataFrame:
-    """(query_id, rank, id, score): each query's k most similar rows of ``corpus``; both have (id, vector). With ``but_own``
-    rows of the query's own id are left out.
-
-    Both sides are dealt into blocks of bounded size; each task multiplies one block with one other and keeps
-    k rows a query. A zero vector has similarity 0; a vector of other dimensions is an error.
-    """
-    if k <= 0:
-        return queries.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
-    corpus = corpus.where(where) if where is not None else corpus
-    checked = lambda df: df.select("id", F.when(F.size("vector") == dims, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector has not {dims} dimensions"))).cast("array<double>").alias("vector"))
-    n_queries = max(1, -(-queries.count() // QUERY_BLOCK))
-    n_corpus = max(1, -(-corpus.count() // CORPUS_BLOCK))
-    deal = lambda df, own, n, other, m: checked(df).withColumns({own: F.pmod(F.xxhash64("id"), F.lit(n)), other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
-    left, right = deal(queries, "q", n_queries, "c", n_corpus), deal(corpus, "c", n_corpus, "q", n_queries)
+def best_of_blocks(k: int, but_own: bool) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """A function that gives (query_id, id, score) of the k most similar rows of one block for each row of another."""
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "id": [], "score": []}
@@ -48,8 +37,27 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, dims: int, where:
             out = {"query_id": np.repeat(a["id"].to_numpy(), first.shape[1])[good], "id": b["id"].to_numpy()[first.ravel()][good], "score": found[good]}
         return pd.DataFrame(out)
 
+    return compare
+
+
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, dims: int, where: Column | None = None, min_score: float | None = None, but_own: bool = False) -> DataFrame:
+    """(query_id, rank, id, score): each query's k most similar rows of ``corpus``; both have (id, vector). With ``but_own``
+    rows of the query's own id are left out.
+
+    Both sides are dealt into blocks of bounded size; each task multiplies one block with one other and keeps
+    k rows a query. A zero vector has similarity 0; a vector of other dimensions is an error.
+    """
+    if k <= 0:
+        return queries.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(0.0).alias("score")).limit(0)
+    corpus = corpus.where(where) if where is not None else corpus
+    checked = lambda df: df.select("id", F.when(F.size("vector") == dims, F.col("vector")).otherwise(F.raise_error(F.lit(f"a vector has not {dims} dimensions"))).cast("array<double>").alias("vector"))
+    n_queries = max(1, -(-queries.count() // QUERY_BLOCK))
+    n_corpus = max(1, -(-corpus.count() // CORPUS_BLOCK))
+    deal = lambda df, own, n, other, m: checked(df).withColumns({own: F.pmod(F.xxhash64("id"), F.lit(n)), other: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))})
+    left, right = deal(queries, "q", n_queries, "c", n_corpus), deal(corpus, "c", n_corpus, "q", n_queries)
+
     kind = dict(queries.dtypes)["id"]
-    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(compare, f"query_id {kind}, id {dict(corpus.dtypes)['id']}, score double")
+    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(best_of_blocks(k, but_own), f"query_id {kind}, id {dict(corpus.dtypes)['id']}, score double")
     if min_score is not None:
         found = found.where(F.col("score") >= min_score)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.operators import changes, terms, vectors
+from vigil.operators import catalogue, changes, terms, vectors
+from vigil.sources.events import shared_folder
 
 from . import binding
 from .registry import query
@@ -29,6 +30,18 @@ def vector_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.cosine_topk(*_vectors(spark, sf_dir), 5, DIMS, where=F.col("label").isin(1, 2), min_score=0.2, but_own=True).withColumn("score", F.round("score", 6))
 
 
+CELLS = 32
+
+
+@query("catalogue_search", f"WITH {PAIRS_SQL}, r AS (SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id))::INT AS rank FROM pairs) SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 5")
+def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest by an index of cells, which goes on until no other cell can hold a nearer one."""
+    asked, corpus = _vectors(spark, sf_dir)
+    path = shared_folder(spark, "catalogue")
+    catalogue.build_index(corpus, path, CELLS)
+    return catalogue.search(asked, path, 5, probes=4, exact=True, but_own=True).withColumn("score", F.round("score", 6))
+
+
 @query("hash_embedding", "SELECT count(*) AS n_texts, count(DISTINCT text) AS n_vectors, 384 AS dims, 1.0::DOUBLE AS least_size, 1.0::DOUBLE AS largest_size FROM documents WHERE length(text) > 0")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the documents' vectors: as many as there are different texts, and all of size one."""
