@@ -25,7 +25,7 @@ TRAIN_DOCS, TRAIN_WINDOWS, LANGUAGES = 400, 4, 64
 #: Bytes of a window, and of a training window; windows that are read together.
 WINDOW, TRAIN_LENGTH, LANES = 128, 64, 1024
 #: States of each network.
-STATES = 12
+STATES = 8
 EPOCHS, BATCH, RATE = 4, 128, 0.02
 UNKNOWN = "und"
 
