@@ -96,6 +96,25 @@ def test_leaves_are_left_out(spark, work, monkeypatch):
     assert met[0] == 29 and met[1] < 0.4 * 29 * 28
 
 
+def test_crowded_leaves_are_split_into_shells(spark, work, monkeypatch):
+    """Few leaves and many vectors, some of them equal: results are exact and a query meets few of the shards."""
+    monkeypatch.setattr(vantage, "SHARD", 50)
+    monkeypatch.setattr(vantage, "TOP_LEAVES", 4)
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.uniform(0, 1000, 3)).tolist()) for i in range(2500)] + [(5000 + i, [1.0, 2.0, 3.0]) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    met, write = {}, work.table
+
+    def kept(df, name):
+        found = write(df, name)
+        met.setdefault(name, []).append(found.count())
+        return found
+
+    monkeypatch.setattr(work, "table", kept)
+    check_nearest(vantage.nearest(table, work).collect(), list(plain_nearest(rows, 10, 100)))
+    assert met["shards"][0] >= 50 and met["pairs"][0] == 29 and met["pairs"][1] < 0.5 * 29 * met["shards"][0]
+
+
 def test_nearest_odd_rows(spark, work, monkeypatch):
     monkeypatch.setattr(vantage, "LEAF", 4)
     rng = np.random.default_rng(5)

@@ -6,8 +6,9 @@ the other. The triangle inequality bounds how near a side can be. A side is left
 
 Shards are the leaves of such a tree too: a top tree over a bounded sample, down which every vector is routed. A leaf
 keeps the least and largest distance of its vectors to the vantage points above it. A query first searches the leaf
-that it falls into; its k-th nearest there then leaves out all other leaves that the same bound rules out. Crowded
-leaves are split by row into shards of bounded size.
+that it falls into; its k-th nearest there then leaves out all other leaves that the same bound rules out. A crowded leaf is
+split into shells by the distance to its last vantage point; each shell keeps its own bounds for all points above it, so
+shells are left out one by one. Only a shell that is still crowded, as by equal vectors, is split by row.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SHARD, QUERY_BLOCK, LEAF = 16_384, 2_048, 128
 #: Leaves of the top tree at most, and vectors in the sample for each of them. The sample only shapes the tree: every
 #: vector is routed and searched.
 TOP_LEAVES, SAMPLE_EACH = 512, 8
+#: Shells of a leaf at most, and parts of one that rows are dealt to.
+SHELLS, PARTS = 64, 1 << 24
 SHARDS = "dim int, leaf int, shard int, rows array<long>, ids array<long>, point array<int>, points binary, nodes binary, order array<int>"
 FOUND = "row long, query_id long, vec_id long, score double"
 NODE = np.dtype([("at", "<i4"), ("middle", "<f8"), ("inner", "<i4"), ("outer", "<i4"), ("start", "<i4"), ("stop", "<i4")])
@@ -202,14 +205,17 @@ class Top:
         """Distances to all vantage points."""
         return distances(vectors, np.stack(self.points)) if self.points else np.zeros((len(vectors), 0))
 
-    def route(self, away: np.ndarray) -> np.ndarray:
-        """The leaf of each vector, from its distances to the vantage points."""
-        at = np.full(len(away), self.root)
+    def route(self, vectors: np.ndarray) -> tuple[np.ndarray, list[list[float]]]:
+        """The leaf of each vector, and its distances to the vantage points above, node by node."""
+        at, away = np.full(len(vectors), self.root), [[] for _ in range(len(vectors))]
         while (some := np.flatnonzero(at >= 0)).size:
-            node = at[some]
-            outside = away[some, node] > np.array(self.middles)[node]
-            at[some] = np.array(self.children)[node, outside.astype(int)]
-        return -1 - at
+            for node in np.unique(at[some]).tolist():
+                mine = some[at[some] == node]
+                far = distances(vectors[mine], self.points[node][None])[:, 0]
+                for i, x in zip(mine.tolist(), far.tolist(), strict=True):
+                    away[i].append(x)
+                at[mine] = np.array(self.children[node])[(far > self.middles[node]).astype(int)]
+        return -1 - at, away
 
     def bounds(self, away: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """How near each query can be to each leaf's vectors, of which ``low`` and ``high`` hold the distances."""
@@ -250,9 +256,30 @@ def index(routed: DataFrame, k: int) -> DataFrame:
     return routed.groupBy("dim", "leaf", "shard").applyInPandas(make, SHARDS)
 
 
+def _dealt(routed: DataFrame) -> DataFrame:
+    """``routed`` with a shard: the shell of its leaf by the distance to the last vantage point, and a part of a crowded shell."""
+    last = F.when(F.size("away") > 0, F.element_at("away", -1))
+    leaves = routed.groupBy("dim", "leaf").agg(F.least(F.ceil(F.count("*") / SHARD), F.lit(SHELLS)).alias("shells"), F.percentile_approx(last, [i / SHELLS for i in range(1, SHELLS)], 10_000).alias("cuts"))
+    place = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda c: c < last))
+    shelled = routed.join(leaves, ["dim", "leaf"]).withColumn("shell", F.floor(F.when(last.isNull(), 0).otherwise(place) * F.col("shells") / SHELLS)).drop("cuts", "shells")
+    parts = shelled.groupBy("dim", "leaf", "shell").agg(F.ceil(F.count("*") / SHARD).alias("parts"))
+    part = F.pmod(F.xxhash64("row", F.lit(1)), F.col("parts"))
+    return shelled.join(parts, ["dim", "leaf", "shell"]).withColumn("shard", (F.col("shell") * PARTS + part).cast("int")).drop("shell", "parts")
+
+
+def _limits(dealt: DataFrame) -> DataFrame:
+    """(dim, leaf, shard, limits): the least and largest distances of a shard's vectors to the vantage points above."""
+    each = dealt.select("dim", "leaf", "shard", F.posexplode_outer("away").alias("place", "far")).groupBy("dim", "leaf", "shard", "place").agg(F.min("far").alias("low"), F.max("far").alias("high"))
+    return each.groupBy("dim", "leaf", "shard").agg(F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "low", "high")))).alias("limits"))
+
+
 def _searched(asked: DataFrame, trees: DataFrame, shards: DataFrame, k: int, factor: float, work: Workspace) -> DataFrame:
-    """(row, query_id, vec_id, score) of queries (row, vec_id, v, dim, leaf, bound) in all shards of their leaf."""
-    pairs = work.table(asked.join(shards, ["dim", "leaf"]), "pairs")
+    """(row, query_id, vec_id, score) of queries (row, vec_id, v, dim, leaf, bound, away) in the shards of their leaf that
+    their bounds allow; if ``home`` is true in their ``shard`` alone, else in all but that."""
+    gap = lambda x: F.greatest(x["low"] - F.get("away", x["place"]), F.get("away", x["place"]) - x["high"])
+    excluded = F.exists("limits", lambda x: gap(x) * factor > F.col("bound") * (1 + 1e-12) + 1e-12)
+    met = asked.withColumnRenamed("shard", "own").join(shards, ["dim", "leaf"])
+    pairs = work.table(met.where(F.when(F.col("home"), F.col("own") == F.col("shard")).otherwise((F.col("own") != F.col("shard")) & ~excluded)).select("row", "vec_id", "v", "dim", "leaf", "shard", "bound"), "pairs")
     counts = work.table(pairs.groupBy("dim", "leaf", "shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("blocks")), "blocks")
     left = pairs.join(counts, ["dim", "leaf", "shard"]).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks"))).drop("blocks")
     right = trees.join(counts, ["dim", "leaf", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
@@ -284,22 +311,20 @@ def nearest(vectors: DataFrame, work: Workspace, k: int = 10, every: int = 100,
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             leaf = np.zeros(len(batch), np.int32)
-            away: list[np.ndarray] = [np.zeros(0)] * len(batch)
+            away: list[list[float]] = [[]] * len(batch)
             for d, at in batch.groupby("dim").indices.items():
                 if d in top.value:
-                    found = top.value[d].away(np.stack(batch["v"].to_numpy()[at]))
-                    leaf[at] = top.value[d].route(found)
+                    leaf[at], found = top.value[d].route(np.stack(batch["v"].to_numpy()[at]))
                     for i, x in zip(at, found, strict=True):
-                        away[i] = x[top.value[d].paths[leaf[i]]]
+                        away[i] = x
             yield batch.assign(leaf=leaf, away=away)
 
     routed = work.table(rows.mapInPandas(route, "vec_id long, v array<double>, dim int, row long, leaf int, away array<double>"), "routed")
-    sizes = routed.groupBy("dim", "leaf").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
-    dealt = routed.drop("away").join(sizes, ["dim", "leaf"]).withColumn("shard", F.pmod(F.xxhash64("row", F.lit(1)), F.col("shards")).cast("int")).drop("shards")
-    trees = work.table(index(dealt, k), "trees")
-    shards = work.table(trees.select("dim", "leaf", "shard"), "shards")
+    dealt = work.table(_dealt(routed), "dealt")
+    trees = work.table(index(dealt.drop("away"), k), "trees")
+    shards = work.table(_limits(dealt), "shards")
     # at most TOP_LEAVES leaves of a dimension, a few dozen vantage points above each
-    ends = routed.select("dim", "leaf", F.posexplode("away").alias("place", "away")).groupBy("dim", "leaf", "place").agg(F.min("away").alias("low"), F.max("away").alias("high")).collect()
+    ends = shards.select("dim", "leaf", F.inline("limits")).groupBy("dim", "leaf", "place").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
     limits: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d, t in top.value.items():
         limits[d] = np.full((len(t.paths), len(t.points)), np.inf), np.full((len(t.paths), len(t.points)), -np.inf)
@@ -308,11 +333,11 @@ def nearest(vectors: DataFrame, work: Workspace, k: int = 10, every: int = 100,
         limits[r.dim][0][r.leaf, point], limits[r.dim][1][r.leaf, point] = r.low, r.high
     bounds = rows.sparkSession.sparkContext.broadcast(limits)
 
-    asked = routed.where(F.col("vec_id") % every == 0).drop("away")
+    asked = dealt.where(F.col("vec_id") % every == 0).withColumn("home", F.lit(True))
     home = work.table(_searched(asked.withColumn("bound", F.lit(float("inf"))), trees, shards, k, factor, work), "home")
     # the k-th nearest at home, if there are so many
     kth = home.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("score"))).where(F.col("rank") == k).select("row", F.col("score").alias("bound"))
-    asked = asked.join(kth, "row", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    asked = asked.join(kth, "row", "left").withColumns({"bound": F.coalesce("bound", F.lit(float("inf"))), "home": F.lit(False)})
 
     def others(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -324,10 +349,12 @@ def nearest(vectors: DataFrame, work: Workspace, k: int = 10, every: int = 100,
                 near = top.value[d].bounds(away, *bounds.value[d]) * factor <= mine["bound"].to_numpy()[:, None] * (1 + 1e-12) + 1e-12
                 near[np.arange(len(mine)), mine["leaf"].to_numpy()] = False
                 q, leaf = np.nonzero(near)
-                yield mine.iloc[q].assign(leaf=leaf.astype(np.int32))
+                paths = top.value[d].paths
+                yield mine.iloc[q].assign(leaf=leaf.astype(np.int32), shard=np.full(len(q), -1, np.int32), away=[away[i, paths[x]].tolist() for i, x in zip(q, leaf, strict=True)])
 
-    away = asked.select("row", "vec_id", "v", "dim", "leaf", "bound").mapInPandas(others, "row long, vec_id long, v array<double>, dim int, leaf int, bound double")
-    found = work.table(home.unionByName(_searched(away, trees, shards, k, factor, work)), "found")
+    columns = ["row", "vec_id", "v", "dim", "leaf", "bound", "away", "shard", "home"]
+    away = asked.select(columns).mapInPandas(others, "row long, vec_id long, v array<double>, dim int, leaf int, bound double, away array<double>, shard int, home boolean")
+    found = work.table(home.unionByName(_searched(asked.select(columns).unionByName(away), trees, shards, k, factor, work)), "found")
     work.keep_only("found")
     rank = F.row_number().over(Window.partitionBy("row", "query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
