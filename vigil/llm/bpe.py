@@ -212,8 +212,9 @@ def coder(path: str) -> PairIndexBPE:
 def encode_and_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Digests of each whole text's ids and of the text that they decode to.
 
-    A null or empty text has no ids. Null or repeated ids stay as they are; an empty table gives no rows;
-    extra columns are ignored.
+    A null or empty text has no ids. A very long text is encoded whole, in a batch of its own. Of equal ranks the pair that
+    stands first is merged first. Null or repeated ids stay as they are; an empty table gives no rows; extra columns are
+    ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

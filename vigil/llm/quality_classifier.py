@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .shared import Workspace, carried, kept_in_worker, nothing_kept, restored, text_batches, words_of
 
-#: Labelled documents that the model is fitted on, at most; features kept of each, at most.
+#: Labelled documents that the model is fitted on, at most.
 TRAIN_DOCS = 4000
 #: Buckets of words and their n-grams, of word pairs, and of pair shapes; each kind follows the one before.
 BUCKETS, PAIRS, SHAPES = 1 << 15, 1 << 15, 1 << 12
