@@ -20,8 +20,9 @@ WIDTH, RADIUS, SIMILAR = 5, 8, 0.8
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier accepts.
 
-    Null and empty texts get the score of a text without features. Repeated rows score alike, whatever their ids; an
-    empty table stays empty. All stages but the last carry columns of any name.
+    Null and empty texts get the score of a text without features; very long texts are scored whole, in batches of their
+    own. Repeated rows score alike, whatever their ids, and a score equal to the threshold is enough; an empty table stays
+    empty. All stages but the last carry columns of any name.
     """
     return quality_classifier.accept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -30,8 +31,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules hold good, by the posterior of their votes.
 
     The base rule of the query (20 words or more, few repeated windows) isn't applied: short clean documents stay.
-    Null and empty texts have the votes of a text without words; documents with equal votes fare alike; an empty table
-    stays empty.
+    Null and empty texts have the votes of a text without words; very long texts are counted whole; documents with equal
+    votes fare alike; an empty table stays empty.
     """
     return quality_rules.accept(docs, Workspace(spark))
 
@@ -39,7 +40,9 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without later copies of repeated line runs; those left without words go.
 
-    Null and empty texts stay as they are. Rows that repeat an id and a text count once. An empty table stays empty.
+    Null and empty texts stay as they are; a very long text is cut into its lines, which are dealt like any others. Of equal
+    runs the one of the smallest doc_id (null last) stays, in a document the first. Rows that repeat an id and a text count
+    once. An empty table stays empty.
     """
     return line_runs.without_repeated_runs(docs, Workspace(spark))
 
@@ -47,8 +50,8 @@ def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id (null last).
 
-    Null texts and texts without words are equal to each other; of rows that repeat an id the first one stays. An
-    empty table stays empty.
+    Null texts and texts without words are equal to each other; a very long text is hashed whole, in a batch of its own; of
+    rows that repeat an id the first one stays. An empty table stays empty.
     """
     return similar.one_of_each(docs, WIDTH, RADIUS, SIMILAR, Workspace(spark))
 
@@ -56,8 +59,9 @@ def dedupe_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences.
 
-    A null or empty text is one piece that holds the end id. Null ids and repeated rows are packed like any others; an
-    empty table gives no rows; extra columns are left out.
+    A null or empty text is one piece that holds the end id; a very long text is encoded whole and cut into pieces. Null ids
+    and repeated rows are packed like any others, pieces of equal length in any order; an empty table gives no rows; extra
+    columns are left out.
     """
     return packing.pack(docs, tokenizer(), END_ID, SEQUENCE, Workspace(spark))
 
