@@ -199,6 +199,42 @@ def test_pair_state_equals_batch_and_stays_small(spark):
     assert 0 < state.count() <= 3 * 6  # the hours that the delay leaves open, of 24
 
 
+def test_beacon_tables_stay_small(spark):
+    draw = random.Random(6)
+    rows = [(draw.choice(("1.1.1.1", "2.2.2.2")), "a.example", draw.randrange(30 * 3600), i % 11) for i in range(400)]
+    incoming, path = shared_folder(spark, "in"), shared_folder(spark, "beacons")
+    every = spark.createDataFrame(rows, "source_ip string, query_hostname string, s long, f int")
+    for k in range(11):
+        every.where(f"f = {k}").select("source_ip", "query_hostname", F.timestamp_seconds("s").alias("time")).coalesce(1).write.mode("append").parquet(incoming)
+    stream = stream_files(spark, incoming, "source_ip string, query_hostname string, time timestamp", maxFilesPerTrigger="1")
+    streams.stream_beaconing(stream, path, f"{path}-state", compact=3).awaitTermination()
+    assert folders.children(spark, f"{path}/whole") == ["upto=5", "upto=8"] and len(folders.children(spark, f"{path}/chunks")) <= 6
+    got = {r.source_ip: (r.beacon_count, round(r.avg_interval, 6), round(r.interval_stddev, 6)) for r in streams.beacons(spark, path, 5, 100.0).collect()}
+    for ip in ("1.1.1.1", "2.2.2.2"):
+        at = sorted(s for i, _, s, _ in rows if i == ip)
+        gaps = [b - a for a, b in zip(at, at[1:], strict=False)]
+        mean = sum(gaps) / len(gaps)
+        assert got[ip] == (len(gaps), round(mean, 6), round((sum((g - mean) ** 2 for g in gaps) / (len(gaps) - 1)) ** 0.5, 6))
+
+
+def test_hunts_scan_once(spark, sf):
+    from vigil.operators import hunting
+
+    events, now = binding.dns(spark, sf), datetime(2024, 1, 30)
+    for found in (hunting.fast_flux_detection(events, now, 720, 1), hunting.blocked_dns_by_host(events, now, 720, 1)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_latest_time_comes_from_the_last_day(spark, sf):
+    from vigil.plans.semantic import newest
+
+    path = shared_folder(spark, "by_day")
+    write_events(binding.dns(spark, sf), path)
+    events = spark.read.parquet(path)
+    assert newest(events, F.col("time"), True) == newest(events, F.col("time"), False)
+    assert newest(events.limit(0), F.col("time"), True) is None
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 64, 10_000])
 def test_csv_ranges_cut_between_records(size, tmp_path):
     draw = random.Random(size)

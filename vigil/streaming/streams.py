@@ -69,13 +69,18 @@ def stream_dedupe(stream: DataFrame, key: str, delay: str, time: str = "time") -
 PAIR = ["source_ip", "query_hostname"]
 
 
-def stream_beaconing(stream: DataFrame, path: str, checkpoint: str, chunk: str = "hour", every: str | None = None) -> StreamingQuery:
+#: The stretches of time that a pair's chunks are kept as.
+CHUNK = ["first", "last", "n", "total", "squares"]
+
+
+def stream_beaconing(stream: DataFrame, path: str, checkpoint: str, chunk: str = "hour", every: str | None = None, compact: int = 16) -> StreamingQuery:
     """Keep the gaps between the events of each pair of client and host up to date; ``beacons`` reads them.
 
     Each trigger appends its times, by day, to ``path/times`` and counts anew the chunks that it touches, from the times
     of these days. So late rows count as if they had come in time, and a hot pair's rows are ordered by Spark, chunk by
-    chunk. A trigger that is repeated overwrites what it wrote. Times and chunks of days so old that no row comes any
-    more may be deleted by day and by hand of the tables' owner.
+    chunk. A trigger that is repeated overwrites what it wrote. Each ``compact`` triggers the chunks' last counts are put
+    together in ``path/whole``, and what they came from goes with the next time. Times of days so old that no row comes
+    any more may be deleted by day and by hand of the tables' owner.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -89,16 +94,42 @@ def stream_beaconing(stream: DataFrame, path: str, checkpoint: str, chunk: str =
         every_time = times.where(F.col("day").isin(days) & (F.col("batch") <= number)).join(touched, [*PAIR, "chunk"], "left_semi")
         gaps = every_time.withColumn("gap", seconds_between(F.lag("time").over(Window.partitionBy(*PAIR, "chunk").orderBy("time")), F.col("time")))
         stats = gaps.groupBy(*PAIR, "chunk").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.count("gap").alias("n"), F.sum("gap").alias("total"), F.sum((F.col("gap") * F.col("gap")).cast("decimal(38,0)")).alias("squares"))
-        stats.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{path}/chunks")
+        stats.write.mode("overwrite").parquet(f"{path}/chunks/batch={number}")
+        if number % compact == compact - 1:
+            old = [n for n in _numbers(spark, f"{path}/whole", "upto") if n < number]
+            covered = [n for n in _numbers(spark, f"{path}/chunks", "batch") if n <= max(old, default=-1)]
+            _chunks(spark, path, number - 1, number).drop("batch").write.mode("overwrite").parquet(f"{path}/whole/upto={number}")
+            for name in (*(f"whole/upto={n}" for n in old[:-1]), *(f"chunks/batch={n}" for n in covered)):
+                folders.remove(spark, f"{path}/{name}")
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """The numbers of finished folders ``name=number``."""
+    found = [int(x.split("=")[1]) for x in folders.children(spark, path) if x.startswith(f"{name}=")]
+    return sorted(n for n in found if folders.exists(spark, f"{path}/{name}={n}/_SUCCESS"))
+
+
+def _chunks(spark: SparkSession, path: str, before: int | None = None, last: int | None = None) -> DataFrame:
+    """The last count of each chunk: from the newest whole one (up to ``before``) and the triggers after it (up to ``last``)."""
+    whole = [n for n in _numbers(spark, f"{path}/whole", "upto") if before is None or n <= before]
+    start = max(whole, default=-1)
+    after = [n for n in _numbers(spark, f"{path}/chunks", "batch") if n > start and (last is None or n <= last)]
+    parts = [spark.read.parquet(f"{path}/chunks/batch={n}").withColumn("batch", F.lit(n)) for n in after]
+    if whole:
+        parts.append(spark.read.parquet(f"{path}/whole/upto={start}").withColumn("batch", F.lit(start)))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.groupBy(*PAIR, "chunk").agg(F.max_by(F.struct(*CHUNK, "batch"), "batch").alias("c")).select(*PAIR, "chunk", "c.*")
+
+
 def beacons(spark: SparkSession, path: str, min_beacons: int = 10, jitter: float = 0.2) -> DataFrame:
     """Pairs whose events come at regular intervals, from the chunks that ``stream_beaconing`` keeps: the last count of each
     chunk, and the gaps between chunks."""
-    chunks = spark.read.parquet(f"{path}/chunks").groupBy(*PAIR, "chunk").agg(F.max_by(F.struct("first", "last", "n", "total", "squares"), "batch").alias("c")).select(*PAIR, "chunk", "c.*")
+    chunks = _chunks(spark, path).drop("batch")
     between = seconds_between(F.lag("last").over(Window.partitionBy(*PAIR).orderBy("chunk")), F.col("first"))
     found = chunks.withColumn("between", between).groupBy(*PAIR).agg(
         (F.sum("n") + F.count("between")).alias("beacon_count"),
