@@ -69,8 +69,10 @@ def hash_embedding(text: Column | str, dims: int = 384) -> Column:
     c = F.col(text) if isinstance(text, str) else text
     seed = F.xxhash64(c)
     raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.xxhash64(seed, i) / F.lit(float(1 << 63)))
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(F.length(c) > 0, F.transform(raw, lambda x: (x / size).cast("float")))
+    # the size is bound first, as a lambda's body is computed anew for each element
+    both = F.struct(raw.alias("raw"), F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x)).alias("size"))
+    unit = F.transform(F.array(both), lambda b: F.transform(b["raw"], lambda x: (x / b["size"]).cast("float")))
+    return F.when(F.length(c) > 0, F.get(unit, F.lit(0)))
 
 
 def embedding_text(name: Column, description: Column, examples: Column | None = None, attributes: Column | None = None, maps_to: Column | None = None) -> Column:
