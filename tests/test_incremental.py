@@ -5,13 +5,12 @@ import io
 import random
 from datetime import datetime
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vigil.operators import catalogue, mapping, parsing, partitions, range_hash, sketches, terms, validity, vectors
-from vigil.plans import binding, queries_semantic, registry, routing
+from vigil.plans import binding, queries_semantic, routing
 from vigil.plans.model import SemanticQuery, formula_names
 from vigil.sources import csv_files, folders, indexed, logs
 from vigil.sources.events import shared_folder, stream_files, write_events
@@ -327,13 +326,3 @@ def test_small_mends(spark):
     assert {r.name: r.is_breaking for r in changes.breaking_changes(old, new, ["name"], ["dims"], []).collect()} == {"a": True, "b": False}
     text = spark.createDataFrame([(1, "see bad.Example.COM, 2001:db8::1 and fe80:1:2, not aa:bb:cc:dd:ee:ff")], "id int, text string")
     assert {(r.observable_type, r.value) for r in observables.scan_text_observables(text, "id", "text").collect()} == {("hostname", "bad.Example.COM"), ("ip", "2001:db8::1"), ("ip", "fe80:1:2"), ("mac", "aa:bb:cc:dd:ee:ff")}
-
-
-@pytest.mark.parametrize("name", ["stream_beaconing_state", "stream_beaconing", "c2_beaconing_regular_intervals"])
-def test_beacons_where_there_are_some(spark, name):
-    sf = "/root/testdata/sf0.01"
-    db = duckdb.connect()
-    db.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
-    want = db.execute(f"SELECT source_ip, query_hostname, beacon_count FROM ({registry.oracle_sql()[name]})").fetchall()
-    got = registry.queries()[name](spark, sf).collect()
-    assert want and sorted((r.source_ip, r.query_hostname, r.beacon_count) for r in got) == sorted(want)
