@@ -36,11 +36,11 @@ def _ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
     return each.withColumn("stop", F.least(F.col("start") + size, "bytes")).repartition("file", "start")
 
 
-def _blocks(file: str, start: int, stop: int) -> Iterator[np.ndarray]:
+def _blocks(file: str, start: int, stop: int, most: int = READ) -> Iterator[np.ndarray]:
     where, path = open_folder(file)
     with where.open_input_file(path) as f:
         f.seek(start)
-        while start < stop and (block := f.read(min(READ, stop - start))):
+        while start < stop and (block := f.read(min(most, stop - start))):
             start += len(block)
             yield np.frombuffer(block, np.uint8)
 
@@ -60,7 +60,8 @@ def records(file: str, start: int, stop: int, size: int, inside: bool) -> Iterat
     else:  # a line end just before the range makes its first byte a beginning
         before = next(_blocks(file, start - 1, start))
         begins = start if before[0] == NEWLINE and not inside else None
-    for block in _blocks(file, start, size):
+    # what follows the range is read for the end of one record only
+    for block in _blocks(file, start, size, min(READ, max(4096, stop - start))):
         quotes = np.cumsum(block == QUOTE)
         ends = np.flatnonzero((block == NEWLINE) & ((quotes + odd) % 2 == 0))
         last = 0
