@@ -166,3 +166,12 @@ def test_boosts_follow_the_order_of_steps(spark):
     near = spark.createDataFrame([("g", "t", 0.8), ("f", "w", 0.4), ("f", "t", 0.9)], "field string, id string, score double")
     got = {t: round(b, 6) for t, b in values(vectors.learn_boosts(confirmed, near), "target", "boost")}
     assert got == {"t": 0.5, "u": 0.2}
+
+
+def test_coverage_names_its_gaps(spark):
+    paths = spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "path string")
+    mappings = spark.createDataFrame([("c", "High"), ("y", "High"), ("x", "Low")], "target string, confidence string")
+    found = profiling.mapping_coverage(paths, mappings).first()
+    assert (found.unmapped_paths, found.unobserved_targets) == (["a", "b"], ["x", "y"])
+    assert [round(x, 6) for x in found[:3]] == [33.333333, 66.666667, 66.666667]
+    assert profiling.mapping_coverage(paths.limit(0), mappings.limit(0)).first()[:] == (0.0, 0.0, 0.0, [], [])

@@ -89,10 +89,14 @@ def _met(paths: DataFrame, mappings: DataFrame) -> DataFrame:
 
 
 def mapping_coverage(paths: DataFrame, mappings: DataFrame) -> DataFrame:
-    """One row: percent of paths mapped and unmapped and of mappings never observed; ``mapping_gaps`` names them."""
-    counts = _met(paths, mappings).agg(F.count_if("seen").alias("n_paths"), F.count_if("mapped").alias("n_mappings"), F.count_if(F.col("seen") & ~F.col("mapped")).alias("n_unmapped"), F.count_if(~F.col("seen")).alias("n_unobserved"))
+    """One row: percent of paths mapped and unmapped and of mappings never observed, with both lists of names in order;
+    ``mapping_gaps`` has a row for each name."""
+    unmapped, unobserved = F.col("seen") & ~F.col("mapped"), ~F.col("seen")
+    names = lambda of: F.sort_array(F.collect_list(F.when(of, F.col("path"))))
+    counts = _met(paths, mappings).agg(F.count_if("seen").alias("n_paths"), F.count_if("mapped").alias("n_mappings"), names(unmapped).alias("unmapped_paths"), names(unobserved).alias("unobserved_targets"))
+    counts = counts.withColumns({"n_unmapped": F.size("unmapped_paths"), "n_unobserved": F.size("unobserved_targets")})
     percent = lambda part, of: F.coalesce(100 * F.try_divide(part, of), F.lit(0.0))
-    return counts.select(percent(F.col("n_paths") - F.col("n_unmapped"), F.col("n_paths")).alias("percent_mapped"), percent(F.col("n_unmapped"), F.col("n_paths")).alias("percent_unmapped"), percent(F.col("n_unobserved"), F.col("n_mappings")).alias("percent_unobserved"))
+    return counts.select(percent(F.col("n_paths") - F.col("n_unmapped"), F.col("n_paths")).alias("percent_mapped"), percent(F.col("n_unmapped"), F.col("n_paths")).alias("percent_unmapped"), percent(F.col("n_unobserved"), F.col("n_mappings")).alias("percent_unobserved"), "unmapped_paths", "unobserved_targets")
 
 
 def mapping_gaps(paths: DataFrame, mappings: DataFrame) -> DataFrame:
