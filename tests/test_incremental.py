@@ -326,3 +326,13 @@ def test_small_mends(spark):
     assert {r.name: r.is_breaking for r in changes.breaking_changes(old, new, ["name"], ["dims"], []).collect()} == {"a": True, "b": False}
     text = spark.createDataFrame([(1, "see bad.Example.COM, 2001:db8::1 and fe80:1:2, not aa:bb:cc:dd:ee:ff")], "id int, text string")
     assert {(r.observable_type, r.value) for r in observables.scan_text_observables(text, "id", "text").collect()} == {("hostname", "bad.Example.COM"), ("ip", "2001:db8::1"), ("ip", "fe80:1:2"), ("mac", "aa:bb:cc:dd:ee:ff")}
+
+
+def test_a_new_consumer_reads_a_long_log_to_its_end(spark, monkeypatch):
+    from vigil.plans import queries_streams
+
+    folder, path = shared_folder(spark, "log"), shared_folder(spark, "scanned")
+    logs.append(spark.range(100).selectExpr("id % 5 AS key", "id AS value"), folder, 2, 16)
+    monkeypatch.setattr(queries_streams, "LOG_RECORDS", 7)
+    queries_streams._read_log(spark, folder, path)
+    assert sorted(int(r.value) for r in spark.read.parquet(f"{path}/out").collect()) == list(range(100))

@@ -59,7 +59,7 @@ def _read_log(spark: SparkSession, folder: str, path: str, stop_after: int | Non
 
 
 #: Partitions of a log, and records of each that a trigger takes.
-LOG_PARTITIONS, LOG_RECORDS = 3, 20_000
+LOG_PARTITIONS, LOG_RECORDS = 3, 100_000
 
 
 def _logged(spark: SparkSession, sf_dir: str) -> str:

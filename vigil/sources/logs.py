@@ -102,8 +102,9 @@ class LogReader(DataSourceStreamReader):
         self.given: dict[str, int] | None = None
 
     def initialOffset(self) -> dict:  # noqa: N802
-        self.given = {}
-        self._keep()
+        if self.given is None:  # Spark may ask for the start after it has asked for the newest offset
+            self.given = {}
+            self._keep()
         return {}
 
     def latestOffset(self) -> dict:  # noqa: N802
