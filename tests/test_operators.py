@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,40 @@ def test_coverage_names_its_gaps(spark):
     assert (found.unmapped_paths, found.unobserved_targets) == (["a", "b"], ["x", "y"])
     assert [round(x, 6) for x in found[:3]] == [33.333333, 66.666667, 66.666667]
     assert profiling.mapping_coverage(paths.limit(0), mappings.limit(0)).first()[:] == (0.0, 0.0, 0.0, [], [])
+
+
+def test_semantic_search_gives_what_all_pairs_give(spark):
+    texts = spark.createDataFrame([(i, f"text {i % 7}" if i % 3 else f"own {i}") for i in range(60)] + [(90, None), (91, "")], "id long, text string")
+    asked = texts.where("id % 4 <> 0")
+    embed = lambda df: df.where(F.length("text") > 0).select("id", vectors.hash_embedding("text", 16).alias("vector"))
+    shape = lambda df: values(df.withColumn("score", F.round("score", 6)), "query_id", "rank", "id", "score")
+    want = shape(vectors.cosine_topk(embed(asked), embed(texts), 4, 16, but_own=True))
+    assert shape(vectors.semantic_search(asked, texts, 4, 16, but_own=True)) == want
+    near = vectors.semantic_search(asked, texts, 4, 16, but_own=True, min_score=0.99999)
+    assert shape(near) == [r for r in want if r[3] >= 0.99999] != []
+    shuffled = [x for x in near._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    assert shuffled and not any("vector" in x for x in shuffled)
+
+
+def test_near_cells_lose_no_pair(spark):
+    """Vectors of a few coordinates, so that many lie near each other."""
+    texts = spark.range(3000).selectExpr("id", "'t' || id AS text")
+    want = vectors.semantic_search(texts.where("id < 100"), texts, 3000, 3, min_score=0.99)
+    want = {(r.query_id, r.id): round(r.score, 9) for r in want.collect() if r.score >= 0.9999}
+    got = {(r.query_id, r.id): round(r.score, 9) for r in vectors.semantic_search(texts.where("id < 100"), texts, 3000, 3, min_score=0.9999).collect()}
+    assert got == want and len(want) > 110
+
+
+def test_block_scores_are_held_in_parts(monkeypatch):
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(30, 5)).round(1), np.repeat(rng.normal(size=(40, 5)).round(1), 2, axis=0)
+    y[7] = 0
+    a, b = (pd.DataFrame({"id": range(len(v)), "vector": list(v)}) for v in (x, y))
+    seen = []
+    monkeypatch.setattr(vectors, "PAIRS", 400)
+    monkeypatch.setattr(np, "partition", lambda v, *p, f=np.partition, **o: (seen.append(v.size), f(v, *p, **o))[1])
+    got = vectors.best_of_blocks(3, True)(a, b)
+    score = np.divide((x[:, None] * y[None]).sum(2), (n := np.sqrt((x**2).sum(1))[:, None] * np.sqrt((y**2).sum(1))), out=np.zeros(n.shape), where=n > 0)
+    want = [(i, j, round(score[i, j], 9)) for i in range(30) for j in sorted((j for j in range(80) if j != i), key=lambda j: (-score[i, j].round(12), j))[:3]]
+    assert [(r.query_id, r.id, round(r.score, 9)) for r in got.itertuples()] == want
+    assert seen and max(seen) <= 400
