@@ -125,3 +125,12 @@ def test_beacons_count_late_rows_and_repeated_triggers(spark):
         streams.stream_beaconing(stream_files(spark, f"{path}/in", schema), f"{path}/table", f"{path}/state").awaitTermination()
     found = streams.beacons(spark, f"{path}/table", 10, 0.2).collect()
     assert [(r.beacon_count, r.avg_interval, r.interval_stddev) for r in found] == [(89, 60.0, 0.0)]
+
+
+def test_dictionary_types_come_once_without_dealing_the_fields(spark):
+    fields = spark.createDataFrame([("r", 1, "a.ip", "v"), ("s", None, "a.ip", "v"), ("s", 1, "a.ip", None), ("t", 1, "b", "v")], "record string, class_uid int, path string, value string")
+    entries = [("object", "a", None, 2), ("attribute", "ip", None, 2), ("path", "a.ip", 1, 3)]
+    found = observables.extract_from_dictionary(fields, spark.createDataFrame(entries, "kind string, key string, class_uid int, type_id int"))
+    assert sorted((r.record, r.class_uid or 0, r.type_id) for r in found.collect()) == [("r", 1, 2), ("r", 1, 3), ("s", 0, 2)]
+    dealt = [x for x in plan(found).split("== Initial Plan ==")[0].split("\n") if "Exchange hashpartitioning" in x]
+    assert not any("value" in x or "record" in x for x in dealt)
