@@ -336,3 +336,14 @@ def test_a_new_consumer_reads_a_long_log_to_its_end(spark, monkeypatch):
     monkeypatch.setattr(queries_streams, "LOG_RECORDS", 7)
     queries_streams._read_log(spark, folder, path)
     assert sorted(int(r.value) for r in spark.read.parquet(f"{path}/out").collect()) == list(range(100))
+
+
+def test_csv_ranges_are_read_in_many_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_bytes(b"\n\na,b\n" + b"".join(b'%d,"x\ny"\n' % i for i in range(4000)))
+    monkeypatch.setattr(csv_files, "TASK", 4_000)
+    rows = csv_files.read_csv_records(spark, str(tmp_path), 1_000)
+    used = rows.select("place", F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(used) > 5 and max(r["count"] for r in used) < 2_500
+    fields = csv_files.read_csv_fields(spark, str(tmp_path), 1_000)
+    assert sorted((r.path, r["count"]) for r in fields.groupBy("path").count().collect()) == [("a", 4000), ("b", 4000)]
+    assert fields._jdf.queryExecution().executedPlan().toString().count("SortAggregate") == 0

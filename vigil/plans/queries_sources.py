@@ -70,6 +70,8 @@ def parse_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Bytes of a range, so small that files of a few hundred records are cut too.
 CSV_RANGE = 16_384
+#: Bytes of a file, about, and files, at least.
+CSV_FILE, CSV_FILES = 16 << 20, 4
 
 
 @query("read_csv_files", "WITH d AS (SELECT doc_id, lang, coalesce(text, '') || chr(10) || '\"end\"' AS text FROM documents) SELECT 'doc_id' AS path, 'number' AS type, md5(doc_id::VARCHAR) AS digest, count(*) AS n FROM d GROUP BY ALL UNION ALL SELECT 'the text', 'string', md5(text), count(*) FROM d GROUP BY ALL UNION ALL SELECT 'column_2', 'string', md5(lang), count(*) FROM d GROUP BY ALL")
@@ -80,10 +82,11 @@ def read_csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.coalesce("text", F.lit("")), F.lit('\n"end"'))
     rows = binding.table(spark, sf_dir, "documents").select(F.concat_ws(",", F.col("doc_id").cast("string"), quoted(text), "lang").alias("line"))
     # each file begins with its header, as the part that writes it does
-    parts = rows.withColumn("part", F.pmod(F.xxhash64("line"), F.lit(4)))
-    heads = spark.range(4).select(F.lit('doc_id,"the text",').alias("line"), F.col("id").alias("part"))
+    n = max(CSV_FILES, -(-(rows.agg(F.sum(F.octet_length("line"))).first()[0] or 0) // CSV_FILE))
+    parts = rows.withColumn("part", F.pmod(F.xxhash64("line"), F.lit(n)))
+    heads = spark.range(n).select(F.lit('doc_id,"the text",').alias("line"), F.col("id").alias("part"))
     both = heads.withColumn("body", F.lit(0)).unionByName(parts.withColumn("body", F.lit(1)))
-    both.repartition(4, "part").sortWithinPartitions("part", "body").drop("body").write.partitionBy("part").text(path)
+    both.repartition(n, "part").sortWithinPartitions("part", "body").drop("body").write.partitionBy("part").text(path)
     found = csv_files.read_csv_fields(spark, path, CSV_RANGE)
     return found.groupBy("path", "type", F.md5("value").alias("digest")).agg(F.count("*").alias("n"))
 

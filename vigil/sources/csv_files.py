@@ -23,17 +23,27 @@ from .logs import open_folder
 
 #: Bytes of a range, and of what is read at once.
 RANGE, READ = 64 << 20, 1 << 20
+#: Bytes that one task reads, about, and tasks, at most: ranges are small rows, which Spark would put into few tasks.
+TASK, TASKS = 16 << 20, 20_000
 #: Records of a batch.
 BATCH = 2_000
 QUOTE, NEWLINE = ord('"'), ord("\n")
 
 
-def _ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
-    """(file, start, stop, bytes) of all ranges of all files; the driver knows names and sizes only."""
-    files = [(f, n) for f, n in sorted(folders.sizes(spark, path).items()) if n and not f.rsplit("/", 1)[1].startswith(("_", "."))]
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names and sizes, all that the driver knows of the files."""
+    return [(f, n) for f, n in sorted(folders.sizes(spark, path).items()) if n and not f.rsplit("/", 1)[1].startswith(("_", "."))]
+
+
+def _tasks(spark: SparkSession, files: list[tuple[str, int]]) -> int:
+    return max(1, spark.sparkContext.defaultParallelism, min(TASKS, -(-sum(n for _, n in files) // TASK)))
+
+
+def _ranges(spark: SparkSession, files: list[tuple[str, int]], size: int) -> DataFrame:
+    """(file, start, stop, bytes) of all ranges of all files."""
     rows = spark.createDataFrame(files, "file string, bytes long")
     each = rows.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(size).cast("long"))).alias("start"))
-    return each.withColumn("stop", F.least(F.col("start") + size, "bytes")).repartition("file", "start")
+    return each.withColumn("stop", F.least(F.col("start") + size, "bytes")).repartition(_tasks(spark, files), "file", "start")
 
 
 def _blocks(file: str, start: int, stop: int, most: int = READ) -> Iterator[np.ndarray]:
@@ -81,34 +91,59 @@ def records(file: str, start: int, stop: int, size: int, inside: bool) -> Iterat
         yield begins, held
 
 
+def _cells(raw: bytes) -> list[str] | None:
+    """A record's cells; None for an empty line."""
+    csv.field_size_limit((1 << 31) - 1)
+    text = raw.decode("utf-8", "replace").removesuffix("\r")
+    return next(csv.reader(io.StringIO(text, newline=""))) if text.strip() else None
+
+
+def _given(file: str, out: list[tuple[int, list[str]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"file": pa.array([file] * len(out)), "place": pa.array([p for p, _ in out], pa.int64()), "cells": pa.array([c for _, c in out], pa.list_(pa.string()))})
+
+
+RECORD = "file string, place long, cells array<string>"
+
+
 def read_csv_records(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """(file, place, cells) of all records of a file or folder, ``place`` the record's first byte; empty lines are left out.
 
     A record is whole in one task's memory. A quote that is never closed makes the rest of its file one record.
     """
-    counted = _ranges(spark, path, size).mapInArrow(_quotes, "file string, start long, stop long, bytes long, quotes long")
+    files = _files(spark, path)
+    counted = _ranges(spark, files, size).mapInArrow(_quotes, "file string, start long, stop long, bytes long, quotes long")
     before = F.sum("quotes").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
-    known = counted.withColumn("inside", F.coalesce(before, F.lit(0)) % 2 == 1).drop("quotes").repartition("file", "start")
+    known = counted.withColumn("inside", F.coalesce(before, F.lit(0)) % 2 == 1).drop("quotes").repartition(_tasks(spark, files), "file", "start")
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit((1 << 31) - 1)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 out: list[tuple[int, list[str]]] = []
+                held = 0
                 for place, raw in records(r["file"], r["start"], r["stop"], r["bytes"], r["inside"]):
-                    text = raw.decode("utf-8", "replace").removesuffix("\r")
-                    if text.strip():
-                        out.append((place, next(csv.reader(io.StringIO(text, newline="")))))
-                    if len(out) == BATCH:
-                        yield given(r["file"], out)
-                        out = []
+                    if (cells := _cells(raw)) is not None:
+                        out.append((place, cells))
+                        held += len(raw)
+                    if len(out) == BATCH or held > READ:
+                        yield _given(r["file"], out)
+                        out, held = [], 0
                 if out:
-                    yield given(r["file"], out)
+                    yield _given(r["file"], out)
+
+    return known.mapInArrow(read, RECORD)
+
 
-    def given(file: str, out: list[tuple[int, list[str]]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"file": pa.array([file] * len(out)), "place": pa.array([p for p, _ in out], pa.int64()), "cells": pa.array([c for _, c in out], pa.list_(pa.string()))})
+def _heads(spark: SparkSession, path: str) -> DataFrame:
+    """(file, place, cells) of each file's first record, of which no more is read."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                found = ((place, cells) for place, raw in records(r["file"], 0, r["bytes"], r["bytes"], False) if (cells := _cells(raw)) is not None)
+                if (head := next(found, None)) is not None:
+                    yield _given(r["file"], [head])
 
-    return known.mapInArrow(cells, "file string, place long, cells array<string>")
+    return spark.createDataFrame(_files(spark, path), "file string, bytes long").mapInArrow(first, RECORD)
 
 
 def read_csv_fields(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
@@ -117,7 +152,7 @@ def read_csv_fields(spark: SparkSession, path: str, size: int = RANGE) -> DataFr
     A name that is missing is column_i; a cell that is missing is empty.
     """
     rows = read_csv_records(spark, path, size)
-    heads = rows.groupBy("file").agg(F.min(F.struct("place", "cells")).alias("h")).select("file", F.col("h.place").alias("first"), F.col("h.cells").alias("names"))
+    heads = F.broadcast(_heads(spark, path).select("file", F.col("place").alias("first"), F.col("cells").alias("names")))  # a row a file
     body = rows.join(heads, "file").where(F.col("place") > F.col("first"))
     cell: Column = F.coalesce(F.get("cells", F.col("position")), F.lit(""))
     named = body.select("file", "place", "cells", F.posexplode("names").alias("position", "name"))
