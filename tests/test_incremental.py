@@ -347,3 +347,15 @@ def test_csv_ranges_are_read_in_many_tasks(spark, tmp_path, monkeypatch):
     fields = csv_files.read_csv_fields(spark, str(tmp_path), 1_000)
     assert sorted((r.path, r["count"]) for r in fields.groupBy("path").count().collect()) == [("a", 4000), ("b", 4000)]
     assert fields._jdf.queryExecution().executedPlan().toString().count("SortAggregate") == 0
+
+
+def test_arriving_files_grow_with_rows(spark, sf, monkeypatch):
+    from vigil.plans import queries_streams
+
+    monkeypatch.setattr(queries_streams, "FILE_ROWS", 30)
+    stream = queries_streams.dns_stream(spark, sf, 1)
+    folder = shared_folder(spark, "counted")
+    found = streams.run_once(stream.select("metadata_uid"), folder)
+    per = found.groupBy("trigger").count().collect()
+    assert found.distinct().count() == 1000 and len(per) == 4
+    assert queries_streams._files(binding.dns(spark, sf), 4) == 36

@@ -17,15 +17,22 @@ from .queries_sources import SPECS
 from .queries_threat import OBS
 from .registry import query
 
-FILES = 4
+#: Parts of the arriving files that triggers are counted in; rows of a file, about.
+FILES, FILE_ROWS = 4, 500_000
+
+
+def _files(events: DataFrame, parts: int) -> int:
+    """As many files as rows need, a multiple of ``parts``: so that tasks stay small, and triggers as many."""
+    return parts * max(1, -(-events.count() // (FILE_ROWS * parts)))
 
 
 def dns_stream(spark: SparkSession, sf_dir: str, files_each: int | None = None) -> DataFrame:
-    """The DNS events as a stream of files, written to the shared folder first."""
+    """The DNS events as a stream of files, written to the shared folder first; a trigger takes ``files_each`` of FILES parts."""
     folder = shared_folder(spark, "arriving")
     events = binding.dns(spark, sf_dir).withColumn("time", F.col("time").cast("timestamp"))
-    events.repartition(FILES, F.pmod(F.xxhash64("metadata_uid"), F.lit(FILES))).write.parquet(folder)
-    options = {"maxFilesPerTrigger": str(files_each)} if files_each else {}
+    n = _files(events, FILES)
+    events.repartition(n, "metadata_uid").write.parquet(folder)
+    options = {"maxFilesPerTrigger": str(files_each * n // FILES)} if files_each else {}
     return stream_files(spark, folder, events.schema, **options)
 
 
@@ -197,8 +204,9 @@ def stream_hot_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = events.where("k % 7 = 3").withColumn("sign", F.lit(-1))
     for turn, part in enumerate(("k % 3 = 0", "k % 3 <> 0")):
         coming = events.where(part).unionByName(events.where(part)).unionByName(gone.where(part))
-        coming.withColumn("uid", F.concat_ws("/", "metadata_uid", "sign")).repartition(3).write.mode("append").parquet(folder)
+        n = _files(coming, 3)
+        coming.withColumn("uid", F.concat_ws("/", "metadata_uid", "sign")).repartition(n).write.mode("append").parquet(folder)
         schema = spark.read.parquet(folder).schema
-        once = streams.stream_dedupe(stream_files(spark, folder, schema, maxFilesPerTrigger="1"), "uid", "60 days")
+        once = streams.stream_dedupe(stream_files(spark, folder, schema, maxFilesPerTrigger=str(n // 3)), "uid", "60 days")
         rollups.stream_rollup(once, ROLLUP, f"{path}/runs", f"{path}/state", "sign").awaitTermination()
     return rollups.read_rollup(spark, f"{path}/runs", ROLLUP)

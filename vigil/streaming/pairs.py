@@ -20,10 +20,20 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .streams import PAIR
 
 HOUR = 3600
+#: Seconds of a pair that are held before they are summed.
+SECONDS = 1_000_000
 CLOSED = "events long, first long, last long, squares double, last_micros long"
 OPEN = "seconds array<int>, counts array<long>, last_micros long"
 
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Different seconds in order with their counts."""
+    seconds, where = np.unique(np.concatenate([s for s, _ in held]), return_inverse=True)
+    counts = np.zeros(len(seconds), np.int64)
+    np.add.at(counts, where, np.concatenate([c for _, c in held]))
+    return seconds, counts
+
+
 class HourGaps(StatefulProcessor):
     """Counts by second of open hours, and a summary of the closed ones; gives a pair's summary whenever an hour closes."""
 
@@ -36,21 +46,32 @@ class HourGaps(StatefulProcessor):
         self.open = handle.getMapState("open", "hour long", OPEN)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # a trigger's rows are counted by second first, so that each hour's state is read and written once
+        held, latest = [], {}
         for some in rows:
             at = some["at"].to_numpy(np.int64)
-            second = at // 1_000_000
-            for hour in np.unique(second // HOUR).tolist():
-                mine = second // HOUR == hour
-                counts = np.bincount(second[mine] % HOUR, minlength=HOUR)
-                latest = int(at[mine].max())
+            held.append(np.unique(at // 1_000_000, return_counts=True))
+            hours, where = np.unique(at // 1_000_000 // HOUR, return_inverse=True)
+            last = np.full(len(hours), np.iinfo(np.int64).min)
+            np.maximum.at(last, where, at)
+            for hour, t in zip(hours.tolist(), last.tolist(), strict=True):
+                latest[hour] = max(t, latest.get(hour, t))
+            if sum(len(s) for s, _ in held[1:]) > SECONDS:
+                held = [_summed(held)]
+        if held:
+            seconds, number = _summed(held)
+            for hour, t in latest.items():
+                mine = slice(*np.searchsorted(seconds, [hour * HOUR, (hour + 1) * HOUR]))
+                counts = np.zeros(HOUR, np.int64)
+                counts[seconds[mine] % HOUR] = number[mine]
                 if self.open.containsKey((hour,)):
-                    seconds, before, last = self.open.getValue((hour,))
-                    counts[np.array(seconds, np.int64)] += np.array(before, np.int64)
-                    latest = max(latest, last)
+                    old_seconds, before, old = self.open.getValue((hour,))
+                    counts[np.array(old_seconds, np.int64)] += np.array(before, np.int64)
+                    t = max(t, old)
                 else:
                     self.handle.registerTimer((hour + 1) * HOUR * 1000)
                 some_seconds = np.flatnonzero(counts)
-                self.open.updateValue((hour,), (some_seconds.tolist(), counts[some_seconds].tolist(), latest))
+                self.open.updateValue((hour,), (some_seconds.tolist(), counts[some_seconds].tolist(), t))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803

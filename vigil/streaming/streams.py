@@ -23,6 +23,9 @@ from vigil.sources import folders
 #: State that keeps single values per key needs this store.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Rows of a feed that are sent to all tasks, at most.
+FEED_ROWS = 200_000
+
 
 def use_keyed_state(spark: SparkSession) -> None:
     """Choose the state store that keyed processors need, for queries started from now on."""
@@ -56,8 +59,13 @@ def stream_metric(stream: DataFrame, metrics: dict[str, Column], granularity: st
 
 
 def stream_ioc_match(stream: DataFrame, feed: DataFrame, host: str = "query_hostname") -> DataFrame:
-    """Arriving events that match a static feed's domains, by an equality join on the host's suffixes; no state."""
+    """Arriving events that match a static feed's domains, by an equality join on the host's suffixes; no state.
+
+    A feed of up to ``FEED_ROWS`` domains goes to the events, as the suffixes of many hosts are the same few.
+    """
     domains = feed.where(F.col("indicator_type") == "domain")
+    if domains.limit(FEED_ROWS + 1).count() <= FEED_ROWS:
+        domains = F.broadcast(domains)
     return stream.withColumn("indicator", F.explode(host_suffixes(host))).join(domains, "indicator")
 
 
@@ -187,13 +195,14 @@ def stream_refresh(stream: DataFrame, path: str, checkpoint: str, key: str = "ob
 
     def insert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("event_date", F.to_date(time)).dropDuplicates([key])
+        new = batch.withColumn("event_date", F.to_date(time))
         if folders.exists(spark, path):
             days = [r.event_date for r in new.select("event_date").distinct().collect()]  # the days of one trigger
             held = spark.read.schema(new.schema).parquet(path)
             held = held.where(F.col("event_date").isin(days) | (F.lit(None in days) & F.col("event_date").isNull()))
             new = new.join(held.select(key), key, "left_anti")
-        new.write.mode("append").partitionBy("event_date").parquet(path)
+        # dealt by key first, so that rows are ordered once for the drop
+        new.repartition(key).dropDuplicates([key]).write.mode("append").partitionBy("event_date").parquet(path)
 
     writer = stream.writeStream.foreachBatch(insert).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
