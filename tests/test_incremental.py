@@ -359,3 +359,17 @@ def test_arriving_files_grow_with_rows(spark, sf, monkeypatch):
     per = found.groupBy("trigger").count().collect()
     assert found.distinct().count() == 1000 and len(per) == 4
     assert queries_streams._files(binding.dns(spark, sf), 4) == 36
+
+
+def test_uid_table_is_made_distinct_after_it_is_dealt(spark, sf, monkeypatch):
+    seen, kind = [], type(spark.range(1))
+    sort = kind.sortWithinPartitions
+
+    def noted(df, *columns):
+        if columns == ("uid_hash",):
+            seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return sort(df, *columns)
+
+    monkeypatch.setattr(kind, "sortWithinPartitions", noted)
+    indexed.write_indexed(queries_semantic.observables(spark, sf), shared_folder(spark, "indexed"), 300)
+    assert len(seen) == 1 and seen[0].index("Aggregate") < seen[0].index("RepartitionByExpression")

@@ -73,8 +73,9 @@ def write_indexed(df: DataFrame, path: str, rows_per_file: int = FILE_ROWS, grou
     written = spark.read.parquet(f"{path}/data").withColumns({"file": F.col("_metadata.file_path"), "bytes": F.col("_metadata.file_size")})
     _write_bounds(written, f"{path}/files", {"type": "type_id", "hash": "value_hash", "time": "time_micros"})
     # where each event's rows are: few bytes a row, in files that are ranges of the uid's hash
-    uids = written.select(value_hash("event_uid").alias("uid_hash"), "file").distinct()
-    uids.repartitionByRange(n_files, "uid_hash").sortWithinPartitions("uid_hash").write.mode("overwrite").parquet(f"{path}/uids")
+    # they are dealt before they are made distinct, so that no task holds more than a range's
+    uids = written.select(value_hash("event_uid").alias("uid_hash"), "file").repartitionByRange(n_files, "uid_hash").distinct()
+    uids.sortWithinPartitions("uid_hash").write.mode("overwrite").parquet(f"{path}/uids")
     _write_bounds(spark.read.parquet(f"{path}/uids").select("uid_hash", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")), f"{path}/uid_files", {"hash": "uid_hash"})
 
 
