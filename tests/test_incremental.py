@@ -373,3 +373,24 @@ def test_uid_table_is_made_distinct_after_it_is_dealt(spark, sf, monkeypatch):
     monkeypatch.setattr(kind, "sortWithinPartitions", noted)
     indexed.write_indexed(queries_semantic.observables(spark, sf), shared_folder(spark, "indexed"), 300)
     assert len(seen) == 1 and seen[0].index("Aggregate") < seen[0].index("RepartitionByExpression")
+
+
+def test_rollup_stream_brings_all_rows_and_keeps_what_it_takes(spark, sf, monkeypatch):
+    from vigil.plans import queries_streams
+
+    kept, folder = [], []
+    dedupe, files = streams.stream_dedupe, stream_files
+    monkeypatch.setattr(streams, "stream_dedupe", lambda rows, *a: kept.append(rows.columns) or dedupe(rows, *a))
+    monkeypatch.setattr(queries_streams, "stream_files", lambda session, path, *a, **k: folder.append(path) or files(session, path, *a, **k))
+    monkeypatch.setattr(queries_streams, "FILE_ROWS", 200)
+    found = {(r.source_ip, r.query_type, r.action): r.event_count for r in queries_streams.stream_hot_rollup(spark, sf).collect()}
+    events = binding.dns(spark, sf)
+    assert found == {(r.source_ip, r.query_type, r.action): r["count"] for r in events.where("k % 7 <> 3").groupBy("source_ip", "query_type", "action").count().collect()}
+    # only the columns that the roll-up takes go through the state
+    assert [sorted(c) for c in kept] == [sorted(["uid", "time", "sign", *queries_streams.ROLLUP.keys, "k", "severity_id"])] * 2
+    # each event came whole and twice, the retracted ones once more; files are small and copies lie in different ones
+    arrived = spark.read.parquet(folder[0]).withColumn("file", F.input_file_name())
+    assert set(events.columns) <= set(arrived.columns)
+    assert arrived.count() == 2 * events.count() + events.where("k % 7 = 3").count()
+    assert max(r["count"] for r in arrived.groupBy("file").count().collect()) <= 2 * 200
+    assert arrived.groupBy("uid").agg(F.count_distinct("file").alias("n")).where("n > 1").count() > 0
