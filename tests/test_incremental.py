@@ -394,3 +394,16 @@ def test_rollup_stream_brings_all_rows_and_keeps_what_it_takes(spark, sf, monkey
     assert arrived.count() == 2 * events.count() + events.where("k % 7 = 3").count()
     assert max(r["count"] for r in arrived.groupBy("file").count().collect()) <= 2 * 200
     assert arrived.groupBy("uid").agg(F.count_distinct("file").alias("n")).where("n > 1").count() > 0
+
+
+def test_arriving_files_are_even_and_small(spark, sf, monkeypatch):
+    from vigil.plans import queries_streams
+
+    monkeypatch.setattr(queries_streams, "FILE_ROWS", 100)
+    folder = []
+    files = stream_files
+    monkeypatch.setattr(queries_streams, "stream_files", lambda session, path, *a, **k: folder.append(path) or files(session, path, *a, **k))
+    queries_streams.dns_stream(spark, sf, 1)
+    arrived = spark.read.parquet(folder[0])
+    of_file = [r["count"] for r in arrived.groupBy(F.input_file_name()).count().collect()]
+    assert sum(of_file) == binding.dns(spark, sf).count() and len(of_file) == 12 and max(of_file) <= 2 * 100
